@@ -53,13 +53,13 @@ REPLICA_PRIME = 2**31 - 1
 
 
 def replica_words(seed: int, *key) -> tuple[Column, Column]:
-    """Two 28-bit words of one hash; the second is never 0."""
+    """Two words of one hash, uniform below ``REPLICA_PRIME``; the second is not 0."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k) if isinstance(k, str) else k for k in key])
     digest = F.md5(text)
-    word = lambda at: F.conv(F.substring(digest, at, 7), 16, 10).cast("long")
-    return word(1), word(9) + 1
+    word = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    return word(1) % REPLICA_PRIME, word(9) % (REPLICA_PRIME - 1) + 1
 
 
 def replica_draw(word1: Column, word2: Column, replica: Column) -> Column:
-    """An integer in [0, REPLICA_PRIME) for this key and replicate."""
+    """An integer in [0, REPLICA_PRIME); independent between any two replicates."""
     return (word1 + word2 * replica) % REPLICA_PRIME

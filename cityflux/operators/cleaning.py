@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -101,22 +101,29 @@ def clean_trips(raw: DataFrame, start, end, rules: CleaningRules = CleaningRules
 
 
 def clean_months(
-    raw_by_month: Mapping[str, DataFrame], rules: CleaningRules = CleaningRules()
+    raw: DataFrame, months: Sequence[str], rules: CleaningRules = CleaningRules()
 ) -> DataFrame:
-    """Each month's file cleaned against its own month, as one job.
+    """Raw rows of many months, each cleaned against the month of its file, in one job.
 
-    Months are disjoint after the month rule, so one ``distinct`` over all of them
-    equals one per month. A row filed under another month is dropped.
+    ``raw`` carries the file's month as ``month``; a row filed under another month is
+    dropped. Months are disjoint after that, so one ``distinct`` over all of them
+    equals one per month.
     """
-    parts = [
-        filter_trips(raw, *month_bounds(month), rules) for month, raw in raw_by_month.items()
-    ]
-    if not parts:
+    if not months:
         raise ValueError("no months to clean")
-    trips = dedupe_trips(reduce(DataFrame.unionByName, parts))
+    start, _ = month_bounds(min(months))
+    _, end = month_bounds(max(months))
+    wanted = raw.where(F.col("month").isin(*months))
+    filed = clock.month_key(F.col("tpep_pickup_datetime").cast("timestamp_ntz"))
+    trips = dedupe_trips(filter_trips(wanted.where(filed == F.col("month")), start, end, rules))
     return trips.select(*TRIP_COLUMNS, clock.month_key(F.col("pickup_ts")).alias("month"))
 
 
 def month_bounds(month: str) -> tuple[Column, Column]:
     first = F.to_date(F.lit(f"{month}-01"))
     return first.cast("timestamp_ntz"), F.add_months(first, 1).cast("timestamp_ntz")
+
+
+def union_trips(*parts: DataFrame) -> DataFrame:
+    """Cleaned parts of disjoint periods as one table; nothing is compared again."""
+    return reduce(DataFrame.unionByName, parts)

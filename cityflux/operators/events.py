@@ -42,6 +42,11 @@ EVENT_SCHEMA = (
 EVENT_COLUMNS = tuple(name for name, _ in EVENT_SCHEMA)
 EVENT_DDL = ", ".join(f"{name} {kind}" for name, kind in EVENT_SCHEMA)
 ORDER = ("ts", "seq")
+ILLEGAL_COLUMNS = ("entity", "entity_id", "seq", "ts", "kind", "from_state", "to_state")
+ILLEGAL_DDL = (
+    "entity string, entity_id bigint, seq bigint, ts timestamp_ntz, kind string, "
+    "from_state string, to_state string"
+)
 
 
 def event_union(*parts: DataFrame) -> DataFrame:
@@ -165,22 +170,22 @@ def ride_spans(events: DataFrame) -> DataFrame:
     """Per rider with both: matched x completed pairs and their summed minutes.
 
     The sum over all pairs is ``n_match * sum(done) - n_done * sum(match)``, so a
-    repeated rider id costs two sums instead of a quadratic number of rows. Times
-    count from the rider's first match, which keeps the sums small and exact.
+    repeated rider id costs two sums instead of a quadratic number of rows. Sums are
+    decimal, so they are exact.
     """
     rows = events.where(F.col("kind").isin(MATCHED, COMPLETED) & F.col("rider_id").isNotNull())
-    us = clock.micros(F.col("ts")).cast("decimal(38,0)")
+    us = clock.micros(F.col("ts")).cast("decimal(20,0)")
     sums = rows.groupBy("rider_id").agg(
         F.count_if(_is(MATCHED)).alias("n_match"),
         F.count_if(_is(COMPLETED)).alias("n_done"),
         F.sum(F.when(_is(MATCHED), us)).alias("_match"),
         F.sum(F.when(_is(COMPLETED), us)).alias("_done"),
     )
-    total = (F.col("n_match") * F.col("_done") - F.col("n_done") * F.col("_match")).cast("double")
+    total = F.col("n_match") * F.col("_done") - F.col("n_done") * F.col("_match")
     return sums.where((F.col("n_match") > 0) & (F.col("n_done") > 0)).select(
         "rider_id",
         (F.col("n_match") * F.col("n_done")).alias("pairs"),
-        (total / 60_000_000.0).alias("busy_min"),
+        total.cast("long").alias("busy_us"),
     )
 
 
@@ -249,9 +254,10 @@ def double_booking(events: DataFrame, unit: str = "hour") -> DataFrame:
 
 def _transitions(
     events: DataFrame, entity: str, id_col: str, states: dict[str, str], initial: str | None,
-    unit: str,
+    unit: str, judge: Column,
 ) -> DataFrame:
     rows = events.where(F.col("kind").isin(*states) & F.col(id_col).isNotNull()).select(
+        judge.alias("_judge"),
         F.lit(entity).alias("entity"),
         F.col(id_col).alias("entity_id"),
         "ts",
@@ -262,6 +268,7 @@ def _transitions(
     out = previous_value(
         rows, ["entity_id"], list(ORDER), F.col("to_state"), "from_state", unit
     )
+    out = out.where("_judge")
     return out if initial is None else out.fillna({"from_state": initial})
 
 
@@ -270,20 +277,24 @@ def _legal(moves) -> Column:
     return step.isin(*[f"{a}>{b}" for a, b in moves])
 
 
-def illegal_transitions(events: DataFrame, unit: str = "hour") -> DataFrame:
+def illegal_transitions(
+    events: DataFrame, unit: str = "hour", judge: Column | None = None
+) -> DataFrame:
     """Events that move a rider or driver against the lifecycle.
 
-    A rider starts by waiting; a driver starts idle.
+    A rider starts by waiting; a driver starts idle. Rows where ``judge`` is false
+    only supply the state before the others.
     """
-    riders = _transitions(events, "rider", "rider_id", RIDER_STATE, None, unit)
+    judge = F.lit(True) if judge is None else judge
+    riders = _transitions(events, "rider", "rider_id", RIDER_STATE, None, unit, judge)
     riders = riders.where(
         F.when(F.col("from_state").isNull(), F.col("to_state") != "waiting").otherwise(
             ~_legal(RIDER_MOVES)
         )
     )
-    drivers = _transitions(events, "driver", "driver_id", DRIVER_STATE, "idle", unit)
+    drivers = _transitions(events, "driver", "driver_id", DRIVER_STATE, "idle", unit, judge)
     drivers = drivers.where(~_legal(DRIVER_MOVES))
-    columns = ["entity", "entity_id", "seq", "ts", "kind", "from_state", "to_state"]
+    columns = list(ILLEGAL_COLUMNS)
     return riders.select(*columns).unionByName(drivers.select(*columns))
 
 
@@ -298,7 +309,9 @@ def ride_metrics(events: DataFrame, n_drivers, horizon_min) -> DataFrame:
     """
     waits = events.where(_is(MATCHED)).select("wait_min")
     quantiles = exact_quantiles(waits, "wait_min", {"p50": 0.5, "p90": 0.9})
-    busy = ride_spans(events).agg(F.sum("busy_min").alias("busy")).scalar()
+    busy = ride_spans(events).agg(
+        (F.sum("busy_us") / 60_000_000.0).alias("busy")
+    ).scalar()
     as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
     capacity = as_col(n_drivers).cast("double") * as_col(horizon_min).cast("double")
     wait = F.when(_is(MATCHED) & ~F.isnan("wait_min"), F.col("wait_min"))

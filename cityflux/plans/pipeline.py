@@ -23,15 +23,14 @@ def gate_raw(raw: DataFrame, name: str) -> DataFrame:
     ]
     if broken:
         raise ContractViolation(f"{name}: " + "; ".join(broken))
-    return raw.select(*RAW_COLUMNS)
+    return raw.select(*RAW_COLUMNS, "month")
 
 
 def publish_cleaned(
     catalog: Catalog, raw_dir: str, months: list[str], rules: CleaningRules = CleaningRules()
 ) -> str:
-    raw = read_raw_months(catalog.spark, raw_dir, months)
-    checked = {m: gate_raw(df, f"raw trips {m}") for m, df in raw.items()}
-    return catalog.publish("cleaned_trips", clean_months(checked, rules))
+    raw = gate_raw(read_raw_months(catalog.spark, raw_dir, months), "raw trips")
+    return catalog.publish("cleaned_trips", clean_months(raw, months, rules))
 
 
 def build_features(catalog: Catalog) -> tuple[str, str]:

@@ -52,16 +52,13 @@ class Catalog:
         path = self.path(name)
         if not files.exists(self.spark, path):
             raise FileNotFoundError(f"{name!r} not built yet: {path}")
+        df = self.spark.read.parquet(path)
         layout = MONTHLY.get(name)
-        # a month folder name is text, not a date
-        reader = self.spark.read
-        if layout is None:
-            return reader.parquet(path)
-        df = reader.parquet(path)
-        if layout not in df.columns:
+        if layout is None or layout not in df.columns:
             return df
         if months is not None:
-            df = df.where(F.col(layout).cast("string").isin(*months))
+            # folder names are read back as dates or text, whichever they look like
+            df = df.where(F.date_format(F.to_date(layout), "yyyy-MM").isin(*months))
         return df.drop(layout)
 
     def publish(self, name: str, df: DataFrame, allow_empty: bool = False) -> str:
@@ -125,9 +122,15 @@ def raw_month_path(raw_dir: str, month: str) -> str:
     return f"{str(raw_dir).rstrip('/')}/yellow_tripdata_{month}.parquet"
 
 
-def read_raw_months(spark: SparkSession, raw_dir: str, months: list[str]) -> dict[str, DataFrame]:
-    """Raw trips per month, lazily."""
-    return {m: spark.read.parquet(raw_month_path(raw_dir, m)) for m in months}
+def read_raw_months(spark: SparkSession, raw_dir: str, months: list[str]) -> DataFrame:
+    """Raw trips of several months in one scan, with the file's ``month``.
+
+    A month may be one file or a folder of files.
+    """
+    paths = [raw_month_path(raw_dir, m) for m in months]
+    return spark.read.parquet(*paths).withColumn(
+        "month", F.regexp_extract("_metadata.file_path", r"yellow_tripdata_(\d{4}-\d{2})", 1)
+    )
 
 
 def read_zone_lookup(spark: SparkSession, path: str) -> DataFrame:

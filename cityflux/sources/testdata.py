@@ -16,7 +16,6 @@ from ..constants import (
 from ..functions import clock
 from ..operators.events import as_event_log
 from ..operators.ordered import next_value
-from ..operators.panel import zones_table
 
 MONTH = "2024-01"
 START, END = "2024-01-01", "2024-02-01"
@@ -51,6 +50,31 @@ def raw_trips(events: DataFrame) -> DataFrame:
     ).drop("_copy")
 
 
+def shipping_trips(lineitem: DataFrame) -> DataFrame:
+    """Raw trips over many months, with the month of the file they came in.
+
+    Every 97th order is filed under a wrong month.
+    """
+    pickup = clock.add_minutes(
+        F.col("l_shipdate").cast("timestamp_ntz"), (F.col("l_orderkey") % 1440).cast("double")
+    )
+    filed = F.when(F.col("l_orderkey") % 97 == 0, "1995-01").otherwise(
+        clock.month_key(F.col("l_shipdate"))
+    )
+    pax = F.col("l_linenumber") % 7
+    return lineitem.select(
+        pickup.alias("tpep_pickup_datetime"),
+        clock.add_minutes(pickup, (F.col("l_partkey") % 200).cast("double")).alias(
+            "tpep_dropoff_datetime"
+        ),
+        F.when(pax != 0, pax).cast("double").alias("passenger_count"),
+        (F.col("l_quantity") * 2.5).alias("trip_distance"),
+        (F.col("l_suppkey") % 265 + 1).alias("PULocationID"),
+        (F.col("l_partkey") % 265 + 1).alias("DOLocationID"),
+        filed.alias("month"),
+    )
+
+
 def ride_events(events: DataFrame) -> DataFrame:
     """An event log: rider = event, driver = user, a few rules broken on purpose.
 
@@ -112,13 +136,16 @@ def ride_events(events: DataFrame) -> DataFrame:
     return as_event_log(rows)
 
 
-def centroids(spark: SparkSession) -> DataFrame:
-    """Made-up zone centroids on a grid (the real geometry is not available)."""
-    z = F.col("zone_id")
-    return zones_table(spark).select(
-        "zone_id",
-        (F.lit(40.5) + (z % 17) * F.lit(0.025)).alias("lat"),
-        (F.lit(-74.2) + F.floor(z / 17) * F.lit(0.03)).alias("lon"),
+def centroids(events: DataFrame) -> DataFrame:
+    """Zone centroids as the mean of the event positions in each zone.
+
+    The positions are made up (the real geometry is not available).
+    """
+    e = F.col("event_id")
+    z = e % ZONE_MAX + 1
+    return events.groupBy(z.alias("zone_id")).agg(
+        F.avg(F.lit(40.5) + (z * 7919) % 1000 / 2500.0 + (e % 13) / 10000.0).alias("lat"),
+        F.avg(F.lit(-74.2) + (z * 104729) % 1000 / 2000.0 + (e % 11) / 10000.0).alias("lon"),
     )
 
 
