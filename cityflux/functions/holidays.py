@@ -2,51 +2,44 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, functions as F
 
-# Fixed-date holidays: month, day, first year (fixed values).
-FIXED_DATES = (
-    (1, 1, 1871),
-    (6, 19, 2021),
-    (7, 4, 1871),
-    (11, 11, 1978),
-    (12, 25, 1871),
-)
-# Weekday holidays: month, weekday (Monday = 0), first and last possible day,
-# first year (fixed values).
+# Fixed-date holidays as month * 100 + day (fixed values); Juneteenth since 2021.
+FIXED_DATES = (101, 704, 1111, 1225)
+JUNETEENTH, JUNETEENTH_SINCE = 619, 2021
+# Weekday holidays: weekday (Monday = 0), first and last possible date (fixed values).
 FLOATING = (
-    (1, 0, 15, 21, 1986),
-    (2, 0, 15, 21, 1971),
-    (5, 0, 25, 31, 1971),
-    (9, 0, 1, 7, 1894),
-    (10, 0, 8, 14, 1971),
-    (11, 3, 22, 28, 1942),
+    (0, 115, 121),
+    (0, 215, 221),
+    (0, 525, 531),
+    (0, 901, 907),
+    (0, 1008, 1014),
+    (3, 1122, 1128),
 )
 
 
-def _on(day: Column, month: int, dom: int, since: int) -> Column:
-    return (F.month(day) == month) & (F.dayofmonth(day) == dom) & (F.year(day) >= since)
+def _month_day(day: str) -> str:
+    return f"(month({day}) * 100 + day({day}))"
+
+
+def _fixed(day: str) -> str:
+    dates = ", ".join(str(d) for d in FIXED_DATES)
+    return (
+        f"({_month_day(day)} IN ({dates}) "
+        f"OR ({_month_day(day)} = {JUNETEENTH} AND year({day}) >= {JUNETEENTH_SINCE}))"
+    )
 
 
-def is_federal_holiday(ts: Column) -> Column:
+def is_federal_holiday(ts: str) -> Column:
     """The day itself, or its observed Friday / Monday when it falls on a weekend."""
-    day = F.to_date(ts)
-    dow = F.weekday(day)
-    rules = []
-    for month, dom, since in FIXED_DATES:
-        rules += [
-            _on(day, month, dom, since),
-            (dow == 0) & _on(F.date_sub(day, 1), month, dom, since),
-            (dow == 4) & _on(F.date_add(day, 1), month, dom, since),
-        ]
-    for month, wanted, first, last, since in FLOATING:
-        rules.append(
-            (F.month(day) == month)
-            & (dow == wanted)
-            & F.dayofmonth(day).between(first, last)
-            & (F.year(day) >= since)
-        )
-    return reduce(or_, rules)
+    day = f"to_date(`{ts}`)"
+    rules = [
+        _fixed(day),
+        f"(weekday({day}) = 0 AND {_fixed(f'date_sub({day}, 1)')})",
+        f"(weekday({day}) = 4 AND {_fixed(f'date_add({day}, 1)')})",
+    ]
+    rules += [
+        f"(weekday({day}) = {dow} AND {_month_day(day)} BETWEEN {first} AND {last})"
+        for dow, first, last in FLOATING
+    ]
+    return F.expr(" OR ".join(rules))

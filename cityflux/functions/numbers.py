@@ -13,7 +13,7 @@ def as_long(df: DataFrame, name: str) -> Column:
     col = F.col(name)
     if kind in ("bigint", "int", "smallint", "tinyint", "string"):
         return col.cast("long")
-    return F.bround(col.cast("double")).cast("long")
+    return F.rint(col.cast("double")).cast("long")
 
 
 def ratio(part: Column, whole: Column) -> Column:

@@ -15,11 +15,14 @@ from .profile import expected_arrivals
 # Poisson counts are drawn for pieces of at most this expectation, where
 # exp(-expected) is far from underflow and the search below is short.
 PIECE = 16.0
-_SEARCH = 90
 
 
 def _poisson_count(u: Column, mean: Column) -> Column:
-    """Smallest k with CDF(k) >= u, for means up to ``PIECE``."""
+    """Smallest k with CDF(k) >= u, for means up to ``PIECE``.
+
+    Most pieces end at 0; the others walk the terms up to ten deviations out.
+    """
+    reach = F.ceil(mean + F.sqrt(mean) * 10.0).cast("int") + 20
     start = F.struct(
         F.exp(-mean).alias("pmf"), F.exp(-mean).alias("cdf"), F.lit(0).cast("long").alias("k")
     )
@@ -34,9 +37,8 @@ def _poisson_count(u: Column, mean: Column) -> Column:
             .alias("k"),
         )
 
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(_SEARCH)), start, step, lambda s: s.getField("k")
-    )
+    walk = F.aggregate(F.sequence(F.lit(1), reach), start, step, lambda s: s.getField("k"))
+    return F.when(u <= F.exp(-mean), F.lit(0).cast("long")).otherwise(walk)
 
 
 def arrival_pieces(

@@ -129,27 +129,27 @@ def _contenders(
 
 def _nearest_fifo(riders: pd.DataFrame, drivers: pd.DataFrame, km: np.ndarray, radius_km: float):
     """Riders in request order each take the closest free driver within the radius."""
-    stacks: dict[int, list[tuple[int, int]]] = {}
-    for zone, pos, driver in (
-        drivers.sort_values("driver_pos")[["zone", "driver_pos", "driver_id"]].itertuples(
-            index=False, name=None
-        )
-    ):
-        stacks.setdefault(int(zone), []).append((int(pos), int(driver)))
+    free: dict[int, list[tuple[int, int]]] = {}
+    by_pos = np.argsort(drivers["driver_pos"].to_numpy(), kind="stable")
+    columns = (drivers[c].to_numpy()[by_pos].tolist() for c in ("zone", "driver_pos", "driver_id"))
+    for zone, pos, driver in zip(*columns):
+        free.setdefault(zone, []).append((pos, driver))
+    by_time = np.lexsort((riders["rider_pos"].to_numpy(), riders["request_ts"].to_numpy()))
+    zones = list(free)
+    near: dict[int, list[tuple[float, int]]] = {}  # rider zone -> zones in reach, closest first
     out = []
-    ordered = riders.sort_values(["request_ts", "rider_pos"], kind="stable")
-    for rider, zone in ordered[["rider_id", "zone"]].itertuples(index=False, name=None):
+    for rider, zone in zip(*(riders[c].to_numpy()[by_time].tolist() for c in ("rider_id", "zone"))):
+        if zone not in near:
+            reach = ((float(km[z, zone]), z) for z in zones)
+            near[zone] = sorted(r for r in reach if r[0] <= radius_km)
         best = None
-        for z, stack in stacks.items():
-            d = km[z, zone]
-            if d <= radius_km and (best is None or (d, -stack[-1][0]) < best[0]):
-                best = ((d, -stack[-1][0]), z)
-        if best is None:
-            continue
-        (d, _), z = best
-        out.append((int(rider), stacks[z].pop()[1], float(d)))
-        if not stacks[z]:
-            del stacks[z]
+        for d, z in near[zone]:
+            if best is not None and d > best[0]:
+                break
+            if free[z] and (best is None or free[z][-1] > free[best[1]][-1]):
+                best = (d, z)
+        if best is not None:
+            out.append((rider, free[best[1]].pop()[1], best[0]))
     return pd.DataFrame(out, columns=["rider_id", "driver_id", "pickup_km"])
 
 
@@ -199,6 +199,8 @@ def assign_fifo(
     if policy == "nearest_driver":
         riders, drivers = _contenders(riders, drivers, distances, radius_km)
     km = _distance_matrix(distances)
+    # few bytes but much work per row: keep all partitions, AQE would merge them
+    tasks = int(riders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def one_tick(tick, waiting: pd.DataFrame, idle: pd.DataFrame) -> pd.DataFrame:
         if waiting.empty or idle.empty:
@@ -209,7 +211,12 @@ def assign_fifo(
 
     return (
         riders.select("tick", "rider_id", "zone", "request_ts", "rider_pos")
+        .repartition(tasks, "tick")
         .groupBy("tick")
-        .cogroup(drivers.select("tick", "driver_id", "zone", "driver_pos").groupBy("tick"))
+        .cogroup(
+            drivers.select("tick", "driver_id", "zone", "driver_pos")
+            .repartition(tasks, "tick")
+            .groupBy("tick")
+        )
         .applyInPandas(one_tick, ASSIGNMENT_DDL)
     )

@@ -12,13 +12,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.clock import trunc
+from ..functions.clock import floor_micros
 
 _B, _RN, _IN, _EDGE, _CARRY = "_bucket", "_rn", "_inner", "_edge", "_carry"
 
 
 def _bucketed(df: DataFrame, order: Sequence[str], unit: str) -> DataFrame:
-    return df.withColumn(_B, trunc(unit, F.col(order[0])))
+    return df.withColumn(_B, floor_micros(unit, F.col(order[0])))
 
 
 def _neighbour(
@@ -51,7 +51,10 @@ def _neighbour(
 
 
 def previous_value(df, key, order, value, out, unit="hour") -> DataFrame:
-    """``lag(value)`` per key; ``order[0]`` is a timestamp, key columns are not null."""
+    """``lag(value)`` per key; ``order[0]`` is a timestamp, key columns are not null.
+
+    ``unit`` is the bucket: second, minute, hour or day.
+    """
     return _neighbour(df, key, order, value, out, unit, ahead=False)
 
 

@@ -18,17 +18,39 @@ FEATURE_COLUMNS = (
 
 def hourly_counts(trips: DataFrame, zone: str = "pu_location_id", ts: str = "pickup_ts") -> DataFrame:
     """Pickups per (zone, hour); combined map-side, so a hot zone ships its hours only."""
-    return trips.groupBy(
-        F.col(zone).alias("zone_id"), clock.hour_floor(F.col(ts)).alias("ts")
-    ).agg(F.count(F.lit(1)).alias("pickups"))
+    hour = clock.floor_micros("hour", F.col(ts))
+    counts = trips.groupBy(F.col(zone).alias("zone_id"), hour.alias("_hour")).agg(
+        F.count(F.lit(1)).alias("pickups")
+    )
+    return counts.select("zone_id", clock.from_micros(F.col("_hour")).alias("ts"), "pickups")
 
 
 def time_bounds(counts: DataFrame, ts: str = "ts") -> Column:
-    """First and last observed hour as one struct subquery (``lo``, ``hi``).
+    """First and last observed hour as one struct subquery (``lo``, ``hi``, ``n``).
+
+    Rows outside the zone domain count here too. The total keeps this aggregate equal
+    to the one of the main plan, which then reuses its shuffle.
+    """
+    return counts.agg(
+        F.struct(
+            F.min(ts).alias("lo"), F.max(ts).alias("hi"), F.sum("pickups").alias("n")
+        ).alias("b")
+    ).scalar()
+
 
-    Rows outside the zone domain count here too.
+def shared_counts(counts: DataFrame) -> DataFrame:
+    """Counts with keys that are never null, for a join beside :func:`time_bounds`.
+
+    On nullable keys the join would filter nulls below the aggregate, the two
+    aggregates would differ, and the trips would be scanned and shuffled twice.
+    Zone 0 is outside the domain, as null is.
     """
-    return counts.agg(F.struct(F.min(ts).alias("lo"), F.max(ts).alias("hi")).alias("b")).scalar()
+    return counts.withColumns(
+        {
+            "zone_id": F.coalesce("zone_id", F.lit(0).cast("long")),
+            "ts": F.coalesce("ts", clock.from_micros(F.lit(0).cast("long"))),
+        }
+    )
 
 
 def zones_table(spark: SparkSession, zone_min: int = ZONE_MIN, zone_max: int = ZONE_MAX) -> DataFrame:
@@ -52,7 +74,7 @@ def dense_grid(counts: DataFrame, zone_min: int = ZONE_MIN, zone_max: int = ZONE
         .withColumn("_b", time_bounds(counts))
         .select("zone_id", F.explode(_hours(F.col("_b"))).alias("ts"))
     )
-    return grid.join(counts, list(PANEL_KEYS), "left").select(
+    return grid.join(shared_counts(counts), list(PANEL_KEYS), "left").select(
         *PANEL_KEYS, F.coalesce("pickups", F.lit(0).cast("long")).alias("pickups")
     )
 
@@ -63,7 +85,7 @@ def add_calendar(df: DataFrame, ts: str = "ts") -> DataFrame:
         {
             "hour": clock.hour_of_day(col),
             "dow": clock.weekday(col),
-            "is_holiday": is_federal_holiday(col),
+            "is_holiday": is_federal_holiday(ts),
         }
     )
 

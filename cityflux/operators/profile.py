@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..constants import HOURS_PER_WEEK, ZONE_MAX, ZONE_MIN
 from ..functions import clock
 from ..functions.numbers import ratio
-from .panel import hourly_counts, time_bounds
+from .panel import hourly_counts, shared_counts, time_bounds
 
 PROFILE_COLUMNS = ("zone_id", "how", "rate_per_hour")
 
@@ -36,7 +36,9 @@ def demand_profile(
     Sums of the sparse counts over the number of such hours: no dense panel.
     """
     counts = hourly_counts(trips)
-    sums = counts.groupBy("zone_id", clock.hour_of_week(F.col("ts")).alias("how")).agg(
+    # never null, like the other keys: see shared_counts
+    how = F.coalesce(clock.hour_of_week(F.col("ts")), F.lit(0).cast("long")).alias("how")
+    sums = shared_counts(counts).groupBy("zone_id", how).agg(
         F.sum("pickups").alias("_sum")
     )
     slots = week_slots(trips.sparkSession, zone_min, zone_max)

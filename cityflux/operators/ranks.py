@@ -12,13 +12,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.clock import trunc
+from ..functions.clock import MICROS, floor_micros, from_micros
 
 CELLS = 4096
 
 
 def _with_offset(cells: DataFrame, order: str, partition: Sequence[str] = ()) -> DataFrame:
-    """Add ``_before``: rows in earlier cells."""
+    """Add ``_before``: rows in earlier cells. The cells are few by construction."""
     window = Window.partitionBy(*partition).orderBy(order)
     return cells.withColumn(
         "_before",
@@ -26,47 +26,44 @@ def _with_offset(cells: DataFrame, order: str, partition: Sequence[str] = ()) ->
     )
 
 
-def _holding(cells: DataFrame, rank: str) -> DataFrame:
-    """The cell that holds the rank, with the rank counted from its first row."""
-    inside = (F.col("_before") <= F.col(rank)) & (F.col(rank) < F.col("_before") + F.col("_n"))
-    return cells.where(inside).withColumn(rank, F.col(rank) - F.col("_before"))
+def _holding(cells: DataFrame):
+    """(at, rank): the one cell that holds ``_rank``, and the rank counted inside it."""
+    rank = F.col("_rank")
+    inside = (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_n"))
+    found = _with_offset(cells, "_at").where(inside)
+    return found.select("_at", (rank - F.col("_before")).alias("_rank")).head()
 
 
-def time_cutoff(df: DataFrame, ts: str, train_fraction: float) -> Column:
-    """The timestamp at rank ``clamp(int(n * fraction), 1, n - 1)``, as a subquery.
-
-    Counts per second are added up to days: at most one row per calendar day, then
-    86,400 seconds of one day, then 10**6 microseconds of one second.
-    """
-    per_second = df.groupBy(trunc("second", F.col(ts)).alias("_sec")).agg(
+def _counts_per(unit: str, rows: DataFrame, ts: str) -> DataFrame:
+    return rows.groupBy(floor_micros(unit, F.col(ts)).alias("_at")).agg(
         F.count(F.lit(1)).alias("_n")
     )
-    days = per_second.groupBy(trunc("day", F.col("_sec")).alias("_day")).agg(
-        F.sum("_n").alias("_n")
-    )
+
+
+def time_cutoff(df: DataFrame, ts: str, train_fraction: float) -> Column | None:
+    """The timestamp at rank ``clamp(int(n * fraction), 1, n - 1)`` as a literal.
+
+    Counts per hour (one row per hour of the calendar) find the hour, counts per
+    second (at most 3,600 rows) the second in it, counts per microsecond (at most
+    10**6 rows) the value. Three small jobs, one row to the driver each: the bounds
+    found are literals, so the later scans skip all other row groups and only the
+    first one reads the whole column. ``df`` should be a stored table. None if empty.
+    """
+    hours = _counts_per("hour", df, ts)
     total = F.sum("_n").over(
-        Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     )
     rank = F.least(
         F.greatest(F.floor(total * F.lit(train_fraction)).cast("long"), F.lit(1)), total - 1
     )
-    day = _holding(_with_offset(days.withColumn("_rank", rank), "_day"), "_rank").select(
-        "_day", "_rank"
-    )
-    # One row on the broadcast side: the day that holds the rank.
-    in_day = per_second.withColumn("_day", trunc("day", F.col("_sec"))).join(
-        F.broadcast(day), "_day"
-    )
-    second = _holding(_with_offset(in_day, "_sec", ["_day"]), "_rank").select("_sec", "_rank")
-    start = second.select("_sec").scalar()
-    # The literal bounds reach the scan, so only files of that second are read.
-    in_second = (
-        df.where((F.col(ts) >= start) & (F.col(ts) < start + F.expr("INTERVAL 1 SECOND")))
-        .groupBy(F.col(ts).alias("_ts"), trunc("second", F.col(ts)).alias("_sec"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .join(F.broadcast(second), "_sec")
-    )
-    return _holding(_with_offset(in_second, "_ts", ["_sec"]), "_rank").select("_ts").scalar()
+    cell = _holding(hours.withColumn("_rank", rank))
+    if cell is None:
+        return None
+    for outer, inner in (("hour", "second"), ("second", "microsecond")):
+        start, end = (from_micros(F.lit(us)) for us in (cell[0], cell[0] + MICROS[outer]))
+        rows = df.where((F.col(ts) >= start) & (F.col(ts) < end))
+        cell = _holding(_counts_per(inner, rows, ts).withColumn("_rank", F.lit(cell[1])))
+    return from_micros(F.lit(cell[0]))
 
 
 def exact_quantiles(

@@ -23,6 +23,8 @@ def time_split(
     by counting; labelling itself moves no rows.
     """
     cutoff = time_cutoff(df, ts, 1.0 - holdout)
+    if cutoff is None:
+        raise ValueError("cannot split a table without rows")
     return df.withColumn(
         out, F.when(F.col(ts) < cutoff, F.lit("train")).otherwise(F.lit("holdout"))
     )

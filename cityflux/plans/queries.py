@@ -37,18 +37,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def tidy(df: DataFrame) -> DataFrame:
     """Rounded doubles, no negative zero."""
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.round(F.col(f"`{name}`"), 6) + F.lit(0.0)).alias(name)
-            if kind == "double"
-            else F.col(f"`{name}`")
+            f"round(`{name}`, 6) + 0.0D AS `{name}`" if kind == "double" else f"`{name}`"
             for name, kind in df.dtypes
         ]
     )
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
 class Tables:
-    """The given tables and what the operators derive from them, all lazy."""
+    """The given tables and what the operators start from.
+
+    Raw trips, cleaned trips and the event log are files for their operators, so they
+    are derived and written once per application and read back from there.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.sf_dir = configure(spark), sf_dir
@@ -56,14 +61,29 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return td.table(self.spark, self.sf_dir, name)
 
+    def stored_path(self, name: str, derive: Callable[[], DataFrame]) -> str:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _stored:
+            _stored[key] = runs.save_table(derive(), name)
+        return _stored[key]
+
+    def stored(self, name: str, derive: Callable[[], DataFrame]) -> DataFrame:
+        return self.spark.read.parquet(self.stored_path(name, derive))
+
     def raw(self) -> DataFrame:
-        return td.raw_trips(self.events)
+        return self.stored("raw-trips", lambda: td.raw_trips(self.events))
 
-    def trips(self) -> DataFrame:
+    def cleaned(self) -> DataFrame:
         return cleaning.clean_trips(self.raw(), td.START, td.END)
 
+    def trips(self) -> DataFrame:
+        return self.stored("cleaned-trips", self.cleaned)
+
     def shipping(self) -> DataFrame:
-        return td.shipping_trips(self.lineitem)
+        return self.stored(
+            "shipping-trips",
+            lambda: td.shipping_trips(self.lineitem).repartitionByRange("month"),
+        )
 
     def panel(self) -> DataFrame:
         return panel.dense_grid(panel.hourly_counts(self.trips()))
@@ -71,8 +91,11 @@ class Tables:
     def profile(self) -> DataFrame:
         return profile.demand_profile(self.trips())
 
+    def log_path(self) -> str:
+        return self.stored_path("event-log", lambda: td.ride_events(self.events))
+
     def log(self) -> DataFrame:
-        return td.ride_events(self.events)
+        return self.spark.read.parquet(self.log_path())
 
     def distances(self) -> DataFrame:
         return geo.zone_distances(td.centroids(self.events))
@@ -154,7 +177,7 @@ def verify_files(t):
 
 @query
 def clean_trips(t):
-    return t.trips()
+    return t.cleaned()
 
 
 @query
@@ -477,16 +500,13 @@ def draw_destinations(t):
 
 
 def _log_stream(t):
-    path = runs.save_table(t.log(), "event-log")
-    return runs.read_stream(t.spark, path, t.spark.read.parquet(path).schema), path
+    return runs.read_stream(t.spark, t.log_path(), t.log().schema)
 
 
 @query
 def live_ride_metrics(t):
-    stream, path = _log_stream(t)
-    tallies = runs.run_update(live.live_tallies(stream), "tallies")
-    log = t.spark.read.parquet(path)
-    return live.metrics_from_tallies(tallies, log, t.fleet_size(), HORIZON_MIN)
+    tallies = runs.run_update(live.live_tallies(_log_stream(t)), "tallies")
+    return live.metrics_from_tallies(tallies, t.log(), t.fleet_size(), HORIZON_MIN)
 
 
 @query
@@ -500,20 +520,18 @@ def live_hourly_counts(t):
 
 @query
 def live_patience_cancels(t):
-    stream, _ = _log_stream(t)
-    return runs.run_append(live.live_patience_cancels(stream), "patience")
+    return runs.run_append(live.live_patience_cancels(_log_stream(t)), "patience")
 
 
 @query
 def live_illegal_transitions(t):
-    stream, _ = _log_stream(t)
-    return live.run_lifecycle_check(stream, "lifecycle")
+    return live.run_lifecycle_check(_log_stream(t), "lifecycle")
 
 
 @query
 def live_unique_trips(t):
-    path = runs.save_table(t.raw(), "raw-trips")
-    raw = runs.read_stream(t.spark, path, t.spark.read.parquet(path).schema)
+    path = t.stored_path("raw-trips", lambda: td.raw_trips(t.events))
+    raw = runs.read_stream(t.spark, path, t.raw().schema)
     return runs.run_append(live.live_unique_trips(raw, td.START, td.END), "unique")
 
 

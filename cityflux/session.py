@@ -30,6 +30,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .appName("cityflux")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # do not record a Python stack for every column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", memory)
     )
@@ -38,16 +40,20 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     return builder.getOrCreate()
 
 
+_local_scratch: dict[str, str] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh folder under the shared ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of this machine.
+    Only a local session without that setting falls back to a folder of this machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="cityflux-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if context.applicationId not in _local_scratch:
+            _local_scratch[context.applicationId] = tempfile.mkdtemp(prefix="cityflux-")
+        base = _local_scratch[context.applicationId]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

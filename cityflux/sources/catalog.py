@@ -93,12 +93,15 @@ class Catalog:
 
 
 def write_sorted(df: DataFrame, path: str, keys: list[str], partition_by=()) -> None:
-    """Range-partitioned files, sorted inside: order as layout, no global sort task.
+    """Files sorted inside, so row groups prune by time: order as layout only.
 
-    Ranges come from a sample, so a crowded hour spreads over several files.
+    One folder needs no shuffle for that. Several month folders get ranges of
+    (month, keys), lest every task writes a file into every folder; ranges come from a
+    sample, so a crowded month or hour spreads over several files.
     """
-    out = df.repartitionByRange(*partition_by, *keys).sortWithinPartitions(*partition_by, *keys)
-    writer = out.write.mode("overwrite")
+    if partition_by:
+        df = df.repartitionByRange(*partition_by, *keys)
+    writer = df.sortWithinPartitions(*partition_by, *keys).write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -125,3 +125,17 @@ def test_quantiles_of_nothing(spark):
     assert exact_quantiles(
         values_frame(spark, []).withColumn("k", F.lit(1)), "x", {"m": 0.5}, ["k"]
     ).collect() == []
+
+
+def test_split_of_nothing_is_refused(spark):
+    with pytest.raises(ValueError):
+        time_split(stamp_frame(spark, []), "ts")
+
+
+def test_cutoff_bounds_reach_the_scan(spark, tmp_path, capsys):
+    """The final label and the narrow counts use literals."""
+    path = str(tmp_path / "t")
+    stamp_frame(spark, [START + timedelta(minutes=i) for i in range(50)]).write.parquet(path)
+    time_split(spark.read.parquet(path), "ts").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "Subquer" not in plan and "Exchange" not in plan
