@@ -79,23 +79,43 @@ def sample_arrivals(
     )
 
 
-def _ladder(weights: DataFrame) -> Column:
-    """Cumulative shares by zone as one sorted array (263 entries)."""
-    upto = Window.orderBy("zone_id").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        weights.withColumn("upto", F.sum("weight").over(upto))
-        .agg(F.sort_array(F.collect_list(F.struct("upto", "zone_id"))).alias("ladder"))
-        .scalar()
+PICK_CELLS = 1024
+
+
+def _pick_table(weights: DataFrame) -> DataFrame:
+    """Shares laid end to end on [0, 1) and cut into cells: (cell, from, to, zone).
+
+    A zone has one row per cell it touches: at most 263 + 1,024 rows in all.
+    """
+    order = Window.orderBy("zone_id")
+    upto = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    shares = weights.withColumn("_to", upto).withColumn(
+        "_from", F.coalesce(F.lag("_to").over(order), F.lit(0.0))
+    )
+    # the last positive share also takes what rounding leaves below 1
+    last = F.max_by("zone_id", F.struct("_to", "zone_id")).over(Window.partitionBy())
+    shares = shares.withColumn(
+        "_to", F.when(F.col("zone_id") == last, F.lit(1.0)).otherwise(F.col("_to"))
+    ).where(F.col("_from") < F.col("_to"))
+    first_cell = F.floor(F.col("_from") * PICK_CELLS)
+    last_cell = F.least(F.floor(F.col("_to") * PICK_CELLS), F.lit(PICK_CELLS - 1))
+    return shares.select(
+        F.explode(F.sequence(first_cell, last_cell)).alias("_cell"), "_from", "_to", "zone_id"
     )
 
 
-def _pick(ladder: Column, u: Column) -> Column:
-    """First zone whose cumulative share exceeds the draw."""
-    above = F.filter(ladder, lambda s: s.getField("upto") > u)
-    return F.coalesce(
-        F.get(above, F.lit(0)).getField("zone_id"),
-        F.element_at(ladder, -1).getField("zone_id"),
+def _pick(df: DataFrame, table: DataFrame, u: Column, out: str) -> DataFrame:
+    """Add the zone whose share contains the draw: an equi join on the draw's cell."""
+    zones = F.broadcast(table.withColumnRenamed("zone_id", out))
+    drawn = df.withColumn("_u", u).withColumn(
+        "_at", F.floor(F.col("_u") * PICK_CELLS)
     )
+    inside = (
+        (F.col("_at") == F.col("_cell"))
+        & (F.col("_u") >= F.col("_from"))
+        & (F.col("_u") < F.col("_to"))
+    )
+    return drawn.join(zones, inside).drop("_u", "_at", "_cell", "_from", "_to")
 
 
 def uniform_weights(weights: DataFrame) -> DataFrame:
@@ -109,12 +129,7 @@ def place_fleet(
     drivers: DataFrame, weights: DataFrame, seed: int, driver: str = "driver_id"
 ) -> DataFrame:
     """A home zone per driver, drawn by the zone weights."""
-    return (
-        drivers.select(driver)
-        .withColumn("_ladder", _ladder(weights))
-        .withColumn("_u", uniform(seed, driver))
-        .select(driver, _pick(F.col("_ladder"), F.col("_u")).alias("zone_id"))
-    )
+    return _pick(drivers.select(driver), _pick_table(weights), uniform(seed, driver), "zone_id")
 
 
 def draw_destinations(
@@ -122,17 +137,8 @@ def draw_destinations(
     origin: str = "origin",
 ) -> DataFrame:
     """A destination per rider; drawn once more if it equals the origin."""
-    return (
-        riders.select(rider, origin)
-        .withColumn("_ladder", _ladder(weights))
-        .withColumn("_u1", uniform(seed, rider, F.lit("first")))
-        .withColumn("_u2", uniform(seed, rider, F.lit("again")))
-        .withColumn("_d", _pick(F.col("_ladder"), F.col("_u1")))
-        .select(
-            rider,
-            origin,
-            F.when(F.col("_d") != F.col(origin), F.col("_d"))
-            .otherwise(_pick(F.col("_ladder"), F.col("_u2")))
-            .alias("dest"),
-        )
-    )
+    table = _pick_table(weights)
+    drawn = _pick(riders.select(rider, origin), table, uniform(seed, rider, F.lit("first")), "_d")
+    drawn = _pick(drawn, table, uniform(seed, rider, F.lit("again")), "_again")
+    dest = F.when(F.col("_d") != F.col(origin), F.col("_d")).otherwise(F.col("_again"))
+    return drawn.select(rider, origin, dest.alias("dest"))

@@ -83,9 +83,13 @@ def _first_per_zone(df: DataFrame, order: list, limit: str, salt_by: str) -> Dat
     """Keep the first ``limit`` rows of each (tick, zone), salted against hot groups.
 
     A row kept overall is kept in its salt, so two rounds give the same rows while
-    no task sees more than a salt's share or ``SALTS`` short lists.
+    no task sees more than a salt's share or ``SALTS`` short lists. The explicit
+    ``repartition`` makes the salt count: rows that arrive partitioned by (tick, zone)
+    would satisfy the window as they are.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS))).repartition(
+        "tick", "zone", "_salt"
+    )
     for groups in (["tick", "zone", "_salt"], ["tick", "zone"]):
         rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
         salted = salted.withColumn("_rank", rank).where(F.col("_rank") <= F.col(limit))

@@ -93,7 +93,8 @@ def exact_quantiles(
     )
     extent = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")]
     if keys:
-        pool = values.join(values.groupBy(*keys).agg(*extent), keys)
+        # spread by value again: a hot key's values must not stay in one task
+        pool = values.join(values.groupBy(*keys).agg(*extent), keys).repartition(*keys, "_v")
     else:
         pool = values.withColumn("_x", values.agg(F.struct(*extent).alias("_x")).scalar()).select(
             "*", "_x.*"

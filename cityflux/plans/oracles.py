@@ -669,6 +669,32 @@ ORACLES: dict[str, str] = {
     "nearest_driver": _sql(
         "SELECT tick, rider_id, driver_id, round(km, 6) AS pickup_km FROM reachable "
         "WHERE place = 1", "reachable"),
+    "assign_fifo": _sql(
+        """, ranked AS (
+               SELECT tick, rider_id,
+                      row_number() OVER (PARTITION BY tick ORDER BY request_ts, rider_id) AS rn
+               FROM riders),
+           step(tick, rn, taken, rider_id, driver_id, km) AS (
+               SELECT DISTINCT tick, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::BIGINT,
+                      NULL::DOUBLE
+               FROM riders
+               UNION ALL
+               SELECT tick, rn,
+                      CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END,
+                      rider_id, pick, pick_km
+               FROM (
+                   SELECT r.tick, r.rn, s.taken, r.rider_id,
+                          arg_min(x.driver_id, (x.km, -x.driver_id)) AS pick,
+                          min(x.km) AS pick_km
+                   FROM step s
+                   JOIN ranked r ON r.tick = s.tick AND r.rn = s.rn + 1
+                   LEFT JOIN reachable x ON x.tick = r.tick AND x.rider_id = r.rider_id
+                        AND NOT list_contains(s.taken, x.driver_id)
+                   GROUP BY r.tick, r.rn, s.taken, r.rider_id))
+           SELECT tick, rider_id, driver_id, round(km, 6) AS pickup_km
+           FROM step WHERE driver_id IS NOT NULL""",
+        "riders", "reachable").replace("\n, ranked AS", ",\nranked AS").replace(
+            "WITH ", "WITH RECURSIVE ", 1),
     "event_union": _sql("SELECT * FROM log", "log"),
     "event_order": _sql(
         "SELECT driver_id, ts, seq, row_number() OVER (PARTITION BY driver_id ORDER BY ts, seq) "

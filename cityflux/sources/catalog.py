@@ -17,9 +17,10 @@ TABLES = {
     "demand_profile": "processed/demand_profile",
     "event_log": "processed/event_log",
 }
-# Column the rows are laid out by on storage, and tables split into month folders.
+# Columns the rows are laid out by on storage (enough of them to split a crowded
+# timestamp into ranges), and tables split into month folders.
 SORT_KEYS = {
-    "cleaned_trips": ["pickup_ts"],
+    "cleaned_trips": ["pickup_ts", "dropoff_ts", "pu_location_id", "do_location_id"],
     "demand_features": ["zone_id", "ts"],
     "eta_features": ["pickup_ts"],
     "demand_profile": ["zone_id", "how"],

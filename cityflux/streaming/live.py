@@ -122,14 +122,21 @@ def live_patience_cancels(
 def live_unique_trips(
     raw: DataFrame, start, end, rules: CleaningRules = CleaningRules(), delay: str = "1 hour"
 ) -> DataFrame:
-    """Cleaned trips without repeats that arrive within the delay."""
+    """Cleaned trips without repeats that arrive within the delay.
+
+    Copies are first dropped per input partition group, so that a trip with very many
+    copies does not send all of them to one task; the second round is the exact one.
+    """
     columns = [
         "pickup_ts", "dropoff_ts", "pu_location_id", "do_location_id", "trip_distance",
         "passenger_count",
     ]
     trips = _event_time(filter_trips(raw, start, end, rules), "pickup_ts", delay)
-    unique = trips.dropDuplicatesWithinWatermark(columns).withColumn(
-        "pickup_ts", F.col("pickup_ts").cast("timestamp_ntz")
+    salted = trips.withColumn("_salt", F.spark_partition_id() % 32)
+    unique = (
+        salted.dropDuplicatesWithinWatermark([*columns, "_salt"])
+        .dropDuplicatesWithinWatermark(columns)
+        .withColumn("pickup_ts", F.col("pickup_ts").cast("timestamp_ntz"))
     )
     return unique.select(
         *columns,
