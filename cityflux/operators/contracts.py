@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
@@ -83,7 +85,8 @@ def _row_rules(df: DataFrame, contract: Contract) -> list[tuple[str, str, Column
         raw = F.col(f"`{field.name}`")
         value = _coerced(field)
         null = _is_null(df, field.name, raw)
-        out.append(("coerce", field.name, ~null & value.isNull()))
+        as_is = dict(df.dtypes)[field.name] == field.type
+        out.append(("coerce", field.name, F.lit(False) if as_is else ~null & value.isNull()))
         if not field.nullable:
             out.append(("not_null", field.name, null))
         if field.rule is not None:
@@ -146,45 +149,47 @@ def conform(df: DataFrame, contract: Contract) -> DataFrame:
     )
 
 
-def enforce(df: DataFrame, contract: Contract) -> DataFrame:
-    """The conformed table, or :class:`ContractViolation` naming every failed rule."""
+def _broken(df: DataFrame, contract: Contract) -> Column:
+    """Does a row break any rule?"""
+    return reduce(or_, [failed for _, _, failed in _row_rules(df, contract)])
+
+
+def _refuse(df: DataFrame, contract: Contract) -> None:
     found = failures(check(df, contract))
-    if found:
-        raise ContractViolation(f"{contract.name}: " + "; ".join(found))
+    raise ContractViolation(f"{contract.name}: " + "; ".join(found))
+
+
+def enforce(df: DataFrame, contract: Contract) -> DataFrame:
+    """The conformed table, or :class:`ContractViolation` naming every failed rule.
+
+    A good table costs one count; the report is only made for a bad one.
+    """
+    if _schema_failures(df, contract) or df.agg(F.count_if(_broken(df, contract))).head()[0]:
+        _refuse(df, contract)
     return conform(df, contract)
 
 
 def observed(df: DataFrame, contract: Contract, extra: tuple[str, ...] = ()):
-    """The conformed table with the same counts riding on its next action.
+    """The conformed table, its rows counted and judged during its next action.
 
-    Returns (table, observation, verdict): run an action on the table, then call
-    ``verdict()``. ``extra`` names layout columns that are not part of the contract.
+    Returns (table, verdict): run an action on the table, then ``verdict()`` gives the
+    row count or raises with the report. ``extra`` names layout columns that are not
+    part of the contract.
     """
     visible = df.drop(*extra)
-    broken = _schema_failures(visible, contract)
-    if broken:
-        raise ContractViolation(f"{contract.name}: " + "; ".join(f"{c}: {r}" for r, c in broken))
-    rules = _row_rules(visible, contract)
+    if _schema_failures(visible, contract):
+        _refuse(visible, contract)
     watch = Observation()
-    counted = df.observe(
-        watch,
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(failed).alias(f"r{i}") for i, (_, _, failed) in enumerate(rules)],
-    )
-    table = counted.select(
-        *[_coerced(f).alias(f.name) for f in contract.fields], *[F.col(c) for c in extra]
+    table = (
+        df.withColumn("_broken", _broken(visible, contract))
+        .observe(watch, F.count(F.lit(1)).alias("rows"), F.count_if("_broken").alias("broken"))
+        .select(*[_coerced(f).alias(f.name) for f in contract.fields], *[F.col(c) for c in extra])
     )
 
     def verdict() -> int:
-        seen = watch.get
-        found = [
-            f"{column}: {rule} failed for {seen[f'r{i}']} rows"
-            for i, (rule, column, _) in enumerate(rules)
-            if seen[f"r{i}"]
-        ]
-        if found:
-            raise ContractViolation(f"{contract.name}: " + "; ".join(found))
-        return seen["rows"]
+        if watch.get["broken"]:
+            _refuse(visible, contract)
+        return watch.get["rows"]
 
     return table, verdict
 

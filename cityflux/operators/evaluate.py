@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..constants import LAG_HOURS
 from ..functions import clock
 from ..functions.numbers import REPLICA_PRIME, ratio, replica_draw, replica_words
-from .ranks import exact_quantiles
+from .ranks import exact_quantiles, global_quantiles
 
 WEEK_HOURS = 168
 Z_95 = 1.96  # two-sided 5 % (fixed value)
@@ -444,7 +444,5 @@ def psi(df: DataFrame, bin_col: str, is_reference: Column, floor: float = 1e-6)
 
 def latency_percentiles(df: DataFrame, value: str) -> DataFrame:
     """Interpolated median, nearest-rank p99."""
-    p50 = exact_quantiles(df, value, {"p50": 0.5}).select("p50").scalar()
-    return exact_quantiles(df, value, {"p99": 0.99}, method="nearest").select(
-        p50.alias("p50"), "p99"
-    )
+    found = global_quantiles(df, value, {"p50": ("linear", 0.5), "p99": ("nearest", 0.99)})
+    return df.sparkSession.createDataFrame([(found["p50"], found["p99"])], "p50 double, p99 double")

@@ -1,20 +1,24 @@
 """Exact order statistics without a global sort or a one-task window.
 
-Both operators first count rows per value (combined before the shuffle), then
-narrow the wanted rank through counts of coarse cells. Every window below runs
-over cells whose number is fixed by the calendar or by ``CELLS``, or over the
-distinct values of one smallest cell.
+A wanted rank is narrowed through counts of ever smaller cells, combined before the
+shuffle. Every window below runs over cells whose number is fixed by the calendar or
+by ``CELLS``, or over the values of one smallest cell.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clock import MICROS, floor_micros, from_micros
 
 CELLS = 4096
+FEW = 10_000  # rows left in a cell for which its values are counted one by one
+METHODS = ("linear", "nearest", "conformal")
 
 
 def _with_offset(cells: DataFrame, order: str, partition: Sequence[str] = ()) -> DataFrame:
@@ -66,24 +70,105 @@ def time_cutoff(df: DataFrame, ts: str, train_fraction: float) -> Column | None:
     return from_micros(F.lit(cell[0]))
 
 
+def _ranks(method: str, p: float, n: int) -> tuple[int, int, float]:
+    """0-based ranks of both neighbours and the way from the first to the second."""
+    if method == "linear":
+        at = (n - 1) * p
+        return math.floor(at), math.ceil(at), at - math.floor(at)
+    of = n + 1 if method == "conformal" else n
+    rank = max(min(math.ceil(of * p), n) - 1, 0)
+    return rank, rank, 0.0
+
+
+def values_at_ranks(rows: DataFrame, value: str, low: float, high: float, n: int, ranks) -> dict:
+    """The values at some 0-based ranks of ``n`` doubles between ``low`` and ``high``.
+
+    Each pass cuts the spans that hold an open rank into ``CELLS`` by their own range,
+    counts, and keeps the cells with the ranks; a span of few rows is counted by value.
+    Only counts are shuffled and only the kept cells (one per rank at most) reach the
+    driver; the span bounds are literals, which the scans can use.
+    """
+    v = F.col(value)
+    span_of = {rank: (low, high, 0, n) for rank in ranks}
+    while True:
+        spans = sorted({s for s in span_of.values() if s[0] < s[1]})
+        if not spans:
+            return {rank: span[0] for rank, span in span_of.items()}
+        cell, number = F.lit(None).cast("double"), F.lit(None).cast("int")
+        for i, (lo, hi, _, count) in enumerate(spans):
+            inside = v.between(lo, hi)
+            place = v if count <= FEW else F.floor((v - lo) / (hi - lo) * CELLS)
+            cell = F.when(inside, place.cast("double")).otherwise(cell)
+            number = F.when(inside, F.lit(i)).otherwise(number)
+        cells = (
+            rows.where(reduce(or_, [v.between(s[0], s[1]) for s in spans]))
+            .groupBy(number.alias("_span"), cell.alias("_cell"))
+            .agg(F.count(F.lit(1)).alias("_n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+        )
+        first, count = F.col("_before"), F.col("_n")
+        holds = [
+            (F.col("_span") == spans.index(span))
+            & (first <= rank - span[2])
+            & (rank - span[2] < first + count)
+            for rank, span in span_of.items()
+            if span in spans
+        ]
+        kept = _with_offset(cells, "_cell", ["_span"]).where(reduce(or_, holds)).collect()
+        for rank, span in span_of.items():
+            for c in kept:
+                if span in spans and spans.index(span) == c["_span"]:
+                    start = span[2] + c["_before"]
+                    if start <= rank < start + c["_n"]:
+                        span_of[rank] = (c["_lo"], c["_hi"], start, c["_n"])
+
+
+def global_quantiles(
+    df: DataFrame, value: str, wanted: dict[str, tuple[str, float]]
+) -> dict[str, float | None]:
+    """Exact quantiles of a whole column, ``name -> (method, p)``; None if it is empty."""
+    rows = df.select(F.col(value).cast("double").alias("_v"))
+    rows = rows.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    low, high, n = rows.agg(F.min("_v"), F.max("_v"), F.count("_v")).head()
+    if not n:
+        return dict.fromkeys(wanted)
+    ranks = {name: _ranks(method, p, n) for name, (method, p) in wanted.items()}
+    found = values_at_ranks(
+        rows, "_v", low, high, n, sorted({r for a, b, _ in ranks.values() for r in (a, b)})
+    )
+    return {name: found[a] + (found[b] - found[a]) * way for name, (a, b, way) in ranks.items()}
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
     probs: dict[str, float],
     keys: Sequence[str] = (),
     method: str = "linear",
-    levels: int = 2,
 ) -> DataFrame:
     """One row per key (or one row) with an exact quantile per name in ``probs``.
 
     ``linear`` interpolates between the two neighbouring values, ``nearest`` takes
     the value at rank ``ceil(p * n)``, ``conformal`` the one at rank
-    ``min(n, ceil(p * (n + 1)))``. Nulls and NaN are left out. Each level cuts the
-    cells that hold a wanted rank into ``CELLS`` more by their own range.
+    ``min(n, ceil(p * (n + 1)))``. Nulls and NaN are left out.
     """
-    if method not in ("linear", "nearest", "conformal"):
+    if method not in METHODS:
         raise ValueError(f"unknown quantile method {method!r}")
-    keys = list(keys)
+    if keys:
+        return _quantiles_per_key(df, value, probs, list(keys), method)
+    found = global_quantiles(df, value, {name: (method, p) for name, p in probs.items()})
+    schema = ", ".join(f"`{name}` double" for name in probs)
+    return df.sparkSession.createDataFrame([tuple(found[name] for name in probs)], schema)
+
+
+def _quantiles_per_key(
+    df: DataFrame, value: str, probs: dict[str, float], keys: list[str], method: str,
+    levels: int = 2,
+) -> DataFrame:
+    """Keyed form, lazy: any number of keys, nothing on the driver.
+
+    Rows are first counted per (key, value). Each level cuts the cells that hold a
+    wanted rank into ``CELLS`` more by their own range and drops the other cells.
+    """
     v = F.col("_v")
     values = (
         df.select(*keys, F.col(value).cast("double").alias("_v"))
@@ -91,14 +176,11 @@ def exact_quantiles(
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    extent = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")]
-    if keys:
-        # spread by value again: a hot key's values must not stay in one task
-        pool = values.join(values.groupBy(*keys).agg(*extent), keys).repartition(*keys, "_v")
-    else:
-        pool = values.withColumn("_x", values.agg(F.struct(*extent).alias("_x")).scalar()).select(
-            "*", "_x.*"
-        ).drop("_x")
+    extent = values.groupBy(*keys).agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
+    )
+    # spread by value again: a hot key's values must not stay in one task
+    pool = values.join(extent, keys).repartition(*keys, "_v")
     pool = pool.withColumn("_base", F.lit(0).cast("long"))
 
     wanted: dict[str, tuple[Column, Column]] = {}
@@ -113,24 +195,16 @@ def exact_quantiles(
             wanted[name] = (at, at)
 
     def holds(first: Column, count: Column) -> Column:
-        hit = F.lit(False)
-        for low, high in wanted.values():
-            for rank in (low, high):
-                hit = hit | ((rank >= first) & (rank < first + count))
-        return hit
+        hits = [(r >= first) & (r < first + count) for pair in wanted.values() for r in pair]
+        return reduce(or_, hits)
 
     group = list(keys)
     for level in range(levels):
         cell = f"_c{level}"
         width = F.col("_hi") - F.col("_lo")
+        place = F.least(F.floor((v - F.col("_lo")) / width * CELLS), F.lit(CELLS - 1))
         pool = pool.withColumn(
-            cell,
-            F.when(
-                width > 0,
-                F.least(F.floor((v - F.col("_lo")) / width * CELLS), F.lit(CELLS - 1)),
-            )
-            .otherwise(F.lit(0))
-            .cast("long"),
+            cell, F.when(width > 0, place).otherwise(F.lit(0)).cast("long")
         )
         cells = pool.groupBy(*group, cell).agg(
             F.sum("_n").alias("_n"),
@@ -145,10 +219,8 @@ def exact_quantiles(
             .where(holds(F.col("_base"), F.col("_n")))
             .drop("_n", "_before")
         )
-        # Unkeyed: at most two cells per quantile are left, whatever the data.
-        side = cells if keys else F.broadcast(cells)
         group.append(cell)
-        pool = pool.drop("_lo", "_hi", "_total", "_base").join(side, group)
+        pool = pool.drop("_lo", "_hi", "_total", "_base").join(cells, group)
 
     ranked = _with_offset(pool, "_v", group).withColumn(
         "_first", F.col("_base") + F.col("_before")
@@ -161,7 +233,6 @@ def exact_quantiles(
     picks = [F.max("_total").alias("_total")]
     for i, (low, high) in enumerate(wanted.values()):
         picks += [at_rank(low).alias(f"_low{i}"), at_rank(high).alias(f"_high{i}")]
-    picked = ranked.groupBy(*keys).agg(*picks) if keys else ranked.agg(*picks)
     out = []
     for i, (name, p) in enumerate(probs.items()):
         low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
@@ -170,4 +241,4 @@ def exact_quantiles(
             out.append((low + (high - low) * (at - F.floor(at))).alias(name))
         else:
             out.append(low.alias(name))
-    return picked.select(*keys, *out)
+    return ranked.groupBy(*keys).agg(*picks).select(*keys, *out)
