@@ -13,15 +13,18 @@ import os
 import sys
 import tempfile
 import time
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from cityflux.functions import clock
-from cityflux.operators import cleaning, panel, profile, split
-from cityflux.plans.queries import QUERIES
-from cityflux.session import local_session
-from cityflux.sources import testdata as td
-from cityflux.sources.catalog import Catalog
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+from cityflux.functions import clock  # noqa: E402
+from cityflux.operators import cleaning, panel, profile, split  # noqa: E402
+from cityflux.plans.queries import QUERIES  # noqa: E402
+from cityflux.session import local_session  # noqa: E402
+from cityflux.sources import testdata as td  # noqa: E402
+from cityflux.sources.catalog import Catalog  # noqa: E402
 
 HEADLINE = (
     "clean_trips", "clean_months", "check_report", "hourly_counts", "demand_features",

@@ -10,13 +10,19 @@ drivers  tick, driver_id, zone, driver_pos (input order; a driver once per tick)
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..constants import RADIUS_KM, ZONE_MAX, ZONE_MIN
+from .skew import join_spread
+
+# Tasks get the matching functions by value: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SALTS = 32
 ASSIGNMENT_DDL = "tick timestamp_ntz, rider_id bigint, driver_id bigint, pickup_km double"
@@ -55,7 +61,7 @@ def drivers_in_radius(
 ) -> DataFrame:
     """Per rider: how many drivers of the tick are in reach, and the closest distance."""
     near = _supply_near(drivers, distances, radius_km)
-    return riders.join(near, ["tick", "zone"], "left").select(
+    return join_spread(riders, near, ["tick", "zone"], "rider_id", "left").select(
         "tick",
         "rider_id",
         F.coalesce("reachable_drivers", F.lit(0).cast("long")).alias("reachable_drivers"),
@@ -68,7 +74,7 @@ def nearest_driver(
 ) -> DataFrame:
     """Closest driver per rider, each rider seen alone; ties go to the last in order."""
     near = _supply_near(drivers, distances, radius_km)
-    return riders.join(near, ["tick", "zone"]).select(
+    return join_spread(riders, near, ["tick", "zone"], "rider_id").select(
         "tick",
         "rider_id",
         F.col("_best.driver_id").alias("driver_id"),
@@ -110,7 +116,7 @@ def _contenders(
         "tick", "zone", F.col("reachable_drivers").alias("_limit")
     )
     kept_riders = _first_per_zone(
-        riders.join(supply, ["tick", "zone"]),
+        join_spread(riders, supply, ["tick", "zone"], "rider_id"),
         [F.col("request_ts"), F.col("rider_pos")],
         "_limit",
         "rider_id",
@@ -123,7 +129,7 @@ def _contenders(
         .agg(F.sum("_n").alias("_limit"))
     )
     kept_drivers = _first_per_zone(
-        drivers.join(demand, ["tick", "zone"]),
+        join_spread(drivers, demand, ["tick", "zone"], "driver_id"),
         [F.col("driver_pos").desc()],
         "_limit",
         "driver_id",

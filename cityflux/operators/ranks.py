@@ -15,6 +15,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clock import MICROS, floor_micros, from_micros
+from .skew import join_spread
 
 CELLS = 4096
 FEW = 10_000  # rows left in a cell for which its values are counted one by one
@@ -180,7 +181,7 @@ def _quantiles_per_key(
         F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
     )
     # spread by value again: a hot key's values must not stay in one task
-    pool = values.join(extent, keys).repartition(*keys, "_v")
+    pool = join_spread(values, extent, keys, "_v").repartition(*keys, "_v")
     pool = pool.withColumn("_base", F.lit(0).cast("long"))
 
     wanted: dict[str, tuple[Column, Column]] = {}
