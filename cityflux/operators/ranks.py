@@ -15,7 +15,6 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clock import MICROS, floor_micros, from_micros
-from .skew import join_spread
 
 CELLS = 4096
 FEW = 10_000  # rows left in a cell for which its values are counted one by one
@@ -177,12 +176,14 @@ def _quantiles_per_key(
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    extent = values.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total")
+    # the first cells are cut from the range of the whole column, the next ones from
+    # the range each cell really has under its key
+    extent = F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("_n").alias("n"))
+    pool = (
+        values.withColumn("_x", values.agg(extent.alias("x")).scalar())
+        .withColumns({"_lo": F.col("_x.lo"), "_hi": F.col("_x.hi")})
+        .drop("_x")
     )
-    # spread by value again: a hot key's values must not stay in one task
-    pool = join_spread(values, extent, keys, "_v").repartition(*keys, "_v")
-    pool = pool.withColumn("_base", F.lit(0).cast("long"))
 
     wanted: dict[str, tuple[Column, Column]] = {}
     for name, p in probs.items():
@@ -207,13 +208,14 @@ def _quantiles_per_key(
         pool = pool.withColumn(
             cell, F.when(width > 0, place).otherwise(F.lit(0)).cast("long")
         )
+        carried = [] if level == 0 else [F.first(c).alias(c) for c in ("_total", "_base")]
         cells = pool.groupBy(*group, cell).agg(
-            F.sum("_n").alias("_n"),
-            F.min("_v").alias("_lo"),
-            F.max("_v").alias("_hi"),
-            F.first("_total").alias("_total"),
-            F.first("_base").alias("_base"),
+            F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *carried
         )
+        if level == 0:
+            # at most CELLS rows per key
+            total = F.sum("_n").over(Window.partitionBy(*keys))
+            cells = cells.withColumns({"_total": total, "_base": F.lit(0).cast("long")})
         cells = (
             _with_offset(cells, cell, group)
             .withColumn("_base", F.col("_base") + F.col("_before"))

@@ -29,10 +29,16 @@ def join_spread(
 
     Rows of a hot key are spread over pieces by a hash of ``spread_by``; the rows of the
     small side are repeated for the pieces of hot keys only. Adaptive execution cannot
-    split such a join by itself when one side comes straight out of an aggregation.
+    split such a join by itself when one side comes straight out of an aggregation. The
+    list of hot keys (fewer than ``SHARE`` rows) is looked up first; ``big`` should be a
+    stored table. Without hot keys this is the plain join.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(big, on))
+    found = hot_keys(big, on)
+    rows = found.collect()
+    if not rows:
+        return big.join(small, on, how)
+    hot = F.broadcast(big.sparkSession.createDataFrame(rows, found.schema))
     pieces = F.coalesce("_pieces", F.lit(1))
     left = big.join(hot, on, "left").withColumn("_piece", F.pmod(F.xxhash64(spread_by), pieces))
     right = small.join(hot, on, "left").withColumn(
