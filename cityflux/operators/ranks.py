@@ -205,9 +205,9 @@ def _quantiles_per_key(
         cell = f"_c{level}"
         width = F.col("_hi") - F.col("_lo")
         place = F.least(F.floor((v - F.col("_lo")) / width * CELLS), F.lit(CELLS - 1))
-        pool = pool.withColumn(
-            cell, F.when(width > 0, place).otherwise(F.lit(0)).cast("long")
-        )
+        # never null: a null filter below the counts would keep them from being shared
+        place = F.coalesce(F.when(width > 0, place), F.lit(0)).cast("long")
+        pool = pool.withColumn(cell, place)
         carried = [] if level == 0 else [F.first(c).alias(c) for c in ("_total", "_base")]
         cells = pool.groupBy(*group, cell).agg(
             F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *carried
