@@ -6,12 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.testdata import table
 from .exact_dedup import exact_duplicates
+from .simhash import near_duplicates
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op10_simhash": op10_simhash,
 }
