@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.testdata import table
 from .exact_dedup import exact_duplicates
+from .packing import best_fit, token_pieces
 from .simhash import near_duplicates
+from .tables import stored
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(table(spark, sf_dir, "documents"))
+    digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return best_fit(stored(digests, "pieces"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +26,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op10_simhash": op10_simhash,
 }
