@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.testdata import table
+from .chat import as_chain, format_paths, parsed, under_loss
 from .exact_dedup import exact_duplicates
 from .language import identify
 from .packing import best_fit, token_pieces
@@ -38,6 +39,36 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+# a conversation whose texts look like control strings
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(TRICKY).alias("text"),
+    )
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    out = format_paths(stored(as_chain(given.unionByName(extra)), "messages"))
+    turn = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    read = out.select(
+        F.col("tree").alias("conv_id"),
+        parsed(F.col("formatted")).alias("turns"),
+        under_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", turn), ""), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -51,6 +82,7 @@ QUERIES = {
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_chat_format": op6_chat_format,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
 }
