@@ -8,6 +8,7 @@ from ..sources.testdata import table
 from .chat import as_chain, format_paths, parsed, under_loss
 from .exact_dedup import exact_duplicates
 from .language import identify
+from .multi_index import nearest
 from .packing import best_fit, token_pieces
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
@@ -15,6 +16,12 @@ from .tables import stored
 from .toxicity import score
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"))
+    return nearest(vectors, asked, k=10)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -78,6 +85,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_multi_index": op1_multi_index,
     "op2_toxicity": op2_toxicity,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
