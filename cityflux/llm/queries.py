@@ -8,6 +8,7 @@ from ..sources.testdata import table
 from .chat import as_chain, format_paths, parsed, under_loss
 from .exact_dedup import exact_duplicates
 from .language import identify
+from .line_dedup import dedup_lines
 from .multi_index import nearest
 from .packing import best_fit, token_pieces
 from .simhash import near_duplicates
@@ -76,6 +77,12 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -91,6 +98,7 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_chat_format": op6_chat_format,
+    "op7_line_dedup": op7_line_dedup,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
 }
