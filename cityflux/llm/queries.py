@@ -11,6 +11,7 @@ from .language import identify
 from .line_dedup import dedup_lines
 from .multi_index import nearest
 from .packing import best_fit, token_pieces
+from .pieces import decode, encode
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
 from .tables import stored
@@ -83,6 +84,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decode(encode(table(spark, sf_dir, "documents"))).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
+        F.crc32("ids").alias("ids_crc32"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -99,6 +109,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_chat_format": op6_chat_format,
     "op7_line_dedup": op7_line_dedup,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
 }
