@@ -116,7 +116,10 @@ def check_folds(folds: DataFrame) -> DataFrame:
 def conformal_widths(
     residuals: DataFrame, residual: str, alpha: float, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Split-conformal half width: the ceil((n+1)(1-alpha))-th smallest |residual|."""
+    """Split-conformal half width: the ceil((n+1)(1-alpha))-th smallest |residual|.
+
+    Null where that rank is beyond ``n``: no finite width has the coverage then.
+    """
     scores = residuals.select(*by, F.abs(F.col(residual)).alias("_score"))
     return exact_quantiles(scores, "_score", {"half_width": 1.0 - alpha}, by, "conformal")
 

@@ -1,8 +1,9 @@
 """Exact order statistics without a global sort or a one-task window.
 
-A wanted rank is narrowed through counts of ever smaller cells, combined before the
-shuffle. Every window below runs over cells whose number is fixed by the calendar or
-by ``CELLS``, or over the values of one smallest cell.
+Times and whole columns: a wanted rank is narrowed through counts of ever smaller cells,
+combined before the shuffle; the number of cells is fixed by the calendar, by the range
+of doubles or by ``CELLS``. Per key: the counted values are range-partitioned by key and
+value, so a hot key is spread over many tasks, and only sums per task meet.
 """
 
 from __future__ import annotations
@@ -15,9 +16,12 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clock import MICROS, floor_micros, from_micros
+from ..session import scratch_path
 
 CELLS = 4096
-FEW = 10_000  # rows left in a cell for which its values are counted one by one
+# Passes until a rank is one value: the first leaves one power of two, and five cuts of a
+# 52-bit mantissa by 12 bits leave one value.
+PASSES = 7
 METHODS = ("linear", "nearest", "conformal")
 
 
@@ -70,35 +74,51 @@ def time_cutoff(df: DataFrame, ts: str, train_fraction: float) -> Column | None:
     return from_micros(F.lit(cell[0]))
 
 
-def _ranks(method: str, p: float, n: int) -> tuple[int, int, float]:
-    """0-based ranks of both neighbours and the way from the first to the second."""
+def _ranks(method: str, p: float, n: int) -> tuple[int, int, float] | None:
+    """0-based ranks of both neighbours and the way from the first to the second.
+
+    None where ``conformal`` asks for a rank beyond the last: no finite value has it.
+    """
     if method == "linear":
         at = (n - 1) * p
         return math.floor(at), math.ceil(at), at - math.floor(at)
-    of = n + 1 if method == "conformal" else n
-    rank = max(min(math.ceil(of * p), n) - 1, 0)
-    return rank, rank, 0.0
+    rank = max(math.ceil((n + 1 if method == "conformal" else n) * p), 1)
+    if rank > n and method == "conformal":
+        return None
+    return min(rank, n) - 1, min(rank, n) - 1, 0.0
+
+
+def _binade(v: Column) -> Column:
+    """Cells in the order of the values, one per sign and power of two."""
+    size = F.abs(v)
+    power = F.when(size == math.inf, F.lit(3000.0)).otherwise(F.floor(F.log2(size)) + 1500)
+    return F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * power)
+
+
+def _linear(v: Column, low: float, high: float) -> Column:
+    """Cells of equal width; halves keep the widest span from overflowing."""
+    return F.floor((v / 2 - low / 2) / (high / 2 - low / 2) * CELLS).cast("double")
 
 
 def values_at_ranks(rows: DataFrame, value: str, low: float, high: float, n: int, ranks) -> dict:
     """The values at some 0-based ranks of ``n`` doubles between ``low`` and ``high``.
 
-    Each pass cuts the spans that hold an open rank into ``CELLS`` by their own range,
-    counts, and keeps the cells with the ranks; a span of few rows is counted by value.
-    Only counts are shuffled and only the kept cells (one per rank at most) reach the
-    driver; the span bounds are literals, which the scans can use.
+    Each pass cuts the spans that hold an open rank into cells, counts them, and keeps
+    the cells with the ranks: first by powers of two, then by each cell's own range.
+    Infinities are cells of their own, so at most ``PASSES`` passes are needed whatever
+    the values. Only counts are shuffled and only the kept cells (one per rank at most)
+    reach the driver; the span bounds are literals, which the scans can use.
     """
     v = F.col(value)
     span_of = {rank: (low, high, 0, n) for rank in ranks}
-    while True:
+    for at_pass in range(PASSES):
         spans = sorted({s for s in span_of.values() if s[0] < s[1]})
         if not spans:
-            return {rank: span[0] for rank, span in span_of.items()}
+            break
         cell, number = F.lit(None).cast("double"), F.lit(None).cast("int")
-        for i, (lo, hi, _, count) in enumerate(spans):
+        for i, (lo, hi, _, _) in enumerate(spans):
             inside = v.between(lo, hi)
-            place = v if count <= FEW else F.floor((v - lo) / (hi - lo) * CELLS)
-            cell = F.when(inside, place.cast("double")).otherwise(cell)
+            cell = F.when(inside, _linear(v, lo, hi) if at_pass else _binade(v)).otherwise(cell)
             number = F.when(inside, F.lit(i)).otherwise(number)
         cells = (
             rows.where(reduce(or_, [v.between(s[0], s[1]) for s in spans]))
@@ -120,6 +140,12 @@ def values_at_ranks(rows: DataFrame, value: str, low: float, high: float, n: int
                     start = span[2] + c["_before"]
                     if start <= rank < start + c["_n"]:
                         span_of[rank] = (c["_lo"], c["_hi"], start, c["_n"])
+    return {rank: span[0] for rank, span in span_of.items()}
+
+
+def _between(low: float, high: float, way: float) -> float:
+    """The point ``way`` from low to high; equal neighbours stay, infinities included."""
+    return low if way == 0 or low == high else low * (1 - way) + high * way
 
 
 def global_quantiles(
@@ -132,10 +158,12 @@ def global_quantiles(
     if not n:
         return dict.fromkeys(wanted)
     ranks = {name: _ranks(method, p, n) for name, (method, p) in wanted.items()}
-    found = values_at_ranks(
-        rows, "_v", low, high, n, sorted({r for a, b, _ in ranks.values() for r in (a, b)})
-    )
-    return {name: found[a] + (found[b] - found[a]) * way for name, (a, b, way) in ranks.items()}
+    open_ranks = sorted({r for found in ranks.values() if found for r in found[:2]})
+    found = values_at_ranks(rows, "_v", low, high, n, open_ranks)
+    return {
+        name: _between(found[at[0]], found[at[1]], at[2]) if at else None
+        for name, at in ranks.items()
+    }
 
 
 def exact_quantiles(
@@ -149,7 +177,8 @@ def exact_quantiles(
 
     ``linear`` interpolates between the two neighbouring values, ``nearest`` takes
     the value at rank ``ceil(p * n)``, ``conformal`` the one at rank
-    ``min(n, ceil(p * (n + 1)))``. Nulls and NaN are left out.
+    ``ceil(p * (n + 1))`` and null where that is beyond ``n``. Nulls and NaN are left out.
+    Runs jobs when called; ``df`` should be a stored table.
     """
     if method not in METHODS:
         raise ValueError(f"unknown quantile method {method!r}")
@@ -161,87 +190,58 @@ def exact_quantiles(
 
 
 def _quantiles_per_key(
-    df: DataFrame, value: str, probs: dict[str, float], keys: list[str], method: str,
-    levels: int = 2,
+    df: DataFrame, value: str, probs: dict[str, float], keys: list[str], method: str
 ) -> DataFrame:
-    """Keyed form, lazy: any number of keys, nothing on the driver.
+    """Keyed form: any number of keys, nothing on the driver.
 
-    Rows are first counted per (key, value). Each level cuts the cells that hold a
-    wanted rank into ``CELLS`` more by their own range and drops the other cells.
+    Rows are counted per (key, value), and the counts range-partitioned by key and value
+    and stored with the number of their task. A task's sum per key gives the rank at
+    which the next task starts, so no window holds more than one task's values.
     """
-    v = F.col("_v")
+    v, n = F.col("_v"), F.col("_n")
     values = (
         df.select(*keys, F.col(value).cast("double").alias("_v"))
         .where(v.isNotNull() & ~F.isnan(v))
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
+        .repartitionByRange(*keys, "_v")
+        .withColumn("_part", F.spark_partition_id())
     )
-    # the first cells are cut from the range of the whole column, the next ones from
-    # the range each cell really has under its key
-    extent = F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"), F.sum("_n").alias("n"))
-    pool = (
-        values.withColumn("_x", values.agg(extent.alias("x")).scalar())
-        .withColumns({"_lo": F.col("_x.lo"), "_hi": F.col("_x.hi")})
-        .drop("_x")
+    path = scratch_path(df.sparkSession, "quantiles")
+    values.write.parquet(path)
+    values = df.sparkSession.read.schema(values.schema).parquet(path)
+
+    # a row per key and task that holds some of it
+    sums = values.groupBy(*keys, "_part").agg(F.sum(n).alias("_n"))
+    starts = (
+        _with_offset(sums, "_part", keys)
+        .withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
+        .drop("_n")
     )
-
-    wanted: dict[str, tuple[Column, Column]] = {}
-    for name, p in probs.items():
-        if method == "linear":
-            at = (F.col("_total") - 1).cast("double") * F.lit(float(p))
-            wanted[name] = (F.floor(at).cast("long"), F.ceil(at).cast("long"))
-        else:
-            of = F.col("_total") + (1 if method == "conformal" else 0)
-            at = F.least(F.ceil(of * F.lit(float(p))).cast("long"), F.col("_total")) - 1
-            at = F.greatest(at, F.lit(0).cast("long"))
-            wanted[name] = (at, at)
-
-    def holds(first: Column, count: Column) -> Column:
-        hits = [(r >= first) & (r < first + count) for pair in wanted.values() for r in pair]
-        return reduce(or_, hits)
-
-    group = list(keys)
-    for level in range(levels):
-        cell = f"_c{level}"
-        width = F.col("_hi") - F.col("_lo")
-        place = F.least(F.floor((v - F.col("_lo")) / width * CELLS), F.lit(CELLS - 1))
-        # never null: a null filter below the counts would keep them from being shared
-        place = F.coalesce(F.when(width > 0, place), F.lit(0)).cast("long")
-        pool = pool.withColumn(cell, place)
-        carried = [] if level == 0 else [F.first(c).alias(c) for c in ("_total", "_base")]
-        cells = pool.groupBy(*group, cell).agg(
-            F.sum("_n").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), *carried
-        )
-        if level == 0:
-            # at most CELLS rows per key
-            total = F.sum("_n").over(Window.partitionBy(*keys))
-            cells = cells.withColumns({"_total": total, "_base": F.lit(0).cast("long")})
-        cells = (
-            _with_offset(cells, cell, group)
-            .withColumn("_base", F.col("_base") + F.col("_before"))
-            .where(holds(F.col("_base"), F.col("_n")))
-            .drop("_n", "_before")
-        )
-        group.append(cell)
-        pool = pool.drop("_lo", "_hi", "_total", "_base").join(cells, group)
-
-    ranked = _with_offset(pool, "_v", group).withColumn(
-        "_first", F.col("_base") + F.col("_before")
+    same = reduce(
+        lambda a, b: a & b, [F.col(f"s.{k}").eqNullSafe(F.col(f"v.{k}")) for k in [*keys, "_part"]]
     )
+    placed = values.alias("v").join(starts.alias("s"), same).select("v.*", "s._before", "s._total")
+    inside = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.col("_before") + F.sum(n).over(inside) - n
+    ranked = placed.withColumn("_first", first)
 
-    def at_rank(rank: Column) -> Column:
-        here = (rank >= F.col("_first")) & (rank < F.col("_first") + F.col("_n"))
-        return F.max(F.when(here, v))
-
-    picks = [F.max("_total").alias("_total")]
-    for i, (low, high) in enumerate(wanted.values()):
-        picks += [at_rank(low).alias(f"_low{i}"), at_rank(high).alias(f"_high{i}")]
-    out = []
+    total = F.col("_total")
+    picks, out = [F.max(total).alias("_total")], []
     for i, (name, p) in enumerate(probs.items()):
-        low, high = F.col(f"_low{i}"), F.col(f"_high{i}")
         if method == "linear":
-            at = (F.col("_total") - 1).cast("double") * F.lit(float(p))
-            out.append((low + (high - low) * (at - F.floor(at))).alias(name))
+            at = (total - 1).cast("double") * F.lit(float(p))
+            low, high = F.floor(at).cast("long"), F.ceil(at).cast("long")
         else:
-            out.append(low.alias(name))
+            at = F.ceil((total + (1 if method == "conformal" else 0)) * F.lit(float(p))).cast("long")
+            at = at if method == "conformal" else F.least(at, total)
+            low = high = F.greatest(at, F.lit(1).cast("long")) - 1
+        for label, rank in (("_low", low), ("_high", high)):
+            here = (rank >= F.col("_first")) & (rank < F.col("_first") + n)
+            picks.append(F.max(F.when(here, v)).alias(f"{label}{i}"))
+        a, b = F.col(f"_low{i}"), F.col(f"_high{i}")
+        way = (total - 1).cast("double") * F.lit(float(p))
+        way = way - F.floor(way)
+        between = F.when((way == 0) | (a == b), a).otherwise(a * (1 - way) + b * way)
+        out.append((between if method == "linear" else a).alias(name))
     return ranked.groupBy(*keys).agg(*picks).select(*keys, *out)

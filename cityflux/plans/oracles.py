@@ -777,7 +777,7 @@ ORACLES: dict[str, str] = {
            FROM (SELECT *, forecast - pickups AS e FROM naive WHERE forecast IS NOT NULL)
            GROUP BY zone_id""", "naive"),
     "conformal": _sql(
-        """SELECT hour, min(s) FILTER (place = least(n, ceil((n + 1) * (1.0::DOUBLE - 0.01))))
+        """SELECT hour, min(s) FILTER (place = ceil((n + 1) * (1.0::DOUBLE - 0.01)))
                       AS half_width
            FROM (SELECT *, row_number() OVER (PARTITION BY hour ORDER BY s) AS place,
                         count(*) OVER (PARTITION BY hour) AS n
@@ -788,7 +788,7 @@ ORACLES: dict[str, str] = {
         """, scores AS (
                SELECT *, abs(pickups - forecast) AS s FROM naive WHERE forecast IS NOT NULL),
            width AS (
-               SELECT min(s) FILTER (place = least(n, ceil((n + 1) * (1.0::DOUBLE - 0.02)))) AS h
+               SELECT min(s) FILTER (place = ceil((n + 1) * (1.0::DOUBLE - 0.02))) AS h
                FROM (SELECT s, row_number() OVER (ORDER BY s) AS place, count(*) OVER () AS n
                      FROM scores)),
            c AS (

@@ -7,6 +7,7 @@ from frames import at
 
 from pyspark.sql import functions as F
 
+from cityflux.operators import ranks
 from cityflux.operators.ranks import exact_quantiles
 from cityflux.operators.split import eta_features, split_balance, time_split
 from frames import trip, trips
@@ -93,6 +94,10 @@ CASES = {
     "hot": lambda rng: np.concatenate([np.full(200, 2.0), rng.uniform(0, 5, 100)]),
     "outlier": lambda rng: np.concatenate([rng.uniform(0, 1e-6, 300), [1e12]]),
     "negative": lambda rng: rng.normal(0, 10, 333),
+    "extreme": lambda rng: np.concatenate(
+        [[-1e308, 1e308, 5e-324, -5e-324, 0.0, -0.0, 1.7e308], rng.normal(0, 1, 20)]
+    ),
+    "many": lambda rng: np.concatenate([rng.lognormal(0, 40, 12_000), -rng.lognormal(0, 40, 3_000)]),
 }
 
 
@@ -107,6 +112,49 @@ def test_quantiles_match_numpy(spark, case):
     assert nearest.head()["q"] == sorted(values)[math.ceil(0.99 * len(values)) - 1]
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_quantiles_with_infinities(spark, keys):
+    """More rows than any pass keeps, spread over all magnitudes, with both infinities."""
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.lognormal(0, 200, 12_000), [-math.inf] * 3, [math.inf] * 150, [1e308, -1e308]])
+    probs = {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    df = values_frame(spark, values).withColumn("k", F.lit(1))
+    got = exact_quantiles(df, "x", probs, keys, method="nearest").head()
+    ordered = sorted(values)
+    for name, p in probs.items():
+        assert got[name] == ordered[max(math.ceil(p * len(values)), 1) - 1]
+    linear = exact_quantiles(df, "x", probs, keys).head()
+    assert (linear.p0, linear.p99, linear.p100) == (-math.inf, math.inf, math.inf)
+
+
+def test_passes_are_bounded(spark, monkeypatch):
+    calls = []
+    real = ranks._with_offset
+    monkeypatch.setattr(ranks, "_with_offset", lambda *a: calls.append(1) or real(*a))
+    rng = np.random.default_rng(2)
+    values = np.concatenate([np.nextafter(1.0, 2.0, dtype=float) ** rng.integers(0, 9, 4000), rng.lognormal(0, 300, 9000), [math.inf]])
+    got = exact_quantiles(values_frame(spark, values), "x", {"q": 0.2}, method="nearest").head().q
+    assert got == sorted(values)[math.ceil(0.2 * len(values)) - 1]
+    assert len(calls) <= ranks.PASSES
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_conformal_rank_beyond_the_last_value_is_null(spark, keys):
+    df = values_frame(spark, range(1, 20)).withColumn("k", F.lit("a"))
+    got = exact_quantiles(df, "x", {"in": 0.95, "out": 0.951}, keys, method="conformal").head()
+    assert (got["in"], got["out"]) == (19.0, None)
+
+
+def test_hot_key_is_spread_over_tasks(spark):
+    rng = np.random.default_rng(4)
+    rows = [("hot", float(v)) for v in rng.normal(0, 1, 6000)] + [(f"k{i}", float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows + [(None, 3.0)], "k string, x double")
+    got = {r.k: (r.m, r.q) for r in exact_quantiles(df, "x", {"m": 0.5, "q": 0.9}, ["k"]).collect()}
+    hot = [v for k, v in rows if k == "hot"]
+    assert got["hot"] == pytest.approx((np.quantile(hot, 0.5), np.quantile(hot, 0.9)))
+    assert got["k7"] == (7.0, 7.0) and got[None] == (3.0, 3.0) and len(got) == 202
+
+
 def test_quantiles_per_key_and_nulls(spark):
     rng = np.random.default_rng(1)
     rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 5, 700), rng.uniform(0, 9, 700))]
