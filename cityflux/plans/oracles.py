@@ -749,11 +749,7 @@ ORACLES: dict[str, str] = {
     "live_hourly_counts": (
         "SELECT user_id % 263 + 1 AS zone_id, date_trunc('hour', ts) AS ts, count(*) AS pickups "
         "FROM events GROUP BY 1, 2"),
-    "live_patience_cancels": _sql(
-        """SELECT * FROM cancels WHERE cancel_ts <= (
-               SELECT least(max(ts) FILTER (kind = 'RiderRequested'),
-                            max(ts) FILTER (kind = 'RiderMatched')) - INTERVAL 10 MINUTE
-               FROM log)""", "cancels"),
+    "live_patience_cancels": _sql("SELECT * FROM cancels", "cancels"),
     "seasonal_naive": _sql("SELECT * FROM naive", "naive"),
     "backtest_folds": _sql(
         """, base_weeks AS (

@@ -67,6 +67,13 @@ class Tables:
             _stored[key] = runs.save_table(derive(), name)
         return _stored[key]
 
+    def in_order(self, name: str, derive: Callable[[], DataFrame], ts: str) -> str:
+        """Several files in time order, for streams of several batches."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _stored:
+            _stored[key] = runs.save_in_order(derive(), name, ts)
+        return _stored[key]
+
     def stored(self, name: str, derive: Callable[[], DataFrame]) -> DataFrame:
         return self.spark.read.parquet(self.stored_path(name, derive))
 
@@ -500,7 +507,8 @@ def draw_destinations(t):
 
 
 def _log_stream(t):
-    return runs.read_stream(t.spark, t.log_path(), t.log().schema)
+    path = t.in_order("live-log", t.log, "ts")
+    return runs.read_stream(t.spark, path, t.log().schema, files_per_batch=1)
 
 
 @query
@@ -511,7 +519,8 @@ def live_ride_metrics(t):
 
 @query
 def live_hourly_counts(t):
-    events = runs.read_stream(t.spark, t.sf_dir, t.events.schema, "events.parquet")
+    path = t.in_order("live-events", lambda: t.events, "ts")
+    events = runs.read_stream(t.spark, path, t.events.schema, files_per_batch=1)
     stream = events.select("ts", (F.col("user_id") % 263 + 1).alias("zone"))
     return live.latest_counts(
         runs.run_update(live.live_hourly_counts(stream, "zone", "ts"), "hourly")
@@ -520,7 +529,8 @@ def live_hourly_counts(t):
 
 @query
 def live_patience_cancels(t):
-    return runs.run_append(live.live_patience_cancels(_log_stream(t)), "patience")
+    found = runs.run_append(live.live_patience_cancels(_log_stream(t)), "patience")
+    return live.finish_patience(found, t.log())
 
 
 @query
@@ -530,8 +540,8 @@ def live_illegal_transitions(t):
 
 @query
 def live_unique_trips(t):
-    path = t.stored_path("raw-trips", lambda: td.raw_trips(t.events))
-    raw = runs.read_stream(t.spark, path, t.raw().schema)
+    path = t.in_order("live-trips", t.raw, "tpep_pickup_datetime")
+    raw = runs.read_stream(t.spark, path, t.raw().schema, files_per_batch=1)
     return runs.run_append(live.live_unique_trips(raw, td.START, td.END), "unique")
 
 

@@ -1,7 +1,9 @@
-"""Path checks through Hadoop's file system API, so any storage scheme works."""
+"""Files through Hadoop's file system API, so any storage scheme works."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -16,12 +18,32 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def replace(spark: SparkSession, staged: str, target: str) -> None:
-    """Put a finished table in place of the old one."""
-    fs, src = _fs(spark, staged)
-    _, dst = _fs(spark, target)
-    fs.mkdirs(dst.getParent())
-    if fs.exists(dst):
-        fs.delete(dst, True)
-    if not fs.rename(src, dst):
-        raise OSError(f"could not move {staged} to {target}")
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file as a whole: written aside, then put in its place in one step."""
+    fs, target = _fs(spark, path)
+    fs.mkdirs(target.getParent())
+    jvm = spark.sparkContext._jvm
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = fs.create(aside, True)
+    out.write(text.encode())
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        target.toUri() if target.toUri().getScheme() else fs.getUri(),
+        spark.sparkContext._jsc.hadoopConfiguration(),
+    )
+    context.rename(fs.makeQualified(aside), fs.makeQualified(target), options)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    lines = spark.read.text(path).collect()
+    return "\n".join(r.value for r in lines)

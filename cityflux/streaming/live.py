@@ -6,7 +6,9 @@ timestamps.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..constants import (
     CANCELLED,
@@ -20,8 +22,9 @@ from ..constants import (
 from ..functions import clock
 from ..functions.numbers import ratio
 from ..operators.cleaning import CleaningRules, filter_trips
-from ..operators.events import ILLEGAL_DDL, illegal_transitions, ride_metrics
+from ..operators.events import ILLEGAL_DDL, illegal_transitions, patience_cancels, ride_metrics
 from ..session import scratch_path
+from ..sources import files
 
 
 def _event_time(stream: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -85,7 +88,8 @@ def live_patience_cancels(
 ) -> DataFrame:
     """Cancellations as soon as the watermark passes a request's deadline.
 
-    Requests whose patience has not run out when the input ends are still open.
+    Requests whose patience has not run out when the input ends are still open;
+    ``finish_patience`` adds them.
     """
     limit = F.expr(f"INTERVAL {int(round(patience_min * 60))} SECONDS")
     requests = _event_time(
@@ -144,56 +148,150 @@ def live_unique_trips(
     )
 
 
+def finish_patience(found: DataFrame, log: DataFrame, patience_min: float = PATIENCE_MIN,
+                    delay: str = "10 minutes") -> DataFrame:
+    """``found`` and the cancellations of requests still open when the input ended.
+
+    Only the end of the log can hold them: the watermark, which each side of the join has
+    of its own, has passed everything earlier.
+    """
+    span = F.expr(f"INTERVAL {int(round(2 * patience_min * 60))} SECONDS") + F.expr(f"INTERVAL {delay}")
+    ends = log.where(F.col("kind").isin(REQUESTED, MATCHED)).groupBy("kind").agg(F.max("ts").alias("t"))
+    newest = ends.agg(F.min("t").alias("t")).select(F.col("t").cast("timestamp_ntz")).scalar()
+    tail = patience_cancels(log.where(F.col("ts") >= newest - span), patience_min)
+    return found.unionByName(tail.join(found, ["rider_id", "request_ts"], "left_anti"))
+
+
 # ---- lifecycle check -----------------------------------------------------------
 
-_BEFORE_ALL = "1970-01-01 00:00:00"
+#: batches after which the state is written as a whole; between them, only changes
+SNAPSHOT = 10
+_STATE = "entity STRING, entity_id BIGINT, seq BIGINT, kind STRING, ts TIMESTAMP_NTZ"
 
 
 def _last_events(log: DataFrame) -> DataFrame:
     """The last event of every rider and of every driver, one row each."""
-    parts = []
-    for own, other, states in (
-        ("rider_id", "driver_id", RIDER_STATE),
-        ("driver_id", "rider_id", DRIVER_STATE),
-    ):
-        last = (
-            log.where(F.col(own).isNotNull() & F.col("kind").isin(*states))
-            .groupBy(own)
-            .agg(F.max_by(F.struct("seq", "kind", "last_ts"), F.struct("ts", "seq")).alias("e"))
+    tags = [
+        F.when(
+            F.col(own).isNotNull() & F.col("kind").isin(*states),
+            F.struct(F.lit(entity).alias("entity"), F.col(own).alias("entity_id")),
+        )
+        for entity, own, states in (
+            ("rider", "rider_id", RIDER_STATE), ("driver", "driver_id", DRIVER_STATE)
         )
-        parts.append(last.select(own, F.lit(None).cast("long").alias(other), "e.*"))
-    return parts[0].unionByName(parts[1])
+    ]
+    seen = log.select("seq", "kind", "ts", F.explode(F.array_compact(F.array(*tags))).alias("e"))
+    return _newest(seen.select("e.*", "seq", "kind", "ts"))
+
+
+def _newest(states: DataFrame) -> DataFrame:
+    last = states.groupBy("entity", "entity_id").agg(
+        F.max_by(F.struct("seq", "kind", "ts"), F.struct("ts", "seq")).alias("s")
+    )
+    return last.select("entity", "entity_id", "s.*")
+
 
+def _as_log(states: DataFrame) -> DataFrame:
+    """States as the events they came from, one entity each."""
+    own = {"rider_id": "rider", "driver_id": "driver"}
+    return states.select(
+        "seq",
+        "kind",
+        "ts",
+        *[F.when(F.col("entity") == e, F.col("entity_id")).alias(c) for c, e in own.items()],
+    )
 
-def run_lifecycle_check(stream: DataFrame, label: str, keep_days: int = 7) -> DataFrame:
-    """Illegal moves of riders and drivers, judged batch by batch as events arrive.
 
-    The state is a table with the last event of each entity, written once per batch
-    beside the findings. A batch runs the batch operator on its own events after the
-    carried ones, so a hot entity is cut into time buckets here too. Entities unheard
-    of for ``keep_days`` leave the state. Batch N reads only what batch N - 1 wrote,
-    so a repeated batch gives the same result.
+class LifecycleCheck:
+    """Judges events in the order of their times, whatever batch brings them.
+
+    Events wait until the watermark (the newest time seen, less ``delay``) has passed
+    them; then they are judged by the batch operator after the last event of each entity
+    they name. That state never expires. An event that comes after the watermark has
+    passed its time cannot be put in order any more; it is kept in the table ``late``.
+
+    Batch N reads only what batch N - 1 and the last state snapshot wrote and overwrites
+    its own folders, so a repeated batch gives the same result. ``finish`` judges what
+    still waits when the input has ended.
     """
+
+    def __init__(self, spark: SparkSession, out: str, delay: str) -> None:
+        self.spark, self.out, self.delay = spark, out, F.expr(f"INTERVAL {delay}")
+
+    def _read(self, part: str, epoch: int, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.out}/{part}/epoch={epoch}")
+
+    def _state(self, epoch: int) -> DataFrame | None:
+        """State after ``epoch``: the last snapshot and the changes since."""
+        if epoch < 0:
+            return None
+        first = epoch - epoch % SNAPSHOT
+        parts = [self._read("state", e, _STATE) for e in range(first, epoch + 1)]
+        return parts[0] if len(parts) == 1 else _newest(reduce(DataFrame.unionByName, parts))
+
+    def judge(self, batch: DataFrame, epoch: int, ended: bool = False) -> None:
+        new = batch.select("seq", "kind", "ts", "rider_id", "driver_id")
+        mark = F.lit(None).cast("timestamp_ntz")
+        pool = new.withColumn("is_late", F.lit(False))
+        if epoch:
+            old = self._read("events", epoch - 1, _EVENTS).where("part = 'waits'").drop("part")
+            before = self._read("mark", epoch - 1, "mark TIMESTAMP_NTZ").head()[0]
+            mark = F.lit(before).cast("timestamp_ntz")
+            late = F.coalesce(F.col("ts") < mark, F.lit(False))
+            pool = new.withColumn("is_late", late).unionByName(old.withColumn("is_late", F.lit(False)))
+        newest = pool.agg(F.greatest(F.max("ts") - self.delay, mark).alias("mark"))
+        newest.write.mode("overwrite").parquet(f"{self.out}/mark/epoch={epoch}")
+        passed = F.lit(self._read("mark", epoch, "mark TIMESTAMP_NTZ").head()[0]).cast("timestamp_ntz")
+        ready = F.lit(True) if ended else F.coalesce(F.col("ts") < passed, F.lit(False))
+        part = F.when(F.col("is_late"), "late").when(ready, "ready").otherwise("waits")
+        split = pool.withColumn("part", part).drop("is_late")
+        split.write.mode("overwrite").partitionBy("part").parquet(f"{self.out}/events/epoch={epoch}")
+
+        due = self._read("events", epoch, _EVENTS).where("part = 'ready'").drop("part")
+        changed, state, log = _last_events(due), self._state(epoch - 1), due.withColumn("is_new", F.lit(True))
+        if state is not None:
+            known = state.join(changed, ["entity", "entity_id"], "left_semi")
+            log = _as_log(known).withColumn("is_new", F.lit(False)).unionByName(log)
+            if epoch % SNAPSHOT == 0:
+                changed = _newest(state.unionByName(changed))
+        found = illegal_transitions(log, judge=F.col("is_new"))
+        found.write.mode("overwrite").parquet(f"{self.out}/rows/epoch={epoch}")
+        changed.write.mode("overwrite").parquet(f"{self.out}/state/epoch={epoch}")
+        self._forget(epoch)
+
+    def _forget(self, epoch: int) -> None:
+        """Remove what no later batch can read: waiting events, and state before a snapshot."""
+        files.delete(self.spark, f"{self.out}/mark/epoch={epoch - 2}")
+        for part in ("ready", "waits"):
+            files.delete(self.spark, f"{self.out}/events/epoch={epoch - 2}/part={part}")
+        if epoch % SNAPSHOT == 1:
+            for e in range(max(0, epoch - 1 - SNAPSHOT), epoch - 1):
+                files.delete(self.spark, f"{self.out}/state/epoch={e}")
+
+    def finish(self, epoch: int, schema) -> None:
+        self.judge(self.spark.createDataFrame([], schema), epoch, ended=True)
+
+    def late(self) -> DataFrame:
+        """Events that came too late to be judged."""
+        return self.spark.read.schema(f"{_EVENTS}, epoch BIGINT").parquet(f"{self.out}/events").where(
+            "part = 'late'"
+        )
+
+
+_EVENTS = "seq BIGINT, kind STRING, ts TIMESTAMP_NTZ, rider_id BIGINT, driver_id BIGINT, part STRING"
+
+
+def run_lifecycle_check(stream: DataFrame, label: str, delay: str = "1 hour") -> DataFrame:
+    """Illegal moves of riders and drivers over a bounded stream, as the batch operator
+    finds them, if no event is later than ``delay``."""
     spark = stream.sparkSession
     out = scratch_path(spark, label)
+    check = LifecycleCheck(spark, out, delay)
+    done: list[int] = []
 
     def judge(batch: DataFrame, epoch: int) -> None:
-        new = batch.select("seq", "kind", "ts", "rider_id", "driver_id").withColumns(
-            {"last_ts": F.col("ts"), "is_new": F.lit(True)}
-        )
-        log = new
-        if epoch > 0:
-            carried = spark.read.parquet(f"{out}/state/epoch={epoch - 1}").withColumns(
-                {"ts": F.lit(_BEFORE_ALL).cast("timestamp_ntz"), "is_new": F.lit(False)}
-            )
-            log = carried.unionByName(new)
-        found = illegal_transitions(log, judge=F.col("is_new"))
-        found.write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}")
-        state = _last_events(log)
-        newest = state.agg(F.max("last_ts")).scalar()
-        state.where(
-            F.col("last_ts") >= newest - F.expr(f"INTERVAL {int(keep_days)} DAYS")
-        ).write.mode("overwrite").parquet(f"{out}/state/epoch={epoch}")
+        check.judge(batch, epoch)
+        done.append(epoch)
 
     query = (
         stream.writeStream.option("checkpointLocation", f"{out}/checkpoint")
@@ -202,6 +300,7 @@ def run_lifecycle_check(stream: DataFrame, label: str, keep_days: int = 7) -> Da
         .start()
     )
     query.awaitTermination()
+    check.finish(max(done, default=-1) + 1, stream.schema)
     return (
         spark.read.schema(f"{ILLEGAL_DDL}, epoch BIGINT")
         .option("basePath", f"{out}/rows")

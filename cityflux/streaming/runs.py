@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 
@@ -57,6 +57,22 @@ def run_update(stream: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).option("basePath", f"{out}/rows").parquet(f"{out}/rows")
 
 
+def save_in_order(df: DataFrame, label: str, ts: str, parts: int = 4) -> str:
+    """A derived table as files in time order, written one after the other, so that a
+    stream of one file per batch reads what a live source would have brought."""
+    path = scratch_path(df.sparkSession, label)
+    whole = save_table(df, f"{label}-whole")
+    rows = df.sparkSession.read.parquet(whole)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = rows.select(us.cast("double").alias("us")).approxQuantile(
+        "us", [k / parts for k in range(1, parts)], 0.01
+    )
+    place = sum(((us >= c).cast("int") for c in sorted(set(cuts))), F.lit(0))
+    for k in range(parts):
+        rows.where(place == k).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def save_table(df: DataFrame, label: str) -> str:
     """A derived table written to shared storage, to be streamed from there."""
     path = scratch_path(df.sparkSession, label)

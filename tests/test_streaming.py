@@ -1,8 +1,11 @@
 """Streams in several batches end with the rows of the batch operators."""
 
+from datetime import datetime
+
 import pytest
 from pyspark.sql import Window, functions as F
 
+from cityflux.constants import COMPLETED, MATCHED, PICKED_UP, REQUESTED
 from cityflux.operators import cleaning, events as ev, panel
 from cityflux.sources import testdata as td
 from cityflux.streaming import live, runs
@@ -33,12 +36,69 @@ def log_path(spark, sf_dir, tmp_path_factory):
 
 
 def test_lifecycle_in_batches(spark, log_path):
-    got = live.run_lifecycle_check(stream_of(spark, log_path), "lifecycle", keep_days=60)
+    got = live.run_lifecycle_check(stream_of(spark, log_path), "lifecycle")
     want = ev.illegal_transitions(spark.read.parquet(log_path))
     assert want.count() > 0
     same(got.select(*ev.ILLEGAL_COLUMNS), want)
 
 
+def batches_of(spark, path, *parts):
+    """Files of (seq, kind, time, rider, driver), one per batch."""
+    kind = "seq bigint, kind string, ts timestamp_ntz, rider_id bigint, driver_id bigint"
+    for rows in parts:
+        made = [(i, k, datetime.fromisoformat(t), r, d) for i, k, t, r, d in rows]
+        spark.createDataFrame(made, kind).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_a_silent_driver_keeps_its_state(spark, tmp_path):
+    """Matched on the 1st, picked up on the 10th, others in between."""
+    path = str(tmp_path / "log")
+    log = batches_of(
+        spark, path,
+        [(1, REQUESTED, "2024-01-01T08:00", 1, None), (2, MATCHED, "2024-01-01T08:05", 1, 5)],
+        [(3, REQUESTED, "2024-01-05T08:00", 2, None)],
+        [(4, PICKED_UP, "2024-01-10T08:00", 1, 5), (5, PICKED_UP, "2024-01-10T09:00", 3, 6)],
+    )
+    got = live.run_lifecycle_check(stream_of(spark, path), "silent")
+    want = ev.illegal_transitions(log)
+    same(got.select(*ev.ILLEGAL_COLUMNS), want)
+    assert not [r for r in got.collect() if r.entity_id == 5]
+
+
+def test_late_events_within_the_delay_are_put_in_order(spark, tmp_path):
+    path = str(tmp_path / "log")
+    log = batches_of(
+        spark, path,
+        [(1, REQUESTED, "2024-01-01T07:00", 1, None), (3, PICKED_UP, "2024-01-01T07:20", 1, 5)],
+        [(2, MATCHED, "2024-01-01T07:10", 1, 5), (4, COMPLETED, "2024-01-01T08:10", 1, 5)],
+        [(5, REQUESTED, "2024-01-01T08:15", 2, None), (7, PICKED_UP, "2024-01-01T08:40", 2, 5)],
+        [(6, MATCHED, "2024-01-01T08:20", 2, 5)],
+    )
+    got = live.run_lifecycle_check(stream_of(spark, path), "late")
+    assert ev.illegal_transitions(log).count() == 0 and got.count() == 0
+
+
+def test_events_beyond_the_delay_are_kept_aside(spark, tmp_path):
+    out = str(tmp_path / "out")
+    check = live.LifecycleCheck(spark, out, "1 hour")
+    kind = "seq bigint, kind string, ts timestamp_ntz, rider_id bigint, driver_id bigint"
+    parts = [
+        [(1, REQUESTED, "2024-01-01T07:00", 1, None)],
+        [(2, REQUESTED, "2024-01-01T10:00", 2, None)],
+        [(3, MATCHED, "2024-01-01T08:00", 1, 5)],
+        *[[(10 + k, REQUESTED, f"2024-01-02T{k:02d}:00", 10 + k, None)] for k in range(20)],
+    ]
+    for epoch, rows in enumerate(parts):
+        made = [(i, k, datetime.fromisoformat(t), r, d) for i, k, t, r, d in rows]
+        check.judge(spark.createDataFrame(made, kind), epoch)
+    check.finish(len(parts), kind)
+    assert [r.seq for r in check.late().collect()] == [3]
+    state = check._state(len(parts)).collect()
+    assert sorted(r.entity_id for r in state) == [1, 2, *range(10, 30)]
+    assert spark.read.parquet(f"{out}/rows").count() == 0
+
+
 def test_tallies_in_batches(spark, log_path):
     log = spark.read.parquet(log_path)
     updates = runs.run_update(live.live_tallies(stream_of(spark, log_path)), "tallies")
@@ -46,17 +106,15 @@ def test_tallies_in_batches(spark, log_path):
     same(live.metrics_from_tallies(updates, log, 15, 43200.0), ev.ride_metrics(log, 15, 43200.0))
 
 
-def test_patience_in_batches(spark, log_path):
-    got = runs.run_append(live.live_patience_cancels(stream_of(spark, log_path)), "patience")
+def test_patience_in_batches(spark, log_path, tmp_path):
     log = spark.read.parquet(log_path)
-    want = ev.patience_cancels(log)
-    seen = {r.rider_id for r in got.collect()}
-    open_ones = want.where(~F.col("rider_id").isin(list(seen)))
-    assert got.count() == len(seen) and seen <= {r.rider_id for r in want.collect()}
-    # only requests of the last minutes are still open
-    last = log.agg(F.max("ts")).head()[0]
-    assert all((last - r.cancel_ts).total_seconds() < 3600 for r in open_ones.collect())
-    assert len(seen) > 0.9 * want.count()
+    last = ev.patience_cancels(log).agg(F.max("request_ts")).head()[0]
+    path = str(tmp_path / "log")
+    in_files(log.where(F.col("ts") <= last), path, "ts")  # ends with an open request
+    got = runs.run_append(live.live_patience_cancels(stream_of(spark, path)), "patience")
+    want = ev.patience_cancels(spark.read.parquet(path))
+    assert 0.9 * want.count() < got.count() < want.count()
+    same(live.finish_patience(got, spark.read.parquet(path)).select(want.columns), want)
 
 
 def test_hourly_counts_in_batches(spark, sf_dir, tmp_path):
