@@ -7,9 +7,22 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
-from ..constants import MAX_DURATION_MIN, MAX_TRIP_MILES, ZONE_MAX, ZONE_MIN
+from ..constants import (
+    CANCELLED,
+    COMPLETED,
+    HOURS_PER_WEEK,
+    MATCHED,
+    MAX_DURATION_MIN,
+    MAX_TRIP_MILES,
+    PICKED_UP,
+    REPOSITIONED,
+    REQUESTED,
+    ZONE_MAX,
+    ZONE_MIN,
+)
 
 
 class ContractViolation(RuntimeError):
@@ -169,6 +182,15 @@ def enforce(df: DataFrame, contract: Contract) -> DataFrame:
     return conform(df, contract)
 
 
+def _seen(watch: Observation) -> dict | None:
+    """What an observation counted; None if adaptive execution, finding some input empty,
+    left out the part of the plan that counts."""
+    try:
+        return watch.get
+    except Py4JJavaError:
+        return None
+
+
 def observed(df: DataFrame, contract: Contract, extra: tuple[str, ...] = ()):
     """The conformed table, its rows counted and judged during its next action.
 
@@ -187,9 +209,36 @@ def observed(df: DataFrame, contract: Contract, extra: tuple[str, ...] = ()):
     )
 
     def verdict() -> int:
-        if watch.get["broken"]:
+        seen = _seen(watch)
+        if seen is None:
+            enforce(visible, contract)
+            return visible.count()
+        if seen["broken"]:
             _refuse(visible, contract)
-        return watch.get["rows"]
+        return seen["rows"]
+
+    return table, verdict
+
+
+def judged_types(df: DataFrame, contract: Contract):
+    """``df`` and a verdict on its schema and on values of the wrong type.
+
+    Missing columns raise at once; values are counted while the next action reads them,
+    and ``verdict()`` raises with the report if some do not fit. Nulls and ranges are not
+    judged.
+    """
+    if _schema_failures(df, contract):
+        _refuse(df, contract)
+    watch = Observation()
+    wrong = reduce(or_, [bad for rule, _, bad in _row_rules(df, contract) if rule == "coerce"])
+    table = df.observe(watch, F.count_if(wrong).alias("wrong"))
+
+    def verdict() -> int:
+        seen = _seen(watch)
+        if df.agg(F.count_if(wrong)).head()[0] if seen is None else seen["wrong"]:
+            found = check(df, contract).where("rule = 'coerce'")
+            raise ContractViolation(f"{contract.name}: " + "; ".join(failures(found)))
+        return 0
 
     return table, verdict
 
@@ -253,6 +302,31 @@ ETA_FEATURES = Contract(
         Field("split", "string", rule=one_of("train", "holdout")),
     ),
 )
+DEMAND_PROFILE = Contract(
+    "demand_profile",
+    (
+        Field("zone_id", "bigint", rule=_ZONE),
+        Field("how", "bigint", rule=in_range(0, HOURS_PER_WEEK - 1)),
+        Field("rate_per_hour", "double", rule=_COUNT),
+    ),
+)
+EVENT_LOG = Contract(
+    "event_log",
+    (
+        Field("seq", "bigint"),
+        Field(
+            "kind",
+            "string",
+            rule=one_of(REQUESTED, MATCHED, CANCELLED, PICKED_UP, COMPLETED, REPOSITIONED),
+        ),
+        Field("ts", "timestamp_ntz"),
+        Field("rider_id", "bigint", nullable=True),
+        Field("driver_id", "bigint", nullable=True),
+        Field("zone_id", "bigint", nullable=True),
+        Field("to_zone_id", "bigint", nullable=True),
+        Field("wait_min", "double", nullable=True),
+    ),
+)
 MANIFEST = Contract(
     "manifest",
     (
@@ -262,4 +336,7 @@ MANIFEST = Contract(
         Field("kind", "string", rule=one_of("parquet", "csv", "zip")),
     ),
 )
-CONTRACTS = {c.name: c for c in (CLEANED_TRIPS, DEMAND_FEATURES, ETA_FEATURES)}
+CONTRACTS = {
+    c.name: c
+    for c in (CLEANED_TRIPS, DEMAND_FEATURES, ETA_FEATURES, DEMAND_PROFILE, EVENT_LOG)
+}

@@ -94,8 +94,8 @@ def _first(kind: str) -> Column:
     return F.min(F.when(_is(kind), F.struct(*ORDER)))
 
 
-def lifecycle_order(events: DataFrame) -> DataFrame:
-    """Per rider: request first, match before pickup, pickup before completion."""
+def _rider_order(events: DataFrame) -> DataFrame:
+    """Per rider: what happened, and whether it happened in order."""
     per_rider = (
         events.where(F.col("rider_id").isNotNull())
         .groupBy("rider_id")
@@ -104,6 +104,7 @@ def lifecycle_order(events: DataFrame) -> DataFrame:
             _first(MATCHED).alias("m"),
             _first(PICKED_UP).alias("p"),
             _first(COMPLETED).alias("c"),
+            F.bool_or(_is(CANCELLED)).alias("gone"),
         )
     )
     starts = F.col("first_kind") == REQUESTED
@@ -111,6 +112,9 @@ def lifecycle_order(events: DataFrame) -> DataFrame:
     pickup_ok = F.coalesce(F.col("p") < F.col("c"), F.lit(True))
     return per_rider.select(
         "rider_id",
+        "gone",
+        F.col("m").isNotNull().alias("matched"),
+        F.col("c").isNotNull().alias("done"),
         starts.alias("starts_with_request"),
         match_ok.alias("match_before_pickup"),
         pickup_ok.alias("pickup_before_completion"),
@@ -118,6 +122,11 @@ def lifecycle_order(events: DataFrame) -> DataFrame:
     )
 
 
+def lifecycle_order(events: DataFrame) -> DataFrame:
+    """Per rider: request first, match before pickup, pickup before completion."""
+    return _rider_order(events).drop("gone", "matched", "done")
+
+
 def rider_outcome(events: DataFrame) -> DataFrame:
     """Last state per rider and whether it is an end state."""
     return (
@@ -193,40 +202,45 @@ def ride_spans(events: DataFrame) -> DataFrame:
 
 
 def invariants(events: DataFrame, fleet: DataFrame | None = None) -> DataFrame:
-    """(invariant, violations): conservation rules of a run, all expected to be 0."""
+    """(invariant, violations): conservation rules of a run, all expected to be 0.
+
+    One pass groups by rider for three rules; one ordered pass per driver gives the rest.
+    """
     riders = (
-        events.where(F.col("rider_id").isNotNull())
-        .groupBy("rider_id")
-        .agg(
-            F.bool_or(_is(COMPLETED)).alias("done"),
-            F.bool_or(_is(CANCELLED)).alias("gone"),
-            F.bool_or(_is(MATCHED)).alias("matched"),
-        )
+        _rider_order(events)
         .agg(
             F.count_if(F.col("done") & F.col("gone")).alias("completed_and_cancelled"),
             F.count_if(F.col("matched") & F.col("gone")).alias("matched_and_cancelled"),
+            F.count_if(~F.col("in_order")).alias("lifecycle_out_of_order"),
         )
     )
-    parts = [
-        riders.selectExpr(
-            "stack(2, 'completed_and_cancelled', completed_and_cancelled, "
-            "'matched_and_cancelled', matched_and_cancelled) AS (invariant, violations)"
-        ),
-        lifecycle_order(events).select(
-            F.lit("lifecycle_out_of_order").alias("invariant"), ~F.col("in_order")
-        ).groupBy("invariant").agg(F.count_if(F.col("(NOT in_order)")).alias("violations")),
-        double_booking(events).agg(F.count_if(F.col("bad_events") > 0).alias("violations")).select(
-            F.lit("driver_double_booked").alias("invariant"), "violations"
-        ),
-    ]
+    # events of other kinds do not change what a driver holds
+    step = F.when(_is(MATCHED), 1).when(_is(COMPLETED), -1).otherwise(0).cast("long")
+    rows = events.where(F.col("driver_id").isNotNull()).select("driver_id", "ts", "seq", "kind")
+    depth = running_total(rows, ["driver_id"], list(ORDER), step, "depth")
+    bad = F.col("kind").isin(MATCHED, COMPLETED) & ~F.col("depth").isin(0, 1)
+    drivers = depth.groupBy("driver_id").agg(F.bool_or(bad).alias("double"))
+    outside = F.lit(None).cast("boolean")
+    names = ["driver_double_booked"]
     if fleet is not None:
-        seen = events.where(F.col("driver_id").isNotNull()).select("driver_id").distinct()
-        parts.append(
-            seen.join(fleet.select("driver_id"), "driver_id", "left_anti")
-            .agg(F.count(F.lit(1)).alias("violations"))
-            .select(F.lit("driver_outside_fleet").alias("invariant"), "violations")
-        )
-    return reduce(DataFrame.unionByName, parts)
+        known = fleet.select("driver_id").distinct().withColumn("_known", F.lit(True))
+        drivers = drivers.join(known, "driver_id", "left")
+        outside = F.col("_known").isNull()
+        names.append("driver_outside_fleet")
+    drivers = drivers.agg(
+        F.count_if("double").alias("driver_double_booked"),
+        F.count_if(outside).alias("driver_outside_fleet"),
+    )
+    parts = [(riders, [c for c in riders.columns]), (drivers, names)]
+    listed = [
+        df.select(
+            F.explode(
+                F.array(*[F.struct(F.lit(c).alias("invariant"), F.col(c).alias("violations")) for c in cs])
+            ).alias("r")
+        ).select("r.*")
+        for df, cs in parts
+    ]
+    return reduce(DataFrame.unionByName, listed)
 
 
 def booking_depth(events: DataFrame, unit: str = "hour") -> DataFrame:
@@ -252,24 +266,26 @@ def double_booking(events: DataFrame, unit: str = "hour") -> DataFrame:
     )
 
 
-def _transitions(
-    events: DataFrame, entity: str, id_col: str, states: dict[str, str], initial: str | None,
-    unit: str, judge: Column,
-) -> DataFrame:
-    rows = events.where(F.col("kind").isin(*states) & F.col(id_col).isNotNull()).select(
-        judge.alias("_judge"),
-        F.lit(entity).alias("entity"),
-        F.col(id_col).alias("entity_id"),
-        "ts",
-        "seq",
-        "kind",
-        _state(F.col("kind"), states).alias("to_state"),
-    )
-    out = previous_value(
-        rows, ["entity_id"], list(ORDER), F.col("to_state"), "from_state", unit
+def _moves(events: DataFrame, judge: Column) -> DataFrame:
+    """A row per event and entity that it moves: riders and drivers in one table."""
+    kind = F.col("kind")
+    moves = [
+        F.when(
+            kind.isin(*states) & F.col(own).isNotNull(),
+            F.struct(
+                F.lit(entity).alias("entity"),
+                F.col(own).alias("entity_id"),
+                _state(kind, states).alias("to_state"),
+            ),
+        )
+        for entity, own, states in (
+            ("rider", "rider_id", RIDER_STATE), ("driver", "driver_id", DRIVER_STATE)
+        )
+    ]
+    moved = F.explode(F.array_compact(F.array(*moves))).alias("m")
+    return events.select(judge.alias("_judge"), "ts", "seq", "kind", moved).select(
+        "_judge", "ts", "seq", "kind", "m.*"
     )
-    out = out.where("_judge")
-    return out if initial is None else out.fillna({"from_state": initial})
 
 
 def _legal(moves) -> Column:
@@ -285,17 +301,24 @@ def illegal_transitions(
     A rider starts by waiting; a driver starts idle. Rows where ``judge`` is false
     only supply the state before the others.
     """
-    judge = F.lit(True) if judge is None else judge
-    riders = _transitions(events, "rider", "rider_id", RIDER_STATE, None, unit, judge)
-    riders = riders.where(
-        F.when(F.col("from_state").isNull(), F.col("to_state") != "waiting").otherwise(
-            ~_legal(RIDER_MOVES)
-        )
+    rows = _moves(events, F.lit(True) if judge is None else judge)
+    states = previous_value(
+        rows, ["entity", "entity_id"], list(ORDER), F.col("to_state"), "from_state", unit
+    )
+    before, after = F.col("from_state"), F.col("to_state")
+    rider = F.col("entity") == "rider"
+    start = F.when(rider, before).otherwise(F.coalesce(before, F.lit("idle")))
+    illegal = (
+        F.when(rider & before.isNull(), after != "waiting")
+        .when(rider, ~_legal(RIDER_MOVES))
+        .otherwise(~_legal(DRIVER_MOVES))
+    )
+    return (
+        states.where("_judge")
+        .withColumn("from_state", start)
+        .where(illegal)
+        .select(*ILLEGAL_COLUMNS)
     )
-    drivers = _transitions(events, "driver", "driver_id", DRIVER_STATE, "idle", unit, judge)
-    drivers = drivers.where(~_legal(DRIVER_MOVES))
-    columns = list(ILLEGAL_COLUMNS)
-    return riders.select(*columns).unionByName(drivers.select(*columns))
 
 
 # ---- run metrics ---------------------------------------------------------------

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..constants import ZONE_MAX, ZONE_MIN
 from ..functions import clock
 from ..functions.numbers import uniform
 from .profile import expected_arrivals
@@ -85,8 +86,11 @@ PICK_CELLS = 1024
 def _pick_table(weights: DataFrame) -> DataFrame:
     """Shares laid end to end on [0, 1) and cut into cells: (cell, from, to, zone).
 
-    A zone has one row per cell it touches: at most 263 + 1,024 rows in all.
+    Weights of one zone add up, so there are at most 263 shares. A zone has one row per
+    cell it touches: at most 263 + 1,024 rows in all.
     """
+    known = weights.where(F.col("zone_id").between(ZONE_MIN, ZONE_MAX))
+    weights = known.groupBy("zone_id").agg(F.sum("weight").alias("weight"))
     order = Window.orderBy("zone_id")
     upto = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0))
     shares = weights.withColumn("_to", upto).withColumn(

@@ -10,8 +10,20 @@ from ..functions.numbers import haversine_km
 
 
 def known_zones(zones: DataFrame) -> DataFrame:
-    """One row per id inside the zone domain: at most 263 rows, safe to broadcast."""
-    return zones.where(F.col("zone_id").between(ZONE_MIN, ZONE_MAX)).dropDuplicates(["zone_id"])
+    """One row per id inside the zone domain: at most 263 rows, safe to broadcast.
+
+    Of rows that repeat an id the least by its other columns counts.
+    """
+    rest = [c for c in zones.columns if c != "zone_id"]
+    known = zones.where(F.col("zone_id").between(ZONE_MIN, ZONE_MAX)).groupBy("zone_id")
+    least = known.agg(F.min(F.struct(*rest)).alias("_rest")) if rest else known.agg(F.lit(0))
+    return least.select("zone_id", *[F.col(f"_rest.`{c}`") for c in rest])
+
+
+def known_distances(distances: DataFrame) -> DataFrame:
+    """One row per pair inside the zone domain, the shortest: at most 263 x 263 rows."""
+    inside = F.col("zone_a").between(ZONE_MIN, ZONE_MAX) & F.col("zone_b").between(ZONE_MIN, ZONE_MAX)
+    return distances.where(inside).groupBy("zone_a", "zone_b").agg(F.min("km").alias("km"))
 
 
 def name_zones(df: DataFrame, zones: DataFrame, zone: str) -> DataFrame:
@@ -55,14 +67,12 @@ def add_travel_time(
 ) -> DataFrame:
     """Straight-line distance and time; null where a zone is unknown.
 
-    The distance table has at most 263 x 263 rows, so it is broadcast.
+    The distances of known zones are at most 263 x 263 rows, so they are broadcast.
     """
     if speed_kmh <= 0:
         raise ValueError("speed_kmh must be positive")
-    table = distances.select(
+    table = known_distances(distances).select(
         F.col("zone_a").alias("_a"), F.col("zone_b").alias("_b"), F.col("km").alias(km)
-    ).where(
-        F.col("_a").between(ZONE_MIN, ZONE_MAX) & F.col("_b").between(ZONE_MIN, ZONE_MAX)
     )
     joined = df.join(
         F.broadcast(table), (F.col(origin) == F.col("_a")) & (F.col(dest) == F.col("_b")), "left"

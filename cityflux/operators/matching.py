@@ -12,13 +12,15 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..constants import RADIUS_KM, ZONE_MAX, ZONE_MIN
+from ..constants import RADIUS_KM, ZONE_MAX
+from .geo import known_distances
 from .skew import join_spread
 
 # Tasks get the matching functions by value: executors need not have this package.
@@ -30,11 +32,7 @@ ASSIGNMENT_DDL = "tick timestamp_ntz, rider_id bigint, driver_id bigint, pickup_
 
 def _reach(distances: DataFrame, radius_km: float) -> DataFrame:
     """Zone pairs within the (inclusive) radius: 263 x 263 rows at most."""
-    return distances.where(
-        (F.col("km") <= float(radius_km))
-        & F.col("zone_a").between(ZONE_MIN, ZONE_MAX)
-        & F.col("zone_b").between(ZONE_MIN, ZONE_MAX)
-    )
+    return known_distances(distances).where(F.col("km") <= float(radius_km))
 
 
 def _supply_near(drivers: DataFrame, distances: DataFrame, radius_km: float) -> DataFrame:
@@ -163,31 +161,37 @@ def _nearest_fifo(riders: pd.DataFrame, drivers: pd.DataFrame, km: np.ndarray, r
     return pd.DataFrame(out, columns=["rider_id", "driver_id", "pickup_km"])
 
 
-# name -> f(riders of a tick, drivers of a tick, km matrix, radius) -> assignments
-POLICIES: dict[str, Callable] = {"nearest_driver": _nearest_fifo}
+@dataclass(frozen=True)
+class Policy:
+    """How a tick is decided: f(riders of a tick, drivers of a tick, km matrix, radius).
+
+    ``first_come`` says that riders are served in request order, each by a closest free
+    driver; then riders and drivers who cannot take part are dropped beforehand.
+    """
+
+    choose: Callable
+    first_come: bool = False
 
 
-def register_policy(name: str, policy: Callable) -> None:
-    POLICIES[name] = policy
+POLICIES: dict[str, Policy] = {"nearest_driver": Policy(_nearest_fifo, first_come=True)}
 
 
-def policy_named(name: str) -> Callable:
-    try:
-        return POLICIES[name]
-    except KeyError:
-        known = ", ".join(sorted(POLICIES))
-        raise KeyError(f"unknown dispatch policy {name!r}; known: {known}") from None
+def register_policy(name: str, choose: Callable, first_come: bool = False) -> None:
+    POLICIES[name] = Policy(choose, first_come)
+
+
+def policy_named(name: str) -> Policy:
+    if name not in POLICIES:
+        raise KeyError(f"no dispatch policy is called {name!r}, only {sorted(POLICIES)}")
+    return POLICIES[name]
 
 
 def _distance_matrix(distances: DataFrame) -> np.ndarray:
     """Zone distances as an array; the table is bounded by the zone domain squared."""
     size = ZONE_MAX + 1
     km = np.full((size, size), np.inf)
-    bounded = distances.where(
-        F.col("zone_a").between(ZONE_MIN, ZONE_MAX) & F.col("zone_b").between(ZONE_MIN, ZONE_MAX)
-    )
-    table = bounded.select("zone_a", "zone_b", "km").toPandas()
-    km[table["zone_a"].to_numpy(), table["zone_b"].to_numpy()] = table["km"].to_numpy()
+    for row in known_distances(distances).collect():
+        km[row.zone_a, row.zone_b] = row.km
     return km
 
 
@@ -205,8 +209,9 @@ def assign_fifo(
     (each zone keeps at most as many riders as it has drivers in reach) and not by
     its rider count. Other policies get the whole tick.
     """
-    choose = policy_named(policy)
-    if policy == "nearest_driver":
+    chosen = policy_named(policy)
+    choose = chosen.choose
+    if chosen.first_come:
         riders, drivers = _contenders(riders, drivers, distances, radius_km)
     km = _distance_matrix(distances)
     # few bytes but much work per row: keep all partitions, AQE would merge them

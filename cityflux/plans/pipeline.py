@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 from ..operators.cleaning import RAW_COLUMNS, CleaningRules, clean_months
-from ..operators.contracts import RAW_TRIPS, ContractViolation, check, failures
+from ..operators.contracts import RAW_TRIPS, judged_types
 from ..operators.panel import demand_features
 from ..operators.profile import demand_profile
 from ..operators.split import eta_features
@@ -13,24 +13,18 @@ from ..sources.catalog import Catalog, parse_months, read_raw_months
 from ..sources.verify import file_hashes, manifest_table, require_verified
 
 
-def gate_raw(raw: DataFrame, name: str) -> DataFrame:
-    """Refuse raw files with missing columns or values of the wrong type.
-
-    Nulls and values out of range are the cleaner's business, not a broken file.
-    """
-    broken = [
-        f for f in failures(check(raw, RAW_TRIPS)) if ": not_null" not in f
-    ]
-    if broken:
-        raise ContractViolation(f"{name}: " + "; ".join(broken))
-    return raw.select(*RAW_COLUMNS, "month")
-
-
 def publish_cleaned(
-    catalog: Catalog, raw_dir: str, months: list[str], rules: CleaningRules = CleaningRules()
+    catalog: Catalog, raw_dir: str, months: list[str], rules: CleaningRules = CleaningRules(),
+    keep_months: bool = False,
 ) -> str:
-    raw = gate_raw(read_raw_months(catalog.spark, raw_dir, months), "raw trips")
-    return catalog.publish("cleaned_trips", clean_months(raw, months, rules))
+    """Clean the months and publish them, judging the raw rows while they are read.
+
+    Raw files with missing columns or values of the wrong type are refused. Nulls and
+    values out of range are the cleaner's business, not a broken file.
+    """
+    raw, verdict = judged_types(read_raw_months(catalog.spark, raw_dir, months), RAW_TRIPS)
+    cleaned = clean_months(raw.select(*RAW_COLUMNS, "month"), months, rules)
+    return catalog.publish("cleaned_trips", cleaned, keep_months=keep_months, verdicts=[verdict])
 
 
 def build_features(catalog: Catalog) -> tuple[str, str]:

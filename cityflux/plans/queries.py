@@ -23,13 +23,12 @@ from ..operators import (
     profile,
     split,
 )
-from ..session import configure
-from ..sources import testdata as td, verify
+from ..session import configure, scratch_path
+from ..sources import catalog, testdata as td, verify
 from ..streaming import live, runs
 
 HORIZON_MIN = 30 * 24 * 60.0
 SEED = 7
-MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)]
 THRESHOLDS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,26 +159,30 @@ def scan_raw_trips(t):
 
 @query
 def scan_multi(t):
-    """Two stored parts read as one table."""
+    """Two stored months of differing types read as one table."""
     early = F.col("tpep_pickup_datetime") < F.lit("2024-01-16").cast("timestamp_ntz")
-    raw = t.raw()
-    paths = [runs.save_table(raw.where(c), "part") for c in (early, ~early)]
-    return cleaning.project_raw(t.spark.read.parquet(*paths))
+    raw, folder = t.raw(), scratch_path(t.spark, "raw-months")
+    other = {"passenger_count": "bigint", "PULocationID": "int", "DOLocationID": "int"}
+    retyped = raw.withColumns({c: F.col(c).cast(kind) for c, kind in other.items()})
+    raw.where(early).write.parquet(catalog.raw_month_path(folder, "2024-01"))
+    retyped.where(~early).write.parquet(catalog.raw_month_path(folder, "2024-02"))
+    both = catalog.read_raw_months(t.spark, folder, ["2024-01", "2024-02"])
+    return cleaning.project_raw(both)
 
 
 @query
 def verify_files(t):
-    """Hashes of the given files; the promised hash of one table is wrong on purpose."""
-    hashes = verify.file_hashes(t.spark, t.sf_dir, "*.parquet")
-    entries = hashes.select(
-        "name",
-        F.col("path").alias("url"),
-        F.when(F.col("name") == "nation", "0" * 64)
-        .when(F.col("name") != "region", F.upper("sha256"))
-        .alias("sha256"),
-        F.lit("parquet").alias("kind"),
+    """Page contents as files: some promised hashes are wrong, missing or not listed."""
+    html = F.col("html").cast("binary")
+    kind = F.col("page_id") % 7
+    hashes = t.pages.select(
+        "page_id",
+        F.col("page_id").cast("string").alias("name"),
+        F.octet_length(html).cast("long").alias("length"),
+        F.sha2(html, 256).alias("sha256"),
     )
-    return verify.verify_files(hashes, entries.where(F.col("name") != "part"))
+    promised = F.when(kind == 1, "0" * 64).when(kind != 2, F.upper("sha256")).alias("sha256")
+    return verify.verify_files(hashes, hashes.where(kind != 3).select("name", promised))
 
 
 @query
@@ -189,7 +192,9 @@ def clean_trips(t):
 
 @query
 def clean_months(t):
-    return cleaning.clean_months(t.shipping(), MONTHS)
+    filed = t.shipping()
+    months = [r.month for r in filed.select("month").distinct().collect()]  # a calendar's worth
+    return cleaning.clean_months(filed, months)
 
 
 @query

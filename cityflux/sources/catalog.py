@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Callable, Sequence
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -27,58 +30,92 @@ SORT_KEYS = {
     "event_log": ["ts", "seq"],
 }
 MONTHLY = {"cleaned_trips": "month"}
+POINTER = "_current.json"
 
 
 class Catalog:
-    """Read and write tables by name; paths are only known here."""
+    """Tables by name. A table is a folder of versions and a small file that names the
+    current one, month by month where the table has months.
+
+    A version is written and judged first; replacing the small file then makes it the
+    table in one step, so readers see the old rows or the new ones and never none. The
+    version before stays for readers under way.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
         self.root = str(root).rstrip("/")
 
-    def path(self, name: str) -> str:
-        if name not in TABLES:
-            raise KeyError(f"unknown dataset {name!r}; known: {', '.join(sorted(TABLES))}")
-        return f"{self.root}/{TABLES[name]}"
-
     @staticmethod
     def datasets() -> list[str]:
         return sorted(TABLES)
 
+    def path(self, name: str) -> str:
+        folder = TABLES.get(name)
+        if folder is None:
+            raise KeyError(f"unknown dataset {name!r}: the catalog has {self.datasets()}")
+        return f"{self.root}/{folder}"
+
+    def _current(self, name: str) -> dict[str, str]:
+        """Month (or "") -> folder; a table without a pointer is read as it lies."""
+        text = files.read_text(self.spark, f"{self.path(name)}/{POINTER}")
+        if text is not None:
+            return json.loads(text)
+        plain = [c for c in files.children(self.spark, self.path(name)) if not c.startswith("v-")]
+        return {"": ""} if plain else {}
+
     def exists(self, name: str) -> bool:
-        return files.exists(self.spark, self.path(name))
+        return bool(self._current(name))
 
     def read(self, name: str, months: list[str] | None = None) -> DataFrame:
-        """The table without layout columns; ``months`` prunes whole folders."""
-        path = self.path(name)
-        if not files.exists(self.spark, path):
-            raise FileNotFoundError(f"{name!r} not built yet: {path}")
-        df = self.spark.read.parquet(path)
-        layout = MONTHLY.get(name)
-        if layout is None or layout not in df.columns:
-            return df
-        if months is not None:
-            # folder names are read back as dates or text, whichever they look like
-            df = df.where(F.date_format(F.to_date(layout), "yyyy-MM").isin(*months))
-        return df.drop(layout)
-
-    def publish(self, name: str, df: DataFrame, allow_empty: bool = False) -> str:
-        """Write beside the table, check the contract on the way, then swap it in.
-
-        A violation raises and leaves the published table as it was.
+        """The table without layout columns; ``months`` leaves the other folders unread."""
+        parts = self._current(name)
+        if not parts:
+            raise FileNotFoundError(f"{name!r} is not built: nothing at {self.path(name)}")
+        wanted = [p for m, p in sorted(parts.items()) if months is None or not m or m in months]
+        folders = [f"{self.path(name)}/{p}" for p in wanted or parts.values()]
+        df = self.spark.read.parquet(*folders).drop(MONTHLY.get(name, ""))
+        return df if wanted else df.limit(0)
+
+    def publish(
+        self,
+        name: str,
+        df: DataFrame,
+        allow_empty: bool = False,
+        keep_months: bool = False,
+        verdicts: Sequence[Callable[[], int]] = (),
+    ) -> str:
+        """Write a version, check the contract on the way, then make it current.
+
+        A violation raises, leaves the table as it was and removes the version. With
+        ``keep_months`` only the months in ``df`` are replaced. ``verdicts`` are judgements
+        of inputs that are known once ``df`` has been written.
         """
-        target = self.path(name)
-        staged = f"{self.root}/_staging/{name}-{uuid.uuid4().hex}"
-        layout = MONTHLY.get(name)
+        target, version = self.path(name), f"v-{uuid.uuid4().hex}"
+        staged, layout = f"{target}/{version}", MONTHLY.get(name)
         extra = (layout,) if layout and layout in df.columns else ()
-        contract = CONTRACTS.get(name)
-        verdict = None
-        if contract is not None:
-            df, verdict = observed(df, contract, extra)
-        write_sorted(df, staged, SORT_KEYS[name], extra)
-        if verdict is not None and verdict() == 0 and not allow_empty:
-            raise ContractViolation(f"{name}: no rows")
-        files.replace(self.spark, staged, target)
+        try:
+            table, verdict = observed(df, CONTRACTS[name], extra)
+            write_sorted(table, staged, SORT_KEYS[name], extra)
+            for judged in verdicts:
+                judged()
+            if verdict() == 0:
+                if not allow_empty:
+                    raise ContractViolation(f"{name}: no rows")
+                table.drop(*extra).limit(0).write.mode("overwrite").parquet(staged)
+        except BaseException:
+            files.delete(self.spark, staged)
+            raise
+        old, label = self._current(name), f"{layout}="
+        months = [c for c in files.children(self.spark, staged) if c.startswith(label)]
+        new = {c.removeprefix(label): f"{version}/{c}" for c in months} or {"": version}
+        if keep_months:
+            new = {m: p for m, p in old.items() if m} | new
+        files.write_text(self.spark, f"{target}/{POINTER}", json.dumps(new))
+        used = {p.split("/")[0] for p in [*old.values(), *new.values()]}
+        for child in files.children(self.spark, target):
+            if child.startswith("v-") and child not in used:
+                files.delete(self.spark, f"{target}/{child}")
         return target
 
     def validate(self, *names: str) -> None:
@@ -127,14 +164,16 @@ def raw_month_path(raw_dir: str, month: str) -> str:
 
 
 def read_raw_months(spark: SparkSession, raw_dir: str, months: list[str]) -> DataFrame:
-    """Raw trips of several months in one scan, with the file's ``month``.
+    """Raw trips of several months with the ``month`` of the file they came in.
 
-    A month may be one file or a folder of files.
+    A month may be one file or a folder of files. Every month is read with its own types;
+    where they differ, the wider one holds for all. Columns that some month lacks are left
+    out, so the gate misses the required ones among them.
     """
-    paths = [raw_month_path(raw_dir, m) for m in months]
-    return spark.read.parquet(*paths).withColumn(
-        "month", F.regexp_extract("_metadata.file_path", r"yellow_tripdata_(\d{4}-\d{2})", 1)
-    )
+    parts = [spark.read.parquet(raw_month_path(raw_dir, m)) for m in months]
+    common = [c for c in parts[0].columns if all(c in p.columns for p in parts)]
+    named = [p.select(*common, F.lit(m).alias("month")) for p, m in zip(parts, months)]
+    return reduce(DataFrame.unionByName, named)
 
 
 def read_zone_lookup(spark: SparkSession, path: str) -> DataFrame:

@@ -22,33 +22,37 @@ def log_frame(spark, rows):
     )
 
 
-def four_riders():
+def small_run():
+    """Five riders of one evening: three served, one given up, one still waiting."""
+    served = {21: (0.5, 3.5, 10.0), 22: (4.0, 1.5, 21.0), 25: (6.0, 6.0, 8.5)}  # asked, wait, ride
     rows = []
-    for rider, wait, cancelled in ((1, 2.0, False), (2, 5.0, False), (3, 8.0, True), (4, 1.0, False)):
-        rows.append((0, REQUESTED, rider, None, 161, None))
-        if cancelled:
-            rows.append((wait, CANCELLED, rider, None, 161, wait))
-            continue
-        rows.append((wait, MATCHED, rider, 10 + rider, None, wait))
-        rows.append((wait + 4, PICKED_UP, rider, 10 + rider, None, None))
-        rows.append((wait + 15, COMPLETED, rider, 10 + rider, 230, None))
+    for rider, (asked, wait, ride) in served.items():
+        met = asked + wait
+        rows += [
+            (asked, REQUESTED, rider, None, 74, None),
+            (met, MATCHED, rider, 900 + rider, None, wait),
+            (met + 1.0, PICKED_UP, rider, 900 + rider, None, None),
+            (met + ride, COMPLETED, rider, 900 + rider, 13, None),
+        ]
+    rows += [(2.0, REQUESTED, 23, None, 90, None), (10.0, CANCELLED, 23, None, 90, 8.0)]
+    rows += [(26.0, REQUESTED, 24, None, 90, None)]
     return rows
 
 
 @pytest.fixture(scope="module")
 def log(spark):
-    return log_frame(spark, four_riders())
+    return log_frame(spark, small_run())
 
 
 def test_metrics_by_hand(log):
-    m = ev.ride_metrics(log, 5, 60.0).head()
-    assert (m.requests, m.rides_completed, m.cancellations, m.cancel_rate) == (4, 3, 1, 0.25)
-    assert m.mean_wait_min == pytest.approx(8 / 3)
-    assert m.median_wait_min == 2.0
-    assert m.p90_wait_min == pytest.approx(4.4)
-    assert m.driver_idle_pct == pytest.approx(0.85)
-    r = ev.rounded_metrics(ev.ride_metrics(log, 5, 60.0)).head()
-    assert r.mean_wait_min == 2.667
+    m = ev.ride_metrics(log, 2, 30.0).head()
+    assert (m.requests, m.rides_completed, m.cancellations, m.cancel_rate) == (5, 3, 1, 0.2)
+    assert m.mean_wait_min == pytest.approx(11 / 3)  # of waits 1.5, 3.5 and 6
+    assert m.median_wait_min == 3.5
+    assert m.p90_wait_min == pytest.approx(3.5 + 0.8 * 2.5)
+    assert m.driver_idle_pct == pytest.approx(1 - 39.5 / 60)  # rides of 10, 21 and 8.5 minutes
+    r = ev.rounded_metrics(ev.ride_metrics(log, 2, 30.0)).head()
+    assert r.mean_wait_min == 3.667
 
 
 def test_metrics_of_an_empty_log(log):
@@ -88,22 +92,22 @@ def test_union_fills_missing_fields(spark, log):
         ),
     ]
     out = ev.event_union(*parts)
-    assert out.columns == list(ev.EVENT_COLUMNS) and out.count() == 7
-    assert out.where("kind = 'RiderRequested' AND driver_id IS NULL").count() == 4
+    assert out.columns == list(ev.EVENT_COLUMNS) and out.count() == 8
+    assert out.where("kind = 'RiderRequested' AND driver_id IS NULL").count() == 5
 
 
 def test_clean_log_breaks_nothing(spark, log):
-    fleet = spark.createDataFrame([(11,), (12,), (14,)], "driver_id bigint")
+    fleet = spark.createDataFrame([(921,), (922,), (925,)], "driver_id bigint")
     assert {r.violations for r in ev.invariants(log, fleet).collect()} == {0}
     assert ev.illegal_transitions(log).count() == 0
     assert ev.lifecycle_order(log).where("NOT in_order").count() == 0
     assert {r.rider_id: r.state for r in ev.rider_outcome(log).collect()} == {
-        1: "dropped_off", 2: "dropped_off", 3: "cancelled", 4: "dropped_off",
+        21: "dropped_off", 22: "dropped_off", 23: "cancelled", 24: "waiting", 25: "dropped_off",
     }
     assert {r.rider_id: r.cancelled for r in ev.risk_label(log).collect()} == {
-        1: 0, 2: 0, 3: 1, 4: 0,
+        21: 0, 22: 0, 23: 1, 25: 0,
     }
-    small = fleet.where("driver_id < 13")
+    small = fleet.where("driver_id < 925")
     report = {r.invariant: r.violations for r in ev.invariants(log, small).collect()}
     assert report["driver_outside_fleet"] == 1
 

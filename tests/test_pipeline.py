@@ -1,9 +1,13 @@
+import os
+import shutil
 from datetime import timedelta
 
 import pytest
 from frames import RAW_DDL, at, trip, trips
+from pyspark.sql import functions as F
 
 from cityflux.operators.contracts import ContractViolation
+from cityflux.operators.events import as_event_log
 from cityflux.plans.pipeline import build_all, build_features, calibrate, publish_cleaned
 from cityflux.sources.catalog import (
     Catalog,
@@ -60,9 +64,45 @@ def test_two_months_end_to_end(spark, tmp_path):
     assert catalog.read("demand_features").count() == 263 * hours
     calibrate(catalog)
     assert catalog.read("demand_profile").count() == 263 * 168
-    # building again replaces the tables
+    # a month alone is replaced beside the others, or the whole table is
+    publish_cleaned(catalog, raw, ["2023-01"], keep_months=True)
+    assert catalog.read("cleaned_trips").count() == 60
     publish_cleaned(catalog, raw, ["2023-01"])
     assert catalog.read("cleaned_trips").count() == 30
+    assert catalog.read("cleaned_trips", ["2023-02"]).count() == 0
+
+
+def test_months_of_differing_types(spark, tmp_path):
+    """Passenger counts and zones change type from month to month, as public files do."""
+    raw = str(tmp_path / "data" / "raw")
+    write_month(spark, raw, "2023-01")
+    write_month(spark, raw, "2023-03")
+    for month, kinds in (
+        ("2023-02", {"passenger_count": "bigint", "PULocationID": "int", "trip_distance": "float"}),
+        ("2023-04", {"passenger_count": "int", "DOLocationID": "bigint"}),
+    ):
+        write_month(spark, raw, f"{month}")
+        path = raw_month_path(raw, month)
+        df = spark.read.parquet(path)
+        rows = df.withColumns({c: df[c].cast(k) for c, k in kinds.items()}).withColumn("extra", df[0])
+        rows.write.parquet(path + ".new")
+        shutil.rmtree(path)
+        os.rename(path + ".new", path)
+    catalog = build_all(spark, "2023-01..2023-04", str(tmp_path / "data"))
+    assert catalog.read("cleaned_trips").count() == 120
+    assert dict(catalog.read("cleaned_trips").dtypes)["passenger_count"] == "bigint"
+
+
+def test_values_of_the_wrong_type_are_refused(spark, tmp_path):
+    raw = str(tmp_path / "raw")
+    write_month(spark, raw, "2023-01")
+    good = spark.read.parquet(raw_month_path(raw, "2023-01"))
+    text = good.withColumn("trip_distance", F.lit("far"))
+    text.write.parquet(raw_month_path(raw, "2023-02"))
+    catalog = Catalog(spark, str(tmp_path))
+    with pytest.raises(ContractViolation, match="trip_distance: coerce"):
+        publish_cleaned(catalog, raw, ["2023-02"])
+    assert not catalog.exists("cleaned_trips")
 
 
 def test_bad_trips_stop_the_build(spark, tmp_path):
@@ -87,6 +127,27 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
     with pytest.raises(ContractViolation, match="no rows"):
         catalog.publish("cleaned_trips", good.where("false"))
     assert [r.pu_location_id for r in catalog.read("cleaned_trips").collect()] == [161]
+    # nothing of the refused versions stays, and readers of the last version can go on
+    versions = lambda: [c for c in os.listdir(catalog.path("cleaned_trips")) if c.startswith("v-")]
+    assert len(versions()) == 1
+    under_way = catalog.read("cleaned_trips")
+    for zone in (7, 8):
+        catalog.publish("cleaned_trips", trips(spark, [trip(at("2023-01-02 08:00"), 12, zone)]))
+        assert len(versions()) == 2
+        if zone == 7:
+            assert [r.pu_location_id for r in under_way.collect()] == [161]
+
+
+def test_profiles_and_logs_are_judged_too(spark, tmp_path):
+    catalog = Catalog(spark, str(tmp_path))
+    rates = spark.createDataFrame([(5, 168, 1.0)], "zone_id bigint, how bigint, rate_per_hour double")
+    with pytest.raises(ContractViolation, match="how"):
+        catalog.publish("demand_profile", rates)
+    log = spark.createDataFrame([(1, "Teleported", at("2023-01-02 08:00"))], "seq bigint, kind string, ts timestamp_ntz")
+    with pytest.raises(ContractViolation, match="missing_column"):
+        catalog.publish("event_log", log)
+    with pytest.raises(ContractViolation, match="kind"):
+        catalog.publish("event_log", as_event_log(log))
 
 
 def test_catalog_names(spark, tmp_path):
@@ -95,7 +156,7 @@ def test_catalog_names(spark, tmp_path):
     with pytest.raises(KeyError, match="unknown dataset"):
         catalog.path("nope")
     assert not catalog.exists("eta_features")
-    with pytest.raises(FileNotFoundError, match="not built"):
+    with pytest.raises(FileNotFoundError, match="is not built"):
         catalog.read("eta_features")
 
 
