@@ -195,6 +195,18 @@ def _distance_matrix(distances: DataFrame) -> np.ndarray:
     return km
 
 
+def _zone_groups(km: np.ndarray, radius_km: float) -> list[int]:
+    """Per zone id the least zone that a chain of steps within the radius leads to."""
+    near = (km <= radius_km) | (km.T <= radius_km)
+    label = np.arange(len(km))
+    while True:
+        best = np.where(near, label[None, :], len(km)).min(axis=1)
+        lower = np.minimum(label, best)
+        if (lower == label).all():
+            return label.tolist()
+        label = lower
+
+
 def assign_fifo(
     riders: DataFrame,
     drivers: DataFrame,
@@ -202,36 +214,38 @@ def assign_fifo(
     radius_km: float = RADIUS_KM,
     policy: str = "nearest_driver",
 ) -> DataFrame:
-    """Assignments per tick without double booking; ticks run in parallel.
+    """Assignments per tick without double booking.
 
-    The choice inside a tick is sequential. Before it, riders and drivers that
-    cannot matter are removed exactly, so a tick's group is bounded by its fleet
-    (each zone keeps at most as many riders as it has drivers in reach) and not by
-    its rider count. Other policies get the whole tick.
+    The choice inside a group is sequential, so groups are kept small, exactly: zones that
+    no chain of reachable zones links are decided apart, and riders and drivers that
+    cannot matter are removed first (each zone keeps at most as many riders as it has
+    drivers in reach). What is left of a group is bounded by its fleet, not by its riders.
+    Policies that are not ``first_come`` get whole ticks.
     """
     chosen = policy_named(policy)
     choose = chosen.choose
+    km = _distance_matrix(distances)
+    group = F.lit(0)
     if chosen.first_come:
         riders, drivers = _contenders(riders, drivers, distances, radius_km)
-    km = _distance_matrix(distances)
+        labels = _zone_groups(km, radius_km)
+        group = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("zone").cast("int") + 1)
     # few bytes but much work per row: keep all partitions, AQE would merge them
     tasks = int(riders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def one_tick(tick, waiting: pd.DataFrame, idle: pd.DataFrame) -> pd.DataFrame:
+    def decided(key, waiting: pd.DataFrame, idle: pd.DataFrame) -> pd.DataFrame:
         if waiting.empty or idle.empty:
             return pd.DataFrame(columns=["tick", "rider_id", "driver_id", "pickup_km"])
         out = choose(waiting, idle, km, radius_km)
-        out.insert(0, "tick", tick[0])
+        out.insert(0, "tick", key[0])
         return out
 
+    def dealt(df: DataFrame, *columns: str):
+        rows = df.select("tick", group.alias("zones"), *columns)
+        return rows.repartition(tasks, "tick", "zones").groupBy("tick", "zones")
+
     return (
-        riders.select("tick", "rider_id", "zone", "request_ts", "rider_pos")
-        .repartition(tasks, "tick")
-        .groupBy("tick")
-        .cogroup(
-            drivers.select("tick", "driver_id", "zone", "driver_pos")
-            .repartition(tasks, "tick")
-            .groupBy("tick")
-        )
-        .applyInPandas(one_tick, ASSIGNMENT_DDL)
+        dealt(riders, "rider_id", "zone", "request_ts", "rider_pos")
+        .cogroup(dealt(drivers, "driver_id", "zone", "driver_pos"))
+        .applyInPandas(decided, ASSIGNMENT_DDL)
     )
