@@ -31,26 +31,31 @@ def unescaped(x: Column) -> Column:
     return F.replace(plain, F.lit("\\\\"), F.lit("\\"))
 
 
-def _rounds(nodes: DataFrame) -> list[DataFrame]:
-    """tree, id, up, depth, total after each doubling.
+def _rounds(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Tables tree, id, up, depth, total by round, and the finished rows.
 
-    After round ``r`` a node's ``up`` is its ``2**r``-th ancestor; depth and total cover the
-    nodes from it up to, but without, that ancestor.
+    In table ``r`` a node's ``up`` is its ``2**r``-th ancestor; depth and total cover the
+    nodes from it up to, but without, that ancestor. A node that has reached its root is
+    finished: it is looked up by others but takes no further step, so the rounds of a few
+    long chains cost what those chains hold.
     """
     largest = nodes.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    tables = [stored(nodes, "replies")]
-    while (1 << len(tables) - 1) < largest:
-        near, far = tables[-1].alias("near"), tables[-1].alias("far")
+    step = stored(nodes, "replies")
+    tables, finished = [step.where("up is not null")], step.where("up is null")
+    while (1 << len(tables) - 1) < largest and not tables[-1].isEmpty():
+        near, far = tables[-1].alias("near"), tables[-1].unionByName(finished).alias("far")
         same = F.col("near.tree").eqNullSafe(F.col("far.tree")) & (F.col("near.up") == F.col("far.id"))
-        step = near.join(far, same, "left").select(
+        step = near.join(far, same).select(
             "near.tree",
             "near.id",
-            F.col("far.up").alias("up"),
-            (F.col("near.depth") + F.coalesce("far.depth", F.lit(0))).alias("depth"),
-            (F.col("near.total") + F.coalesce("far.total", F.lit(0.0))).alias("total"),
+            "far.up",
+            (F.col("near.depth") + F.col("far.depth")).alias("depth"),
+            (F.col("near.total") + F.col("far.total")).alias("total"),
         )
-        tables.append(stored(step, "replies"))
-    return tables
+        step = stored(step, "replies")
+        tables.append(step.where("up is not null"))
+        finished = finished.unionByName(step.where("up is null"))
+    return tables, finished
 
 
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
@@ -69,9 +74,8 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         F.lit(1).cast("long").alias("depth"),
         F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"),
     )
-    rounds = _rounds(nodes)
-    done = rounds[-1].where("up is null")
-    used = rounds[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("u"))
+    rounds, done = _rounds(nodes)
+    used = rounds[0].select(F.col("tree").alias("t"), F.col("up").alias("u"))
     leaves = done.join(used, F.col("tree").eqNullSafe(F.col("t")) & (F.col("id") == F.col("u")), "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), "id")
     chosen = leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= branches)
@@ -79,7 +83,7 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     for table in reversed(rounds[:-1]):
         path, step = on_path.alias("p"), table.alias("s")
         same = F.col("p.tree").eqNullSafe(F.col("s.tree")) & (F.col("p.id") == F.col("s.id"))
-        above = path.join(step, same).where("s.up is not null").select("p.tree", "p.leaf", F.col("s.up").alias("id"))
+        above = path.join(step, same).select("p.tree", "p.leaf", F.col("s.up").alias("id"))
         on_path = stored(on_path.unionByName(above), "path")
     at, deep = on_path.alias("p"), done.alias("d")
     same = F.col("p.tree").eqNullSafe(F.col("d.tree")) & (F.col("p.id") == F.col("d.id"))
