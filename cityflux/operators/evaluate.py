@@ -351,12 +351,12 @@ def peeking_inflation(
     )
 
 
-def poisson_one_limits(terms: int = 9) -> list[float]:
-    """Cumulative probabilities of a Poisson(1) count, from 0 on."""
-    out, cdf = [], 0.0
-    for k in range(terms):
-        cdf += math.exp(-1.0) / math.factorial(k)
-        out.append(cdf)
+def poisson_one_limits() -> list[float]:
+    """Cumulative probabilities of a Poisson(1) count, from 0 on, until nothing is left."""
+    out, term = [math.exp(-1.0)], math.exp(-1.0)
+    while out[-1] + term / len(out) > out[-1]:
+        term /= len(out)
+        out.append(out[-1] + term)
     return out
 
 
