@@ -14,6 +14,7 @@ size, large cells to several, and queries meet buckets in blocks.
 from __future__ import annotations
 
 import heapq
+import pickle
 import sys
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .tables import partitions_for, stored
+from .tables import partitions_for, shared, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -125,10 +126,11 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.asarray(column.flatten()).astype(np.float64).reshape(-1, width)
 
 
-def _with_cells(shared, width: int):
+def _with_cells(index_bytes, width: int):
     def run(batches):
+        index = pickle.loads(index_bytes.value)
         for batch in batches:
-            cells = shared.value.cells(_matrix(batch.column(0), width)) if batch.num_rows else []
+            cells = index.cells(_matrix(batch.column(0), width)) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(cells, pa.int64())], [*batch.schema.names, "cell"]
             )
@@ -136,11 +138,11 @@ def _with_cells(shared, width: int):
     return run
 
 
-def _probes(shared, width: int, enough: float):
+def _probes(index_bytes, width: int, enough: float):
     """A row per query and bucket, with the query's cells in that bucket."""
 
     def run(batches):
-        index = shared.value
+        index = pickle.loads(index_bytes.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
@@ -256,7 +258,7 @@ def nearest(
     index = MultiIndex(points, distinct, k, recall)
     width = points.shape[1]
     celled = stored(
-        entries.mapInArrow(_with_cells(spark.sparkContext.broadcast(index), width), _plus(entries, "cell long")),
+        entries.mapInArrow(_with_cells(shared(spark, index), width), _plus(entries, "cell long")),
         "cells",
     )
     # at most CENTROIDS ** 2 rows
@@ -265,13 +267,13 @@ def nearest(
         [(c, int(index.first[c]), int(index.parts[c])) for c in np.flatnonzero(index.sizes).tolist()],
         "cell long, first long, parts long",
     )
-    shared = spark.sparkContext.broadcast(index)
+    index_bytes = shared(spark, index)
     wanted = queries.select(F.col("query_id").cast("long").alias("vec_id")).distinct()
     asked = stored(rows.join(wanted, "vec_id").select(F.col("vec_id").alias("query_id"), "vector"), "queries")
     blocks = partitions_for(asked.count(), BLOCK)
     enough = max(index.share * distinct, 16.0 * (k + 1))
     probes = asked.mapInArrow(
-        _probes(shared, width, enough), _plus(asked, "bucket long, cells array<long>")
+        _probes(index_bytes, width, enough), _plus(asked, "bucket long, cells array<long>")
     ).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     placed = (
         celled.join(F.broadcast(buckets), "cell")

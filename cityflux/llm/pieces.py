@@ -255,14 +255,9 @@ def route(matrices: list[np.ndarray], first: int, last: int) -> list[int]:
     return states[::-1]
 
 
-@cache
-def _loaded(path: str) -> Pieces:
-    return Pieces(path)
-
-
 def _encode_small(path: str):
     def run(batches):
-        words = Words(_loaded(path))
+        words = Words(Pieces(path))
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
@@ -277,7 +272,7 @@ def _split(path: str, size: int):
     """Chunks of giant documents; ``body`` starts ``a`` characters before the chunk."""
 
     def run(batches):
-        reach = 2 * _loaded(path).longest + 1
+        reach = 2 * Pieces(path).longest + 1
         for batch in batches:
             for i in range(batch.num_rows):
                 text = marked(batch.column(1)[i].as_py())
@@ -300,17 +295,18 @@ def _split(path: str, size: int):
     return run
 
 
-def _chunk_at(path: str, batch, i: int) -> Chunk:
+def _chunk_at(pieces: Pieces, batch, i: int) -> Chunk:
     body, a, b, ends = (batch.column(c)[i].as_py() for c in ("body", "a", "b", "ends"))
     # beyond a chunk that does not end the text, a mark that no border looks at
-    return Chunk(_loaded(path), body if ends else body + "\0", a, b)
+    return Chunk(pieces, body if ends else body + "\0", a, b)
 
 
 def _matrices(path: str):
     def run(batches):
+        pieces = Pieces(path)
         for batch in batches:
             for i in range(batch.num_rows):
-                m = _chunk_at(path, batch, i).matrix()
+                m = _chunk_at(pieces, batch, i).matrix()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("row").slice(i, 1),
@@ -350,11 +346,12 @@ def _chunk_states(key: tuple, chunks: pd.DataFrame, block: pd.DataFrame) -> pd.D
 
 def _trace_back(path: str):
     def run(batches):
-        words = Words(_loaded(path))
+        pieces = Pieces(path)
+        words = Words(pieces)
         for batch in batches:
             for i in range(batch.num_rows):
                 first, last = (batch.column(c)[i].as_py() for c in ("first", "last"))
-                ids = _chunk_at(path, batch, i).ids(words, first, last)
+                ids = _chunk_at(pieces, batch, i).ids(words, first, last)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row").slice(i, 1), batch.column("chunk").slice(i, 1), pa.array([ids], pa.binary())],
                     ["row", "chunk", "ids"],
@@ -415,7 +412,7 @@ def encode(
 
 def _decode(path: str):
     def run(batches):
-        surface = _loaded(path).surface
+        surface = Pieces(path).surface
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
 
+# Tasks get functions and classes by value: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
@@ -19,6 +25,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared(spark: SparkSession, value):
+    """A broadcast of ``value``, pickled so that its class travels along; ``pickle.loads``
+    of the broadcast's value gives it back."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
