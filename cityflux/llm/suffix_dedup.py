@@ -40,7 +40,7 @@ BUFFER = 1 << 20
 #: representatives per task, and per batch of a task
 REPRESENTATIVES, ARRIVING = 16_384, 2_048
 #: kinds of runs from which a gram counts as crowded; window starts per piece of its runs
-CROWDED, PIECE = 32_768, 16
+CROWDED, PIECE = 2_048, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -386,6 +386,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "doc_id", "hash", F.col("low").alias("begin"), stop.alias("stop")
     )
     variety = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    variety = stored(variety, "varied-grams")  # so that a hot gram's side of the join can be split
     wanted = (
         kinds.join(variety, "gram")
         .groupBy("doc_id", "hash")
