@@ -400,14 +400,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     bodies = stored(found, "bodies")
     crowded = stored(variety.where(F.col("kinds") > CROWDED).select("gram"), "crowded-grams")
-    ordinary = bodies.join(F.broadcast(crowded), "gram", "left_anti").select(bodies.columns)
+    ordinary = bodies.join(crowded, "gram", "left_anti").select(bodies.columns)
     tasks = partitions_for(bodies.count(), REPRESENTATIVES)
     scanned = ordinary.repartition(tasks, "gram").mapInArrow(
         _scan_bucket, _schema(id_type, "hash long, begin long, stop long")
     )
     spans = full.unionByName(scanned)
     if not crowded.isEmpty():
-        rims = bodies.join(F.broadcast(crowded), "gram").select(bodies.columns)
+        rims = bodies.join(crowded, "gram").select(bodies.columns)
         spans = spans.unionByName(_crowded_spans(rims, id_type))
     return spans.groupBy("doc_id", "hash").agg(
         F.collect_set(F.struct("begin", "stop")).alias("spans")
