@@ -1,6 +1,7 @@
 """Time the headline queries; prints one JSON line.
 
-``queries`` holds the registered queries at ``BENCH_SF_DIR``. ``month`` holds the
+``queries`` holds the registered queries at ``BENCH_SF_DIR``. ``sec_per_million_rows`` is
+the slope between the builds of one month's and of four months' rows. ``month`` holds the
 three table builds on one month of about three million raw rows (the given rows
 repeated with shifted times), each reading and writing parquet with its contract
 check. Spark start-up is reported apart.
@@ -48,10 +49,10 @@ def drain(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def month_input(spark, sf_dir: str, root: str) -> str:
-    """About ``MONTH_ROWS`` raw rows with taxi-like trips of 1 to 60 minutes."""
+def month_input(spark, sf_dir: str, root: str, wanted: int) -> str:
+    """About ``wanted`` raw rows with taxi-like trips of 1 to 60 minutes."""
     raw = td.raw_trips(td.table(spark, sf_dir, "events"))
-    copies = max(1, MONTH_ROWS // raw.count())
+    copies = max(1, wanted // raw.count())
     pickup = F.col("tpep_pickup_datetime")
     path = f"{root}/raw.parquet"
     (
@@ -69,31 +70,36 @@ def month_input(spark, sf_dir: str, root: str) -> str:
     return path
 
 
-def month_builds(spark, sf_dir: str) -> dict:
+def month_builds(spark, sf_dir: str, wanted: int = MONTH_ROWS, rounds: int = 2) -> dict:
     root = tempfile.mkdtemp(prefix="run-bench-")
-    path = month_input(spark, sf_dir, root)
-    catalog = Catalog(spark, f"{root}/data")
+    path = month_input(spark, sf_dir, root, wanted)
     out = {"raw_rows": spark.read.parquet(path).count()}
-    for _ in range(2):
+    for k in range(rounds):
+        catalog = Catalog(spark, f"{root}/data{k}")
         raw = spark.read.parquet(path)
         out["clean"] = timed(
-            lambda: catalog.publish("cleaned_trips", cleaning.clean_trips(raw, td.START, td.END))
+            lambda: catalog.publish("cleaned_trips", cleaning.clean_trips(raw, td.START, td.END))  # noqa: B023
         )
         trips = catalog.read("cleaned_trips")
-        out["gate"] = timed(lambda: catalog.validate("cleaned_trips"))
+        out["gate"] = timed(lambda: catalog.validate("cleaned_trips"))  # noqa: B023
         out["demand"] = timed(
-            lambda: catalog.publish("demand_features", panel.demand_features(trips))
+            lambda: catalog.publish("demand_features", panel.demand_features(trips))  # noqa: B023
         )
-        out["eta"] = timed(lambda: catalog.publish("eta_features", split.eta_features(trips)))
+        out["eta"] = timed(lambda: catalog.publish("eta_features", split.eta_features(trips)))  # noqa: B023
         out["calibrate"] = timed(
-            lambda: catalog.publish("demand_profile", profile.demand_profile(trips))
+            lambda: catalog.publish("demand_profile", profile.demand_profile(trips))  # noqa: B023
         )
-        # a new place for the second round: the tables are still being read
-        catalog = Catalog(spark, f"{root}/again")
     out["clean_rows"] = trips.count()
     return out
 
 
+def slope(small: dict, large: dict) -> dict:
+    """Seconds per million raw rows, without the fixed cost of a build."""
+    rows = (large["raw_rows"] - small["raw_rows"]) / 1e6
+    steps = ("clean", "gate", "demand", "eta", "calibrate")
+    return {s: round((large[s] - small[s]) / rows, 3) for s in steps}
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
@@ -108,6 +114,7 @@ def main() -> None:
         drain(QUERIES[name](spark, sf_dir))  # warm up code generation
         times[name] = timed(lambda: drain(QUERIES[name](spark, sf_dir)))  # noqa: B023
     month = month_builds(spark, sf_dir)
+    more = month_builds(spark, sf_dir, 4 * MONTH_ROWS, rounds=1)
     print(
         json.dumps(
             {
@@ -119,6 +126,8 @@ def main() -> None:
                 "cores": int(cores),
                 "startup_sec": startup,
                 "month": month,
+                "four_months": more,
+                "sec_per_million_rows": slope(month, more),
             }
         )
     )

@@ -186,3 +186,12 @@ def test_patience(spark):
     got = sorted(tuple(r) for r in ev.patience_cancels(log_frame(spark, rows)).collect())
     late = T0 + timedelta(minutes=8)
     assert got == [(2, 5, T0, late, 8.0), (3, 6, T0, late, 8.0)]
+
+
+@pytest.mark.parametrize("check, scans", [(ev.illegal_transitions, 2), (ev.invariants, 3)])
+def test_scans_of_the_log(spark, log, tmp_path, capsys, check, scans):
+    """Riders and drivers share a pass; the ordered pass reads its rows and its edges."""
+    path = str(tmp_path / "log")
+    log.write.parquet(path)
+    check(spark.read.parquet(path)).explain()
+    assert capsys.readouterr().out.count("FileScan") <= scans
