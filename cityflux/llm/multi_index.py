@@ -31,7 +31,7 @@ SAMPLE, TRIALS = 16_384, 256
 #: most centroids of a half
 CENTROIDS = 256
 #: vectors of a bucket, queries of a block
-BUCKET, BLOCK = 8_192, 2_048
+BUCKET, BLOCK = 2_048, 2_048
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
