@@ -10,16 +10,18 @@ scored. Labels hold for documents, so training learns from each document's highe
 
 from __future__ import annotations
 
+import pickle
 import re
 import sys
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .tables import mix
+from .tables import mix, shared
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -76,7 +78,7 @@ class Lexicon:
                 yield hashed.astype(np.int64), owner[inside]
 
 
-def log_odds(seen: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+def log_odds(seen: Iterable[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Per bucket: how much more often toxic documents have it than clean ones."""
     toxic, clean = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for slots, label in zip(seen, labels):
@@ -270,18 +272,21 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
         texts, labels = distinct
     lex = Lexicon(texts)
     slots = lex.word_slots()
-    grams = [list(map(np.asarray, x)) for x in lex.gram_slots()]
-    of_word: list[list[np.ndarray]] = [[] for _ in lex.size]
-    for found, owner in grams:
-        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else []
-        for w, part in zip(owner[first] if len(owner) else [], np.split(found, first[1:] if len(owner) else [])):
-            of_word[w].append(part)
-    merged = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in of_word]
+    slot, owner = map(np.concatenate, zip(*lex.gram_slots()))
+    slot = slot[np.argsort(owner, kind="stable")]
+    size = np.bincount(owner, minlength=len(lex.size))
+    start = np.cumsum(size) - size
+
+    def grams(words: np.ndarray) -> np.ndarray:
+        """Slots of the character n-grams of some words."""
+        n = size[words]
+        at = np.arange(n.sum()) + np.repeat(start[words] - (np.cumsum(n) - n), n)
+        return np.unique(slot[at])
+
     distinct = [np.unique(d) for d in lex.docs]
-    none = np.zeros(0, np.int64)
     net = Network(
-        log_odds([np.unique(slots[d]) for d in distinct], labels),
-        log_odds([np.unique(np.concatenate([merged[w] for w in d] or [none])) for d in distinct], labels),
+        log_odds((np.unique(slots[d]) for d in distinct), labels),
+        log_odds((grams(d) for d in distinct), labels),
         seed,
     )
     windows, owner = windows_of(lex.docs)
@@ -349,8 +354,7 @@ def labelled_sample(
     return [t for t, _ in found], np.array([y for _, y in found], np.int64)
 
 
-def _scored(shared, batch, text_at: int) -> np.ndarray:
-    net = shared.value
+def _scored(net: Network | None, batch, text_at: int) -> np.ndarray:
     out = np.zeros(batch.num_rows)
     for k in range(0, batch.num_rows, DOCS):
         texts = [t or "" for t in batch.column(text_at).slice(k, DOCS).cast(pa.string()).to_pylist()]
@@ -389,8 +393,8 @@ def score(
     an id are never learned from and not held out. Null texts score as empty ones. Without
     labels of both kinds every score is 0. Repeated rows each come out.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(
-        fit(docs, labels, id_col, text_col, folds, held_fold, per_class)
+    network = shared(
+        docs.sparkSession, fit(docs, labels, id_col, text_col, folds, held_fold, per_class)
     )
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds
     slim = docs.select(
@@ -400,8 +404,9 @@ def score(
     )
 
     def run(batches):
+        net = pickle.loads(network.value)
         for batch in batches:
-            found = _scored(shared, batch, 2)
+            found = _scored(net, batch, 2)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -431,13 +436,12 @@ def drop_toxic(
     per_class: int = PER_CLASS,
 ) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; columns unchanged."""
-    shared = docs.sparkSession.sparkContext.broadcast(
-        fit(docs, labels, id_col, text_col, per_class=per_class)
-    )
+    network = shared(docs.sparkSession, fit(docs, labels, id_col, text_col, per_class=per_class))
     at = docs.columns.index(text_col)
 
     def run(batches):
+        net = pickle.loads(network.value)
         for batch in batches:
-            yield batch.filter(pa.array(_scored(shared, batch, at) < threshold))
+            yield batch.filter(pa.array(_scored(net, batch, at) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
