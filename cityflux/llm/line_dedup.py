@@ -1,10 +1,12 @@
 """Line dedup by pairwise alignment.
 
 Equal texts are one entry; all but its first document lose everything. Of the other
-documents, those that share a rare line overlap: every rare line pairs its earliest holder
-with each later one, so pairs are never more than lines, whatever the size of a group.
-A pair is aligned by patience diff over line hashes, and the aligned common blocks are
-deleted from the later document.
+documents, those that share a rare line overlap. A pair is aligned by patience diff over line
+hashes, and the aligned common blocks are deleted from the later document. Every rare line
+pairs its earliest holder with each later one; rare lines that this leaves go on to their next
+earlier holders, 2, 4, 8 and so on at a time, until they are deleted or have met every earlier
+holder. So the rare lines deleted are those that comparing all pairs deletes, while near copies
+mostly meet one another's first only.
 
 A line is rare if at most ``rare_share`` of all distinct texts hold it. The share is large
 enough for groups of near copies of a third of all documents; lines beyond it are
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .tables import stored
 
@@ -121,23 +123,74 @@ def _align(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, kind)], ["row", "blocks"])
 
 
-def overlaps(entries: DataFrame, rare_share: float) -> DataFrame:
-    """early, late: rows of ``entries`` that share a rare line, each with its first holder."""
-    lines = entries.select(
-        "no_id", "doc_id", "hash", "row", F.explode(F.array_distinct("lines")).alias("line")
-    ).where(F.col("line") != BLANK)
+def _rare(entries: DataFrame, rare_share: float) -> DataFrame:
+    """line, early (row of its first holder), held; rows are in the order of documents."""
+    lines = entries.select("row", F.explode(F.array_distinct("lines")).alias("line"))
+    holders = lines.where(F.col("line") != BLANK).groupBy("line").agg(
+        F.min("row").alias("early"), F.count(F.lit(1)).alias("held")
+    )
     limit = max(2.0, rare_share * entries.count())
-    holders = lines.groupBy("line").agg(
-        F.min(F.struct("no_id", "doc_id", "hash", "row")).alias("first"), F.count(F.lit(1)).alias("held")
+    return holders.where((F.col("held") > 1) & (F.col("held") <= limit))
+
+
+def _ranked(holdings: DataFrame) -> DataFrame:
+    """line, row, rank: the place from 1 of every holder of a line; hot lines go by stretches of rows."""
+    stretch = F.shiftright("row", 12)
+    held = holdings.withColumn("stretch", stretch).withColumn(
+        "inner", F.row_number().over(Window.partitionBy("line", "stretch").orderBy("row"))
     )
-    rare = stored(
-        holders.where((F.col("held") > 1) & (F.col("held") <= limit)).select(
-            "line", F.col("first.row").alias("early")
-        ),
-        "rare-lines",
+    sizes = holdings.groupBy("line", stretch.alias("stretch")).agg(F.count(F.lit(1)).alias("size"))
+    before = Window.partitionBy("line").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("line", "stretch", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    rank = (F.col("before") + F.col("inner")).alias("rank")
+    return held.join(sizes, ["line", "stretch"]).select("line", "row", rank)
+
+
+def _blocks(entries: DataFrame, pairs: DataFrame) -> DataFrame:
+    """row, blocks: what each pair (early, late) deletes from its later document."""
+    lines = entries.select("row", "lines")
+    both = (
+        pairs.join(lines.withColumnRenamed("row", "early").withColumnRenamed("lines", "a"), "early")
+        .join(lines.withColumnRenamed("row", "late").withColumnRenamed("lines", "b"), "late")
+        .select(F.col("late").alias("row"), "a", "b")
     )
-    pairs = lines.select("line", "row").join(rare, "line").where("row != early")
-    return pairs.select("early", F.col("row").alias("late")).distinct()
+    kind = "row long, blocks array<struct<first:bigint,after:bigint>>"
+    return both.mapInArrow(_align, kind).where(F.size("blocks") > 0)
+
+
+def _remaining(places: DataFrame, found: DataFrame) -> DataFrame:
+    """``places`` (row, place, ...) outside the blocks ``found``."""
+    block = found.select("row", F.explode("blocks").alias("block"))
+    lines = F.sequence(F.col("block.first").cast("int"), F.col("block.after").cast("int") - 1)
+    gone = block.select("row", F.explode(lines).alias("place"))
+    return places.join(gone, ["row", "place"], "left_anti")
+
+
+def found_blocks(entries: DataFrame, rare_share: float) -> DataFrame:
+    """row, blocks: of all pairs of ``entries`` that rare lines bring together."""
+    rare = stored(_rare(entries, rare_share), "rare-lines")
+    places = entries.select("row", F.posexplode("lines").alias("place", "line"))
+    late = places.join(rare, "line").where("row != early")
+    met = stored(late.select("early", F.col("row").alias("late")).distinct(), "overlaps")
+    found = stored(_blocks(entries, met), "blocks")
+    left = late.where("held > 2").select("row", "place", "line")
+    left = stored(_remaining(left, found), "left")
+    if left.isEmpty():
+        return found
+    holdings = places.join(left.select("line").distinct(), "line", "left_semi").select("line", "row").distinct()
+    ranked = stored(_ranked(holdings), "ranks")
+    holders = ranked.withColumnRenamed("row", "early")
+    left, at = left.join(ranked, ["line", "row"]), 2
+    while not (left := stored(left.where(F.col("rank") > at), "left")).isEmpty():
+        tried = F.sequence(F.lit(at), F.least(F.lit(2 * at - 1), F.col("rank").cast("int") - 1))
+        asked = left.select("line", "row", "rank").distinct()
+        asked = asked.select("line", F.col("row").alias("late"), F.explode(tried).alias("rank"))
+        pairs = asked.join(holders, ["line", "rank"]).select("early", "late").distinct()
+        pairs = stored(pairs.join(met, ["early", "late"], "left_anti"), "overlaps")
+        more = stored(_blocks(entries, pairs), "blocks")
+        met, found = met.unionByName(pairs), found.unionByName(more)
+        left, at = _remaining(left, more), 2 * at
+    return found
 
 
 _KEYS = ("hash", "hash2")
@@ -167,19 +220,9 @@ def decisions(docs: DataFrame, id_col: str, text_col: str, rare_share: float) ->
     entries = ids.groupBy(*_KEYS).agg(
         F.min(F.struct("no_id", "doc_id")).alias("id"), first.alias("rest")
     )
-    entries = stored(
-        entries.select(*_KEYS, "id.*", "rest.*").withColumn("row", F.monotonically_increasing_id()),
-        "entries",
-    )
-    pairs = stored(overlaps(entries, rare_share), "overlaps")
-    lines = entries.select("row", "lines")
-    both = (
-        pairs.join(lines.withColumnRenamed("row", "early").withColumnRenamed("lines", "a"), "early")
-        .join(lines.withColumnRenamed("row", "late").withColumnRenamed("lines", "b"), "late")
-        .select(F.col("late").alias("row"), "a", "b")
-    )
-    kind = "row long, blocks array<struct<first:bigint,after:bigint>>"
-    found = both.mapInArrow(_align, kind).where(F.size("blocks") > 0)
+    ordered = entries.select(*_KEYS, "id.*", "rest.*").orderBy("no_id", "doc_id", *_KEYS)
+    entries = stored(ordered.withColumn("row", F.monotonically_increasing_id()), "entries")
+    found = found_blocks(entries, rare_share)
     per_entry = found.select("row", F.explode("blocks").alias("block")).groupBy("row").agg(
         F.collect_set("block").alias("blocks")
     )
@@ -217,7 +260,8 @@ def dedup_lines(
     missing ids last, texts of one id by hash; of rows that repeat an id and a text one
     counts as the earlier. Blank
     lines are all alike; a block of them only is not deleted, and neither is a text without visible
-    characters. Empty tables give empty results.
+    characters. Blank lines and lines that are not rare go with the blocks of the pairs that rare
+    lines needed. Empty tables give empty results.
     """
     keyed = _keyed(docs, id_col, text_col).alias("t")
     marks = decisions(docs, id_col, text_col, rare_share).hint("shuffle_hash").alias("m")

@@ -102,3 +102,36 @@ def test_alignment_equals_plain_patience_diff():
         a = [rng.randint(1, 9) for _ in range(rng.randint(0, 12))]
         b = [rng.randint(1, 9) for _ in range(rng.randint(0, 12))]
         assert line_dedup.aligned(a, b) == sorted(plain_diff(a, b))
+
+
+def all_pairs(texts, rare_share=0.4):
+    """Lines that stay of each document when every pair that shares a rare line is aligned."""
+    docs = [t.split("\n") for t in texts]
+    held = Counter(x for d in docs for x in set(d))
+    rare = {x for x, n in held.items() if 1 < n <= max(2, rare_share * len(docs))}
+    out = []
+    for i, d in enumerate(docs):
+        gone = set()
+        for a in docs[:i]:
+            if rare & set(a) & set(d):
+                gone |= set(plain_diff(a, d))
+        out.append([x for k, x in enumerate(d) if k not in gone])
+    return out
+
+
+def kept_lines(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sorted(line_dedup.dedup_lines(df.repartition(4)).collect(), key=lambda r: r.doc_id)
+    return [bytes(r.kept).decode().split("\n") if r.n_removed < r.n_lines else [] for r in rows]
+
+
+def test_later_documents_that_share_a_block_are_aligned(spark):
+    texts = ["Q\nfoo\nP", "P\nQ\nx", "P\nQ\ny", "a", "b", "c", "d", "e"]
+    assert kept_lines(spark, texts)[:3] == [["Q", "foo", "P"], all_pairs(texts)[1], ["y"]]
+
+
+def test_every_pair_that_shares_a_rare_line_counts(spark):
+    rng = random.Random(5)
+    pool = [f"line {i}" for i in range(25)]
+    texts = ["\n".join(rng.choices(pool, k=rng.randint(2, 9)) + [f"own {i}"]) for i in range(90)]
+    assert kept_lines(spark, texts) == all_pairs(texts)
