@@ -13,6 +13,7 @@ bins left partly filled at its end do not depend on the size of the input.
 from __future__ import annotations
 
 import base64
+import json
 import sys
 from array import array
 
@@ -27,23 +28,42 @@ from .tables import partitions_for, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: the tokenizer whose added tokens the registered queries take
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: sequences a task fills, about
 SEQUENCES = 4096
 
 
-def encoder(ranks_path: str):
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Tokens that a tokenizer's JSON file adds to its vocabulary, with their ids.
+
+    Only plain ones: a token that takes in spaces or depends on its neighbours or on a
+    normaliser is not split off as ``encoder`` does it.
+    """
+    with open(json_path, encoding="utf-8") as f:
+        told = json.load(f)
+    for x in told["added_tokens"]:
+        if x["single_word"] or x["lstrip"] or x["rstrip"] or (x["normalized"] and told["normalizer"]):
+            raise ValueError(f"added token {x['content']!r} of {json_path} is not plain")
+    return {x["content"]: x["id"] for x in told["added_tokens"]}
+
+
+def encoder(ranks_path: str, added: dict[str, int] | None = None):
     """A function text -> ids as little-endian unsigned 32-bit bytes.
 
-    The vocabulary file of ranks holds the same byte-level BPE as the JSON file. Strings
-    of special tokens are ordinary text.
+    The vocabulary file of ranks holds the same byte-level BPE as the JSON file. Texts are
+    split at the tokens ``added``, which get their own ids, as ``tokenizers`` does by default;
+    without them such strings are ordinary text.
     """
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     bpe = tiktoken.Encoding(
-        "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        "packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added or {}
     )
 
     def encode(text: str) -> bytes:
+        if added and any(x in text for x in added):
+            return array("I", bpe.encode(text, allowed_special="all")).tobytes()
         return array("I", bpe.encode_ordinary(text)).tobytes()
 
     return encode
@@ -54,9 +74,9 @@ def cuts(n: int, limit: int) -> list[int]:
     return [0, *range(n % limit or limit, n + 1, limit)] if n > limit else [0, n]
 
 
-def _pieces(ranks_path: str, limit: int, end_id: int):
+def _pieces(ranks_path: str, limit: int, end_id: int, added: dict[str, int] | None):
     def run(batches):
-        encode = encoder(ranks_path)
+        encode = encoder(ranks_path, added)
         end = array("I", [end_id]).tobytes()
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
@@ -92,12 +112,14 @@ def token_pieces(
     ranks_path: str | None = None,
     limit: int = 2048,
     end_id: int = 0,
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids (binary, little-endian unsigned 32-bit).
 
     Null texts are empty; each document ends with ``end_id``. Documents of more than
     ``limit`` tokens are cut from their end, so only the first piece may be shorter.
-    Repeated rows give repeated pieces; empty tables give empty results.
+    Repeated rows give repeated pieces; empty tables give empty results. Strings of the tokens
+    ``added`` (see ``added_tokens``) become their ids; without it they are ordinary text.
     """
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -110,7 +132,7 @@ def token_pieces(
             T.StructField("ids", T.BinaryType()),
         ]
     )
-    return slim.mapInArrow(_pieces(path, limit, end_id), schema)
+    return slim.mapInArrow(_pieces(path, limit, end_id, added), schema)
 
 
 class OpenBins:
@@ -197,7 +219,8 @@ def pack_documents(
     limit: int = 2048,
     end_id: int = 0,
     open_bins: int = 4096,
+    added: dict[str, int] | None = None,
 ) -> DataFrame:
     """Pieces with their ids and places: what a trainer reads."""
-    pieces = token_pieces(docs, id_col, text_col, ranks_path, limit, end_id)
+    pieces = token_pieces(docs, id_col, text_col, ranks_path, limit, end_id, added)
     return best_fit(stored(pieces, "pieces"), limit, open_bins)

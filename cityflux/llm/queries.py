@@ -10,7 +10,7 @@ from .exact_dedup import exact_duplicates
 from .language import identify
 from .line_dedup import dedup_lines
 from .multi_index import nearest
-from .packing import best_fit, token_pieces
+from .packing import TOKENIZER, added_tokens, best_fit, token_pieces
 from .pieces import decode, encode
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
@@ -39,7 +39,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = token_pieces(table(spark, sf_dir, "documents"))
+    pieces = token_pieces(table(spark, sf_dir, "documents"), added=added_tokens(TOKENIZER))
     digests = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return best_fit(stored(digests, "pieces"))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cityflux.llm.exact_dedup import drop_exact_duplicates
-from cityflux.llm.packing import pack_documents
+from cityflux.llm.packing import TOKENIZER, added_tokens, pack_documents
 from cityflux.llm.simhash import drop_near_duplicates
 from cityflux.llm.suffix_dedup import drop_repeats
 from cityflux.llm.tables import stored
@@ -40,7 +40,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents, in pieces with their places in sequences of 2048."""
-    return pack_documents(docs)
+    return pack_documents(docs, added=added_tokens(TOKENIZER))
 
 
 STAGES = [

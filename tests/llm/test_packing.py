@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -104,3 +105,15 @@ def test_cuts():
     assert packing.cuts(8, 4) == [0, 4, 8]
     assert packing.cuts(4, 4) == [0, 4]
     assert packing.cuts(1, 4) == [0, 1]
+
+
+def test_added_tokens_get_the_ids_of_the_tokenizer(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n  y ", "<|endoftext", "plain é", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: tok.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert 50256 in want[0]
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    check(QUERIES["op4_best_fit_packing"](spark, str(tmp_path)).collect(), want)
+    out = corpus_pipeline.packed(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in out} == want
