@@ -11,6 +11,7 @@ from .language import identify
 from .line_dedup import dedup_lines
 from .multi_index import nearest
 from .packing import TOKENIZER, added_tokens, best_fit, token_pieces
+from .periods import periodic_runs
 from .pieces import decode, encode
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
@@ -101,6 +102,38 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def _with_periods(docs: DataFrame) -> DataFrame:
+    """The documents with a periodic end in those whose id's crc32 is a multiple of ten."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    marked = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    words = F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")
+    sized = marked.select("doc_id", "text", "h", "g", F.when(F.col("h") % 10 == 0, words).alias("words"))
+    a = F.expr("g % size(words)")
+    p = F.expr("1 + (size(words) - g % size(words)) div (3 + g % 8)")
+    told = sized.withColumn("a", F.when(F.size("words") > 0, a)).withColumn("p", F.when(F.size("words") > 0, p))
+    folded = F.expr("transform(words, (w, i) -> if(i < a, w, words[int(a + (i - a) % p)]))")
+    return told.select("doc_id", F.when(F.size("words") > 0, F.array_join(folded, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(_with_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    longest = F.expr(
+        "array_max(transform(runs, r -> struct(r.length, -r.start AS start, -r.period AS period)))"
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    told = found.select("doc_id", "runs", "collapsed", longest.alias("best"), lines.alias("lines"))
+    return told.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("lines", lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_multi_index": op1_multi_index,
     "op2_toxicity": op2_toxicity,
@@ -112,4 +145,5 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
+    "op13_periodic_runs": op13_periodic_runs,
 }
