@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..session import scratch_path
 from ..sources.testdata import table
+from .align import align
 from .chat import as_chain, format_paths, parsed, under_loss
 from .exact_dedup import exact_duplicates
+from .idfiles import read_checksums, write_ids
 from .language import identify
 from .line_dedup import dedup_lines
 from .multi_index import nearest
@@ -102,6 +105,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op11_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "id-files")
+    write_ids(table(spark, sf_dir, "documents"), path)
+    return read_checksums(spark, path)
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"))
+
+
 def _with_periods(docs: DataFrame) -> DataFrame:
     """The documents with a periodic end in those whose id's crc32 is a multiple of ten."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -145,5 +158,7 @@ QUERIES = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_language": op9_language,
     "op10_simhash": op10_simhash,
+    "op11_id_files": op11_id_files,
+    "op12_align": op12_align,
     "op13_periodic_runs": op13_periodic_runs,
 }
