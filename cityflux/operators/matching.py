@@ -2,7 +2,8 @@
 
 Distances depend on zones only, so all drivers of a zone are equally far from a
 rider. Supply is therefore reduced to one row per (tick, zone) before any join and
-rider x driver pairs never exist. Inputs:
+rider x driver pairs never exist. FIFO matching runs in rounds of proposals (see
+``dispatch``); policies can be registered. Inputs:
 
 riders   tick, rider_id, zone, request_ts, rider_pos (input order)
 drivers  tick, driver_id, zone, driver_pos (input order; a driver once per tick)
@@ -12,21 +13,20 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..constants import RADIUS_KM, ZONE_MAX
+from .dispatch import match_in_rounds
 from .geo import known_distances
 from .skew import join_spread
 
 # Tasks get the matching functions by value: executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SALTS = 32
 ASSIGNMENT_DDL = "tick timestamp_ntz, rider_id bigint, driver_id bigint, pickup_km double"
 
 
@@ -82,102 +82,53 @@ def nearest_driver(
 
 # ---- FIFO matching -------------------------------------------------------------
 
+#: f(riders, drivers, distances, radius) -> assignments
+Policy = Callable[[DataFrame, DataFrame, DataFrame, float], DataFrame]
 
-def _first_per_zone(df: DataFrame, order: list, limit: str, salt_by: str) -> DataFrame:
-    """Keep the first ``limit`` rows of each (tick, zone), salted against hot groups.
+POLICIES: dict[str, Policy] = {"nearest_driver": match_in_rounds}
 
-    A row kept overall is kept in its salt, so two rounds give the same rows while
-    no task sees more than a salt's share or ``SALTS`` short lists. The explicit
-    ``repartition`` makes the salt count: rows that arrive partitioned by (tick, zone)
-    would satisfy the window as they are.
-    """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS))).repartition(
-        "tick", "zone", "_salt"
-    )
-    for groups in (["tick", "zone", "_salt"], ["tick", "zone"]):
-        rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-        salted = salted.withColumn("_rank", rank).where(F.col("_rank") <= F.col(limit))
-    return salted.drop("_salt", "_rank", limit)
 
+def _distance_matrix(distances: DataFrame) -> np.ndarray:
+    """Zone distances as an array; the table is bounded by the zone domain squared."""
+    size = ZONE_MAX + 1
+    km = np.full((size, size), np.inf)
+    for row in known_distances(distances).collect():
+        km[row.zone_a, row.zone_b] = row.km
+    return km
 
-def _contenders(
-    riders: DataFrame, drivers: DataFrame, distances: DataFrame, radius_km: float
-) -> tuple[DataFrame, DataFrame]:
-    """Drop riders and drivers that cannot take part in any FIFO matching.
 
-    A rider with S earlier riders of the same zone, S being the supply in reach, is
-    never served: either those S took everything in reach or one of them already
-    found nothing. Likewise a zone lends at most as many drivers as there are riders
-    in reach, and lends its last ones first.
-    """
-    supply = _supply_near(drivers, distances, radius_km).select(
-        "tick", "zone", F.col("reachable_drivers").alias("_limit")
-    )
-    kept_riders = _first_per_zone(
-        join_spread(riders, supply, ["tick", "zone"], "rider_id"),
-        [F.col("request_ts"), F.col("rider_pos")],
-        "_limit",
-        "rider_id",
-    )
-    demand = (
-        kept_riders.groupBy("tick", "zone")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .join(F.broadcast(_reach(distances, radius_km)), F.col("zone") == F.col("zone_b"))
-        .groupBy("tick", F.col("zone_a").alias("zone"))
-        .agg(F.sum("_n").alias("_limit"))
-    )
-    kept_drivers = _first_per_zone(
-        join_spread(drivers, demand, ["tick", "zone"], "driver_id"),
-        [F.col("driver_pos").desc()],
-        "_limit",
-        "driver_id",
-    )
-    return kept_riders, kept_drivers
-
-
-def _nearest_fifo(riders: pd.DataFrame, drivers: pd.DataFrame, km: np.ndarray, radius_km: float):
-    """Riders in request order each take the closest free driver within the radius."""
-    free: dict[int, list[tuple[int, int]]] = {}
-    by_pos = np.argsort(drivers["driver_pos"].to_numpy(), kind="stable")
-    columns = (drivers[c].to_numpy()[by_pos].tolist() for c in ("zone", "driver_pos", "driver_id"))
-    for zone, pos, driver in zip(*columns):
-        free.setdefault(zone, []).append((pos, driver))
-    by_time = np.lexsort((riders["rider_pos"].to_numpy(), riders["request_ts"].to_numpy()))
-    zones = list(free)
-    near: dict[int, list[tuple[float, int]]] = {}  # rider zone -> zones in reach, closest first
-    out = []
-    for rider, zone in zip(*(riders[c].to_numpy()[by_time].tolist() for c in ("rider_id", "zone"))):
-        if zone not in near:
-            reach = ((float(km[z, zone]), z) for z in zones)
-            near[zone] = sorted(r for r in reach if r[0] <= radius_km)
-        best = None
-        for d, z in near[zone]:
-            if best is not None and d > best[0]:
-                break
-            if free[z] and (best is None or free[z][-1] > free[best[1]][-1]):
-                best = (d, z)
-        if best is not None:
-            out.append((rider, free[best[1]].pop()[1], best[0]))
-    return pd.DataFrame(out, columns=["rider_id", "driver_id", "pickup_km"])
-
-
-@dataclass(frozen=True)
-class Policy:
-    """How a tick is decided: f(riders of a tick, drivers of a tick, km matrix, radius).
-
-    ``first_come`` says that riders are served in request order, each by a closest free
-    driver; then riders and drivers who cannot take part are dropped beforehand.
+def by_tick(choose: Callable) -> Policy:
+    """A policy from f(riders of a tick, drivers of a tick, km matrix, radius) on pandas frames.
+
+    Every tick is one group, so this is for policies that need a whole tick at once.
     """
 
-    choose: Callable
-    first_come: bool = False
+    def run(riders: DataFrame, drivers: DataFrame, distances: DataFrame, radius_km: float) -> DataFrame:
+        km = _distance_matrix(distances)
+        # few bytes but much work per row: keep all partitions, AQE would merge them
+        tasks = int(riders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+        def decided(key, waiting: pd.DataFrame, idle: pd.DataFrame) -> pd.DataFrame:
+            if waiting.empty or idle.empty:
+                return pd.DataFrame(columns=["tick", "rider_id", "driver_id", "pickup_km"])
+            out = choose(waiting, idle, km, radius_km)
+            out.insert(0, "tick", key[0])
+            return out
 
+        def dealt(df: DataFrame, *columns: str):
+            return df.select("tick", *columns).repartition(tasks, "tick").groupBy("tick")
 
-POLICIES: dict[str, Policy] = {"nearest_driver": Policy(_nearest_fifo, first_come=True)}
+        return (
+            dealt(riders, "rider_id", "zone", "request_ts", "rider_pos")
+            .cogroup(dealt(drivers, "driver_id", "zone", "driver_pos"))
+            .applyInPandas(decided, ASSIGNMENT_DDL)
+        )
 
+    return run
 
-def register_policy(name: str, choose: Callable, first_come: bool = False) -> None:
-    POLICIES[name] = Policy(choose, first_come)
+
+def register_policy(name: str, policy: Policy) -> None:
+    POLICIES[name] = policy
 
 
 def policy_named(name: str) -> Policy:
@@ -186,27 +137,6 @@ def policy_named(name: str) -> Policy:
     return POLICIES[name]
 
 
-def _distance_matrix(distances: DataFrame) -> np.ndarray:
-    """Zone distances as an array; the table is bounded by the zone domain squared."""
-    size = ZONE_MAX + 1
-    km = np.full((size, size), np.inf)
-    for row in known_distances(distances).collect():
-        km[row.zone_a, row.zone_b] = row.km
-    return km
-
-
-def _zone_groups(km: np.ndarray, radius_km: float) -> list[int]:
-    """Per zone id the least zone that a chain of steps within the radius leads to."""
-    near = (km <= radius_km) | (km.T <= radius_km)
-    label = np.arange(len(km))
-    while True:
-        best = np.where(near, label[None, :], len(km)).min(axis=1)
-        lower = np.minimum(label, best)
-        if (lower == label).all():
-            return label.tolist()
-        label = lower
-
-
 def assign_fifo(
     riders: DataFrame,
     drivers: DataFrame,
@@ -214,38 +144,9 @@ def assign_fifo(
     radius_km: float = RADIUS_KM,
     policy: str = "nearest_driver",
 ) -> DataFrame:
-    """Assignments per tick without double booking.
+    """Assignments per tick without double booking, by the named policy.
 
-    The choice inside a group is sequential, so groups are kept small, exactly: zones that
-    no chain of reachable zones links are decided apart, and riders and drivers that
-    cannot matter are removed first (each zone keeps at most as many riders as it has
-    drivers in reach). What is left of a group is bounded by its fleet, not by its riders.
-    Policies that are not ``first_come`` get whole ticks.
+    The default serves riders in request order, each by the closest free driver within the
+    radius (ties to the last in input order), in rounds of proposals.
     """
-    chosen = policy_named(policy)
-    choose = chosen.choose
-    km = _distance_matrix(distances)
-    group = F.lit(0)
-    if chosen.first_come:
-        riders, drivers = _contenders(riders, drivers, distances, radius_km)
-        labels = _zone_groups(km, radius_km)
-        group = F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("zone").cast("int") + 1)
-    # few bytes but much work per row: keep all partitions, AQE would merge them
-    tasks = int(riders.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def decided(key, waiting: pd.DataFrame, idle: pd.DataFrame) -> pd.DataFrame:
-        if waiting.empty or idle.empty:
-            return pd.DataFrame(columns=["tick", "rider_id", "driver_id", "pickup_km"])
-        out = choose(waiting, idle, km, radius_km)
-        out.insert(0, "tick", key[0])
-        return out
-
-    def dealt(df: DataFrame, *columns: str):
-        rows = df.select("tick", group.alias("zones"), *columns)
-        return rows.repartition(tasks, "tick", "zones").groupBy("tick", "zones")
-
-    return (
-        dealt(riders, "rider_id", "zone", "request_ts", "rider_pos")
-        .cogroup(dealt(drivers, "driver_id", "zone", "driver_pos"))
-        .applyInPandas(decided, ASSIGNMENT_DDL)
-    )
+    return policy_named(policy)(riders, drivers, distances, radius_km)

@@ -648,8 +648,14 @@ ORACLES: dict[str, str] = {
            FROM base b LEFT JOIN distances d
              ON d.zone_a = b.pu_location_id AND d.zone_b = b.do_location_id""",
         "base", "distances"),
+    # distances are computed once and looked up by one number per pair of zones
     "leg_times": _sql(
-        """SELECT rider_id, driver_zone, origin, dest, match_ts,
+        """, legs AS MATERIALIZED (SELECT zone_a * 1000 + zone_b AS pair, km FROM distances),
+           rides AS MATERIALIZED (
+               SELECT event_id AS rider_id, user_id * 7 % 263 + 1 AS driver_zone,
+                      user_id % 263 + 1 AS origin, event_id % 263 + 1 AS dest, ts AS match_ts
+               FROM events)
+           SELECT rider_id, driver_zone, origin, dest, match_ts,
                   round(pickup_km, 6) AS pickup_km, round(to_pickup_min, 6) AS to_pickup_min,
                   round(trip_km, 6) AS trip_km, round(trip_min, 6) AS trip_min,
                   match_ts + to_microseconds(CAST(round(to_pickup_min * 60000000) AS BIGINT))
@@ -660,12 +666,10 @@ ORACLES: dict[str, str] = {
            FROM (
                SELECT r.*, a.km AS pickup_km, a.km / 24.0::DOUBLE * 60 AS to_pickup_min,
                       b.km AS trip_km, b.km / 24.0::DOUBLE * 60 AS trip_min
-               FROM (SELECT event_id AS rider_id, user_id * 7 % 263 + 1 AS driver_zone,
-                            user_id % 263 + 1 AS origin, event_id % 263 + 1 AS dest,
-                            ts AS match_ts FROM events) r
-               LEFT JOIN distances a ON a.zone_a = r.driver_zone AND a.zone_b = r.origin
-               LEFT JOIN distances b ON b.zone_a = r.origin AND b.zone_b = r.dest)""",
-        "distances"),
+               FROM rides r
+               LEFT JOIN legs a ON a.pair = r.driver_zone * 1000 + r.origin
+               LEFT JOIN legs b ON b.pair = r.origin * 1000 + r.dest)""",
+        "distances").replace("\n, legs AS", ",\nlegs AS"),
     "drivers_in_radius": _sql(
         """SELECT r.tick, r.rider_id, count(x.driver_id) AS reachable_drivers,
                   round(min(x.km), 6) AS nearest_km
@@ -674,6 +678,9 @@ ORACLES: dict[str, str] = {
     "nearest_driver": _sql(
         "SELECT tick, rider_id, driver_id, round(km, 6) AS pickup_km FROM reachable "
         "WHERE place = 1", "reachable"),
+    "closest_drivers": _sql(
+        "SELECT tick, rider_id, place AS nth, driver_id, round(km, 6) AS pickup_km FROM reachable "
+        "WHERE place <= 3", "reachable"),
     "assign_fifo": _sql(
         """, ranked AS (
                SELECT tick, rider_id,

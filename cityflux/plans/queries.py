@@ -14,6 +14,7 @@ from ..functions import clock
 from ..operators import (
     cleaning,
     contracts,
+    dispatch,
     evaluate,
     events as ev,
     generate,
@@ -411,6 +412,11 @@ def assign_fifo(t):
     return matching.assign_fifo(*_tick(t))
 
 
+@query
+def closest_drivers(t):
+    return dispatch.closest_drivers(*_tick(t), k=3)
+
+
 # ---- event log -----------------------------------------------------------------
 
 
