@@ -17,11 +17,14 @@ whole, and files, rows and checkpoints are where readers can split.
 
 from __future__ import annotations
 
+import json
 import os
 import pickle
 import struct
 import sys
 import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -43,7 +46,7 @@ TOGETHER, FILE = 16, 1 << 23
 #: frequencies sum to a power of two: of at least this many bits
 BITS = 20
 #: words of texts that are tokenised at once, and different words that a task remembers
-WORDS, REMEMBERED = 1 << 18, 1 << 19
+WORDS, REMEMBERED = 1 << 20, 1 << 19
 LOW = np.uint64(1 << 31)
 HEAD = "<4s7I"
 
@@ -59,6 +62,11 @@ class Table:
         self.ids = np.asarray(ids, np.uint32)
         self.freq = np.asarray(freq, np.uint64)
         self.cum = np.cumsum(self.freq) - self.freq
+        # places of ids, where a list of all ids is short
+        self.place = None
+        if len(self.ids) and self.ids.max() < 1 << 20:
+            self.place = np.zeros(int(self.ids.max()) + 1, np.int32)
+            self.place[self.ids] = np.arange(len(self.ids))
         total = int(self.freq.sum())
         self.bits = max(0, total.bit_length() - 1)
         if total != 1 << self.bits and total:
@@ -66,6 +74,9 @@ class Table:
         self.slot = np.repeat(np.arange(len(self.ids), dtype=np.uint32), self.freq.astype(np.int64))
         self.sum = zlib.crc32(self.ids.tobytes() + self.freq.tobytes())
 
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ids, ids) if self.place is None else self.place[ids]
+
     @classmethod
     def of_counts(cls, ids: np.ndarray, counts: np.ndarray) -> Table:
         """Frequencies in proportion to counts, at least one each."""
@@ -90,7 +101,7 @@ def encode_blocks(symbols: np.ndarray, table: Table) -> list[bytes]:
     """Blocks of equal size, one per row of ``symbols`` (places in the table)."""
     many, n = symbols.shape
     steps = -(-n // LANES)
-    padded = np.full((many, steps * LANES), int(table.freq.argmax()), np.int64)
+    padded = np.full((many, steps * LANES), int(table.freq.argmax()), np.int32)
     padded[:, :n] = symbols
     turn = np.ascontiguousarray(padded.reshape(many, steps, LANES).transpose(1, 0, 2))
     bits, half = np.uint64(table.bits), np.uint64(32)
@@ -187,55 +198,121 @@ def decode_blocks(bodies: list[bytes], table: Table) -> list[np.ndarray]:
     return out
 
 
+#: the splitting rule whose words can be told apart here, where they are plain (see ``WordIds``)
+RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+_UNIT = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+)"
+
+
+def _gathered_ids(flat: np.ndarray, size: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``wanted`` of ``flat``, which holds stretches of ``size``; and where each ends."""
+    begin = np.cumsum(size) - size
+    length = size[wanted]
+    total = np.cumsum(length)
+    at = np.repeat(begin[wanted] - (total - length), length)
+    at += np.arange(len(at))
+    return flat[at], total
+
+
+def _shown_bytes() -> dict[int, str]:
+    """The letters that a byte-level vocabulary shows bytes as."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordIds:
     """Ids of texts by a tokenizer that never joins words apart by white space.
 
     White space between words is dropped by the tokenizer's splitting rule and no rule looks
-    beyond it, so a text's ids are those of its words, each encoded by the library once.
+    beyond it, so a text's ids are those of its words. With ``RULE``, plain words (ASCII and
+    Latin-1 letters, which lower-casing and composition take one by one) are split here, and the
+    library's model encodes each different unit once; all other words go through the whole
+    tokenizer.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, kind: str = "<u4"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.model = Tokenizer.from_file(path)
-        if self.model.encode("a \t\r\n b", add_special_tokens=False).ids != self.of(["a", "b"]):
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        self.kind, self.end = kind, np.array([end_id], kind)
+        self.code = np.dtype(kind).char
+        self.units: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
+        self.letters = _shown_bytes()
+        told = json.loads(self.whole.to_str())
+        self.added = tuple(x["content"] for x in told["added_tokens"])
+        names = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", ())]
+        splits = (told["pre_tokenizer"] or {}).get("pretokenizers", ())
+        rules = [x.get("pattern", {}).get("Regex") for x in splits]
+        self.ruled = names == ["NFC", "Replace", "Lowercase"] and rules == [RULE, None]
+        if self.whole.encode("a \t\r\n b", add_special_tokens=False).ids != [
+            i for w in "ab" for i in self.whole.encode(w, add_special_tokens=False).ids
+        ]:
             raise ValueError(f"{path} keeps white space")
-        self.known: dict[str, np.ndarray] = {}
-        self.end = np.array([end_id], np.uint32)
 
-    def of(self, words: list[str]) -> list[int]:
-        return [i for e in self.model.encode_batch(words, add_special_tokens=False) for i in e.ids]
+    def _unit(self, unit: str) -> bytes:
+        shown = unit.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
 
-    def _each(self, words: list[str]) -> list[np.ndarray]:
-        known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > REMEMBERED:
+    def _of_units(self, units: list[str]) -> list[bytes]:
+        known = self.units
+        if len(known) + len(units) > REMEMBERED:
             known.clear()
-            new = words
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.model.encode_batch(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, np.uint32)
+        for u in units:
+            if u not in known:
+                known[u] = self._unit(u)
+        return [known[u] for u in units]
+
+    def _of_odd(self, words: list[str]) -> list[bytes]:
+        known = self.odd
+        if len(known) + len(words) > REMEMBERED:
+            known.clear()
+        new = [w for w in words if w not in known]
+        for at in range(0, len(new), 1024):
+            part = new[at : at + 1024]
+            for w, e in zip(part, self.whole.encode_batch(part, add_special_tokens=False)):
+                known[w] = np.array(e.ids, self.kind).tobytes()
         return [known[w] for w in words]
 
+    def _of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words, one after another, and how many each has."""
+        plain = pc.match_substring_regex(words, _PLAIN) if self.ruled else pa.array(np.zeros(len(words), bool))
+        for text in self.added:
+            plain = pc.and_not(plain, pc.match_substring(words, text))
+        split = pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), _UNIT, r"\1 ")
+        lists = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(split))
+        coded = lists.flatten().dictionary_encode()
+        each = self._of_units(coded.dictionary.to_pylist())
+        odd = self._of_odd(words.filter(pc.invert(plain)).to_pylist())
+        flat = np.frombuffer(b"".join([*each, *odd]), self.kind)
+        size = np.fromiter(map(len, chain(each, odd)), np.int64, len(each) + len(odd))
+        size //= np.dtype(self.kind).itemsize
+        # a plain word is its units, an odd one a stretch of its own
+        plain = np.asarray(plain)
+        number = np.ones(len(words), np.int64)
+        number[plain] = np.diff(np.asarray(lists.offsets))
+        owner = np.repeat(plain, number)
+        stretch = np.empty(len(owner), np.int64)
+        stretch[owner] = np.asarray(coded.indices)
+        stretch[~owner] = len(each) + np.arange(len(odd))
+        ids, end = _gathered_ids(flat, size, stretch)
+        last = np.cumsum(number)
+        return ids, np.diff(np.concatenate([[0], np.concatenate([[0], end])[last]]))
+
     def __call__(self, texts: pa.Array):
         """The ids of all texts, one after another, each with the end id, and their numbers."""
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = lists.flatten().dictionary_encode()
-        each = [*self._each(coded.dictionary.to_pylist()), self.end]
-        flat = np.concatenate(each)
-        size = np.array([len(x) for x in each], np.int64)
-        begin = np.cumsum(size) - size
+        ids, size = self._of_words(coded.dictionary)
         count = np.diff(np.asarray(lists.offsets))
         last = np.cumsum(count + 1) - 1
-        word = np.full(int(count.sum()) + len(count), len(each) - 1)
+        word = np.full(int(count.sum()) + len(count), len(size), np.int64)
         inside = np.ones(len(word), bool)
         inside[last] = False
         word[inside] = np.asarray(coded.indices)
-        length = size[word]
-        total = np.cumsum(length)
-        at = np.repeat(begin[word] - (total - length), length) + np.arange(total[-1] if len(total) else 0)
-        n = np.diff(np.concatenate([[0], total[last]]))
-        return flat[at], n
+        flat, total = _gathered_ids(np.append(ids, self.end), np.append(size, 1), word)
+        return flat, np.diff(np.concatenate([[0], total[last]]))
 
 
 def portions(texts: pa.Array):
@@ -249,15 +326,21 @@ def portions(texts: pa.Array):
         low = high
 
 
-def _tokenise(path: str, end_id: int):
+def _id_kind(path: str, end_id: int) -> str:
+    """Two bytes hold an id of a small vocabulary."""
+    size = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
+    return "<u2" if max(size - 1, end_id) < 1 << 16 else "<u4"
+
+
+def _tokenise(path: str, end_id: int, kind: str):
     def run(batches):
-        encode = WordIds(path, end_id)
+        encode, width = WordIds(path, end_id, kind), np.dtype(kind).itemsize
         for batch in batches:
             for low, high in portions(batch.column(1)):
                 ids, n = encode(batch.column(1).slice(low, high - low))
-                border = np.concatenate([[0], np.cumsum(n)])
-                raw = ids.astype("<u4").tobytes()
-                body = [raw[4 * a : 4 * b] for a, b in zip(border[:-1].tolist(), border[1:].tolist())]
+                border = np.concatenate([[0], np.cumsum(n)]) * width
+                raw = ids.tobytes()
+                body = [raw[a:b] for a, b in zip(border[:-1].tolist(), border[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low), pa.array(n), pa.array(body, pa.binary())],
                     ["doc_id", "n", "ids"],
@@ -266,20 +349,28 @@ def _tokenise(path: str, end_id: int):
     return run
 
 
-def _count(batches):
-    ids, counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    for batch in batches:
-        raw = b"".join(batch.column(0).to_pylist())
-        new, n = np.unique(np.frombuffer(raw, "<u4"), return_counts=True)
-        every = np.concatenate([ids, new])
-        ids, place = np.unique(every, return_inverse=True)
-        counts = np.bincount(place, np.concatenate([counts, n]), len(ids)).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array(counts)], ["id", "n"])
+def _count(kind: str):
+    def run(batches):
+        if np.dtype(kind).itemsize == 2:
+            total = np.zeros(1 << 16, np.int64)
+            for batch in batches:
+                total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=1 << 16)
+            ids = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["id", "n"])
+            return
+        ids, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            new, n = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), return_counts=True)
+            ids, place = np.unique(np.concatenate([ids, new.astype(np.int64)]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([counts, n]), len(ids)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts)], ["id", "n"])
+
+    return run
 
 
-def frequency_table(tokens: DataFrame) -> Table:
+def frequency_table(tokens: DataFrame, kind: str = "<u4") -> Table:
     """The table of the ids in ``tokens``; as many rows as different ids reach the driver."""
-    counted = tokens.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    counted = tokens.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     rows = counted.toArrow()
     return Table.of_counts(np.asarray(rows.column(0)), np.asarray(rows.column(1)))
 
@@ -309,7 +400,7 @@ class _Writer:
 
     def write(self, n: int) -> pa.RecordBatch:
         ids = np.concatenate(self.held)
-        symbols = np.searchsorted(self.table.ids, ids[:n])
+        symbols = self.table.places(ids[:n])
         size = min(n, BLOCK)
         bodies = []
         for at in range(0, n, BLOCK * TOGETHER):
@@ -347,7 +438,7 @@ class _Writer:
         )
 
 
-def _blocks(table):
+def _blocks(table, id_kind: str):
     def run(batches):
         writer = None
         for batch in batches:
@@ -355,7 +446,7 @@ def _blocks(table):
                 kind = batch.schema.field(0).type
                 writer = _Writer(pickle.loads(table.value), TaskContext.get().partitionId(), kind)
             for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield from writer.add(doc_id, np.frombuffer(raw, "<u4"))
+                yield from writer.add(doc_id, np.frombuffer(raw, id_kind))
         if writer is not None:
             yield from writer.end()
 
@@ -382,8 +473,9 @@ def write_ids(
     slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
     schema = T.StructType([slim.schema["doc_id"], *T.StructType.fromDDL("n long, ids binary").fields])
     model = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
-    tokens = stored(slim.mapInArrow(_tokenise(model, end_id), schema), "tokens")
-    table = frequency_table(tokens)
+    id_kind = _id_kind(model, end_id)
+    tokens = stored(slim.mapInArrow(_tokenise(model, end_id, id_kind), schema), "tokens")
+    table = frequency_table(tokens, id_kind)
     pairs = list(zip(table.ids.tolist(), table.freq.astype(np.int64).tolist()))
     spark.createDataFrame(pairs, "id long, freq long").coalesce(1).write.parquet(f"{path}/table")
     total = tokens.agg(F.sum("n")).first()[0] or 0
@@ -395,7 +487,7 @@ def write_ids(
     dealt = numbered.repartitionByRange(partitions_for(total, FILE), *keys).sortWithinPartitions(*keys)
     kind = slim.schema["doc_id"].dataType.simpleString()
     fields = f"part int, block int, first long, n long, docs {_DOCS.format(kind)}, body binary"
-    blocks = dealt.select("doc_id", "ids").mapInArrow(_blocks(shared(spark, table)), fields)
+    blocks = dealt.select("doc_id", "ids").mapInArrow(_blocks(shared(spark, table), id_kind), fields)
     # the bodies do not compress any further
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 

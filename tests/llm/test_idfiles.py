@@ -40,7 +40,9 @@ def test_query_equals_brute_force(spark):
 
 def test_words_alone_give_the_ids_of_texts(monkeypatch):
     rng = random.Random(3)
-    texts = ODD + ["".join(rng.choices("aB \t\n'é́ ς 12<|>", k=rng.randint(1, 60))) for _ in range(400)]
+    letters = "aB \t\n'é\u0301 ς 12<|>ÄßÿĀ×²ª.,stvemld"
+    texts = ODD + ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(600)]
+    assert idfiles.WordIds(PATH, 2).ruled
     model = Tokenizer.from_file(PATH)
     for most in (1 << 19, 7):
         monkeypatch.setattr(idfiles, "REMEMBERED", most)
