@@ -25,7 +25,7 @@ from .geo import known_distances
 from .skew import join_spread
 
 #: rounds planned into one job; riders of a zone above which moving up goes by stretches
-ROUNDS, STRETCH = 3, 4096
+ROUNDS, STRETCH = 4, 4096
 
 
 def _stored(df: DataFrame, label: str) -> DataFrame:
@@ -55,34 +55,49 @@ def placed_drivers(drivers: DataFrame) -> DataFrame:
     return _numbered(drivers, [pos.desc()], -F.shiftright(pos.cast("long"), 12))
 
 
-def rings(placed: DataFrame, distances: DataFrame, radius_km: float) -> tuple[DataFrame, DataFrame]:
-    """The rings of every tick and rider zone, and the drivers of rings of several zones.
-
-    The first has tick, zone, total and ``rings``, an array of (before, n, km, zone_a) by
-    distance, at most one per zone; ``zone_a`` is null where several zones are equally far. Of
-    those rings the second has tick, zone, km, nth, zone_a, place.
-    """
+def _near(drivers: DataFrame, distances: DataFrame, radius_km: float) -> DataFrame:
+    """tick, zone, zone_a, km, n: zones with drivers in reach of each zone."""
     reach = known_distances(distances).where(F.col("km") <= float(radius_km))
-    held = placed.groupBy("tick", F.col("zone").alias("zone_a")).agg(F.count(F.lit(1)).alias("n"))
+    held = drivers.groupBy("tick", F.col("zone").alias("zone_a")).agg(F.count(F.lit(1)).alias("n"))
     # the pair table is bounded by the zone domain squared
-    near = held.join(F.broadcast(reach), "zone_a").select("tick", F.col("zone_b").alias("zone"), "zone_a", "km", "n")
-    ring = near.groupBy("tick", "zone", "km").agg(
-        F.sum("n").alias("n"), F.count(F.lit(1)).alias("zones"), F.min("zone_a").alias("zone_a")
-    )
+    near = held.join(F.broadcast(reach), "zone_a")
+    return near.select("tick", F.col("zone_b").alias("zone"), "zone_a", "km", "n")
+
+
+def rings(drivers: DataFrame, distances: DataFrame, radius_km: float) -> DataFrame:
+    """tick, zone, rings, total, tied: what every zone has in reach, a row per tick and zone.
+
+    ``rings`` is an array of (before, n, km, zone_a) by distance, at most one per zone;
+    ``zone_a`` is null where several zones are equally far, and then ``tied`` is true.
+    """
+    one = F.when(F.count(F.lit(1)) == 1, F.min("zone_a"))
+    near = _near(drivers, distances, radius_km)
+    ring = near.groupBy("tick", "zone", "km").agg(F.sum("n").alias("n"), one.alias("zone_a"))
     inside = Window.partitionBy("tick", "zone").orderBy("km").rowsBetween(Window.unboundedPreceding, 0)
-    ring = _stored(ring.withColumn("before", F.sum("n").over(inside) - F.col("n")), "rings")
-    one = F.when(F.col("zones") == 1, F.col("zone_a")).alias("zone_a")
-    listed = ring.groupBy("tick", "zone").agg(
-        F.sort_array(F.collect_list(F.struct("before", "n", "km", one))).alias("rings"), F.sum("n").alias("total")
+    ring = ring.withColumn("before", F.sum("n").over(inside) - F.col("n"))
+    return ring.groupBy("tick", "zone").agg(
+        F.sort_array(F.collect_list(F.struct("before", "n", "km", "zone_a"))).alias("rings"),
+        F.sum("n").alias("total"),
+        F.bool_or(F.col("zone_a").isNull()).alias("tied"),
     )
-    tied = ring.where("zones > 1").select("tick", "zone", "km")
-    members = near.join(tied, ["tick", "zone", "km"]).select("tick", "zone", "km", "zone_a")
+
+
+def tied_rings(placed: DataFrame, distances: DataFrame, radius_km: float, most: int | None = None) -> DataFrame:
+    """tick, zone, km, nth, zone_a, place: the drivers of rings of several zones, merged by order.
+
+    With ``most`` only the first so many of each ring.
+    """
+    near = _near(placed, distances, radius_km)
+    several = near.groupBy("tick", "zone", "km").agg(F.count(F.lit(1)).alias("zones")).where("zones > 1")
+    members = near.join(several, ["tick", "zone", "km"]).select("tick", "zone", "km", "zone_a")
     there = placed.select("tick", F.col("zone").alias("zone_a"), "driver_pos", "place")
+    if most is not None:
+        there = there.where(F.col("place") < most)
     order = Window.partitionBy("tick", "zone", "km").orderBy(F.col("driver_pos").desc())
     merged = members.join(there, ["tick", "zone_a"]).select(
         "tick", "zone", "km", (F.row_number().over(order) - 1).cast("long").alias("nth"), "zone_a", "place"
     )
-    return listed, merged
+    return merged if most is None else merged.where(F.col("nth") < most)
 
 
 def _asked(rows: DataFrame, tied: DataFrame | None) -> DataFrame:
@@ -140,18 +155,19 @@ def match_in_rounds(
     Ticks whose last round refused nobody are settled and leave; the others go on. A tick's rows
     are never in one group: proposals meet by driver, ranks by zone.
     """
-    placed = _stored(placed_drivers(drivers.select("tick", "driver_id", "zone", "driver_pos")), "drivers")
-    listed, merged = rings(placed, distances, radius_km)
-    merged = _stored(merged, "tied-rings")
-    tied = None if merged.isEmpty() else merged
+    idle = drivers.select("tick", "driver_id", "zone", "driver_pos")
+    placed = placed_drivers(idle)
     waiting = riders.select("tick", "rider_id", "zone", "request_ts", "rider_pos")
     waiting = _numbered(
         waiting, [F.col("request_ts"), F.col("rider_pos")], floor_micros("minute", F.col("request_ts"))
     )
     # later riders of a zone than it has drivers in reach go empty-handed
-    state = waiting.join(listed, ["tick", "zone"]).where("place < total").withColumn("rank", F.col("place"))
+    index = rings(idle, distances, radius_km)
+    state = waiting.join(index, ["tick", "zone"]).where("place < total").withColumn("rank", F.col("place"))
     state = _stored(state, "waiting")
-    crowded = (state.agg(F.max("place")).first()[0] or 0) >= STRETCH
+    most, is_tied = state.agg(F.max("place"), F.bool_or("tied")).first()
+    crowded = (most or 0) >= STRETCH
+    tied = _stored(tied_rings(placed, distances, radius_km), "tied-rings") if is_tied else None
     settled = []
     while True:
         for _ in range(1 if crowded else ROUNDS):
@@ -179,11 +195,14 @@ def closest_drivers(
     Ties go to the driver that is last in input order. Lists are made per tick and zone, out of at
     most ``k`` drivers of each zone; riders only take their zone's list, hot zones in pieces.
     """
-    placed = _stored(placed_drivers(drivers.select("tick", "driver_id", "zone", "driver_pos")), "drivers")
-    listed, merged = rings(placed, distances, radius_km)
+    idle = drivers.select("tick", "driver_id", "zone", "driver_pos")
+    placed = placed_drivers(idle)
+    listed = _stored(rings(idle, distances, radius_km), "rings")
+    is_tied = listed.agg(F.bool_or("tied")).first()[0]
+    merged = tied_rings(placed, distances, radius_km, k) if is_tied else None
     places = F.sequence(F.lit(0).cast("long"), F.least(F.lit(k), F.col("total")).cast("long") - 1)
     ranked = listed.withColumn("rank", F.explode(places))
-    found = _asked(ranked, merged.where(F.col("nth") < k)).select("tick", "zone", "rank", "km", "zone_a", "idx")
+    found = _asked(ranked, merged).select("tick", "zone", "rank", "km", "zone_a", "idx")
     there = placed.where(F.col("place") < k).select(
         "tick", F.col("zone").alias("zone_a"), F.col("place").alias("idx"), "driver_id"
     )
