@@ -10,7 +10,9 @@ mostly meet one another's first only.
 
 A line is rare if at most ``rare_share`` of all distinct texts hold it. The share is large
 enough for groups of near copies of a third of all documents; lines beyond it are
-boilerplate, and go only inside blocks that rare lines align.
+boilerplate. Boilerplate and blank lines decide nothing: a stretch of them goes if the rare lines
+around it go. What is deleted therefore follows from the documents alone, not from the pairs
+that happened to be compared.
 """
 
 from __future__ import annotations
@@ -93,15 +95,36 @@ def aligned(a: list[int], b: list[int]) -> list[int]:
     return sorted(out)
 
 
-def _ranges(lines: list[int], hashes: list[int]) -> list[tuple[int, int]]:
-    """Runs of lines, without blocks of blank lines only."""
+def _ranges(lines: list[int]) -> list[tuple[int, int]]:
+    """Runs of lines."""
     out: list[list[int]] = []
     for i in lines:
         if out and out[-1][1] == i:
             out[-1][1] = i + 1
         else:
             out.append([i, i + 1])
-    return [(a, b) for a, b in out if any(hashes[i] != BLANK for i in range(a, b))]
+    return [(a, b) for a, b in out]
+
+
+def with_fillers(gone: set[int], filler: list[bool]) -> set[int]:
+    """``gone`` and the stretches of filler lines (blank or boilerplate) inside it.
+
+    A stretch goes if the lines on both sides of it go; an edge of the text does not hold
+    back a stretch whose other side goes.
+    """
+    out, n, i = set(gone), len(filler), 0
+    while i < n:
+        if not filler[i]:
+            i += 1
+            continue
+        j = i
+        while j < n and filler[j]:
+            j += 1
+        before, after = i == 0 or i - 1 in gone, j == n or j in gone
+        if before and after and (i > 0 or j < n):
+            out.update(range(i, j))
+        i = j
+    return out
 
 
 def _hash_lines(batches):
@@ -118,19 +141,20 @@ def _align(batches):
     kind = pa.list_(pa.struct([("first", pa.int64()), ("after", pa.int64())]))
     for batch in batches:
         early, late = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        blocks = [_ranges(aligned(a, b), b) for a, b in zip(early, late)]
+        blocks = [_ranges(aligned(a, b)) for a, b in zip(early, late)]
         lists = [[{"first": x, "after": y} for x, y in found] for found in blocks]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, kind)], ["row", "blocks"])
 
 
-def _rare(entries: DataFrame, rare_share: float) -> DataFrame:
-    """line, early (row of its first holder), held; rows are in the order of documents."""
+def _held(entries: DataFrame, rare_share: float) -> DataFrame:
+    """line, early (row of its first holder), held, rare: lines of several entries; rows are in
+    the order of documents."""
     lines = entries.select("row", F.explode(F.array_distinct("lines")).alias("line"))
     holders = lines.where(F.col("line") != BLANK).groupBy("line").agg(
         F.min("row").alias("early"), F.count(F.lit(1)).alias("held")
     )
     limit = max(2.0, rare_share * entries.count())
-    return holders.where((F.col("held") > 1) & (F.col("held") <= limit))
+    return holders.where(F.col("held") > 1).withColumn("rare", F.col("held") <= limit)
 
 
 def _ranked(holdings: DataFrame) -> DataFrame:
@@ -158,19 +182,36 @@ def _blocks(entries: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.mapInArrow(_align, kind).where(F.size("blocks") > 0)
 
 
-def _remaining(places: DataFrame, found: DataFrame) -> DataFrame:
-    """``places`` (row, place, ...) outside the blocks ``found``."""
+def _inside(found: DataFrame) -> DataFrame:
+    """row, place of the lines in the blocks ``found``."""
     block = found.select("row", F.explode("blocks").alias("block"))
     lines = F.sequence(F.col("block.first").cast("int"), F.col("block.after").cast("int") - 1)
-    gone = block.select("row", F.explode(lines).alias("place"))
-    return places.join(gone, ["row", "place"], "left_anti")
+    return block.select("row", F.explode(lines).alias("place"))
 
 
-def found_blocks(entries: DataFrame, rare_share: float) -> DataFrame:
-    """row, blocks: of all pairs of ``entries`` that rare lines bring together."""
-    rare = stored(_rare(entries, rare_share), "rare-lines")
+def _remaining(places: DataFrame, found: DataFrame) -> DataFrame:
+    """``places`` (row, place, ...) outside the blocks ``found``."""
+    return places.join(_inside(found), ["row", "place"], "left_anti")
+
+
+def deleted_lines(entries: DataFrame, rare_share: float) -> DataFrame:
+    """row, gone (places of rare lines that an earlier holder aligns), boilerplate (places)."""
+    held = stored(_held(entries, rare_share), "held-lines")
     places = entries.select("row", F.posexplode("lines").alias("place", "line"))
-    late = places.join(rare, "line").where("row != early")
+    shared = places.join(held, "line")
+    late = shared.where("rare AND row != early")
+    found = _found_blocks(entries, places, late)
+    gone = late.select("row", "place").join(_inside(found).distinct(), ["row", "place"], "left_semi")
+    common = shared.where("NOT rare").select("row", "place")
+    marked = gone.withColumn("rare", F.lit(True)).unionByName(common.withColumn("rare", F.lit(False)))
+    return marked.groupBy("row").agg(
+        F.collect_list(F.when(F.col("rare"), F.col("place"))).alias("gone"),
+        F.collect_list(F.when(~F.col("rare"), F.col("place"))).alias("boilerplate"),
+    )
+
+
+def _found_blocks(entries: DataFrame, places: DataFrame, late: DataFrame) -> DataFrame:
+    """row, blocks: enough aligned blocks to hold every rare line that some earlier holder aligns."""
     met = stored(late.select("early", F.col("row").alias("late")).distinct(), "overlaps")
     found = stored(_blocks(entries, met), "blocks")
     left = late.where("held > 2").select("row", "place", "line")
@@ -207,7 +248,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def decisions(docs: DataFrame, id_col: str, text_col: str, rare_share: float) -> DataFrame:
-    """hash, hash2, first (id of the document that stays), rows (of that id), blocks."""
+    """hash, hash2, first (id of the document that stays), rows (of that id), gone, boilerplate."""
     keyed = _keyed(docs, id_col, text_col)
     schema = T.StructType(
         [*keyed.schema.fields[:3], T.StructField("lines", T.ArrayType(T.LongType()))]
@@ -222,12 +263,9 @@ def decisions(docs: DataFrame, id_col: str, text_col: str, rare_share: float) ->
     )
     ordered = entries.select(*_KEYS, "id.*", "rest.*").orderBy("no_id", "doc_id", *_KEYS)
     entries = stored(ordered.withColumn("row", F.monotonically_increasing_id()), "entries")
-    found = found_blocks(entries, rare_share)
-    per_entry = found.select("row", F.explode("blocks").alias("block")).groupBy("row").agg(
-        F.collect_set("block").alias("blocks")
-    )
-    return entries.join(per_entry, "row", "left").select(
-        *_KEYS, F.col("doc_id").alias("first"), "rows", "blocks"
+    marks = deleted_lines(entries, rare_share)
+    return entries.join(marks, "row", "left").select(
+        *_KEYS, F.col("doc_id").alias("first"), "rows", "gone", "boilerplate"
     )
 
 
@@ -236,12 +274,13 @@ def _delete(batches):
         for k in range(0, batch.num_rows, 512):
             part = batch.slice(k, 512)
             total, removed, kept = [], [], []
-            marks = zip(part.column(1).to_pylist(), part.column(2).to_pylist(), part.column(3).to_pylist())
-            for text, whole, blocks in marks:
+            for text, whole, rare, common in zip(*(part.column(i).to_pylist() for i in range(1, 5))):
                 lines = text.split(b"\n")
-                gone = {i for x in blocks or () for i in range(x["first"], x["after"])}
-                if whole and any(x.strip() for x in lines):
-                    gone = set(range(len(lines)))
+                common = set(common or ())
+                filler = [i in common or not x.strip() for i, x in enumerate(lines)]
+                gone = with_fillers(set(rare or ()), filler)
+                if whole:
+                    gone = set(range(len(lines))) if any(x.strip() for x in lines) else set()
                 total.append(len(lines))
                 removed.append(len(gone))
                 kept.append(b"\n".join(x for i, x in enumerate(lines) if i not in gone))
@@ -258,24 +297,27 @@ def dedup_lines(
 
     Lines end at ``\\n``; null texts are empty. Documents come in the order of their ids,
     missing ids last, texts of one id by hash; of rows that repeat an id and a text one
-    counts as the earlier. Blank
-    lines are all alike; a block of them only is not deleted, and neither is a text without visible
-    characters. Blank lines and lines that are not rare go with the blocks of the pairs that rare
-    lines needed. Empty tables give empty results.
+    counts as the earlier. A rare line is deleted if patience diff of its document with any
+    earlier one that holds it aligns it; stretches of blank lines and of lines that are not rare go
+    if the lines around them go. Blank lines are all alike; texts without visible characters are
+    left alone. Empty tables give empty results.
     """
     keyed = _keyed(docs, id_col, text_col).alias("t")
     marks = decisions(docs, id_col, text_col, rare_share).hint("shuffle_hash").alias("m")
     same = [F.col(f"t.{k}") == F.col(f"m.{k}") for k in _KEYS]
     joined = keyed.join(marks, same).withColumn("is_first", F.col("t.doc_id").eqNullSafe(F.col("m.first")))
     again = F.col("is_first") & (F.col("m.rows") > 1)
-    plain = joined.where(~again).select("t.doc_id", "t.bytes", ~F.col("is_first"), "m.blocks")
+    plain = joined.where(~again).select("t.doc_id", "t.bytes", ~F.col("is_first"), "m.gone", "m.boilerplate")
     # equal rows: one is the first, the others are copies
     one = joined.where(again).groupBy("t.hash", "t.hash2", "t.doc_id").agg(
-        F.first("t.bytes").alias("bytes"), F.first("m.blocks").alias("blocks"), F.count(F.lit(1)).alias("n")
+        F.first("t.bytes").alias("bytes"),
+        F.first("m.gone").alias("gone"),
+        F.first("m.boilerplate").alias("boilerplate"),
+        F.count(F.lit(1)).alias("n"),
     )
     copies = one.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    rows = plain.toDF("doc_id", "bytes", "whole", "blocks").unionByName(
-        copies.select("doc_id", "bytes", (F.col("copy") > 1).alias("whole"), "blocks")
+    rows = plain.toDF("doc_id", "bytes", "whole", "gone", "boilerplate").unionByName(
+        copies.select("doc_id", "bytes", (F.col("copy") > 1).alias("whole"), "gone", "boilerplate")
     )
     schema = T.StructType(
         [rows.schema["doc_id"], *T.StructType.fromDDL("n_lines long, n_removed long, kept binary").fields]
