@@ -8,7 +8,11 @@ all vectors of these cells are then reranked by their exact distance.
 Codebooks, and the share that reaches the wanted recall, come from a bounded sample; every
 row is indexed. Equal vectors are one entry with the few ids that can matter, so a vector
 that a third of all rows hold does not crowd a cell. Cells are dealt to buckets of bounded
-size, large cells to several, and queries meet buckets in blocks.
+size, large cells to several. Queries meet buckets in blocks of queries that start in
+neighbouring buckets, and a bucket's entries go only to the blocks that ask for it.
+
+Distances are taken from the sample's mean, and where they are found by products, vectors
+within the rounding error of the cut stay until the exact distances decide.
 """
 
 from __future__ import annotations
@@ -28,10 +32,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: vectors that fit the codebooks, and queries among them that set the share to visit
 SAMPLE, TRIALS = 16_384, 256
-#: most centroids of a half
-CENTROIDS = 256
-#: vectors of a bucket, queries of a block
-BUCKET, BLOCK = 2_048, 2_048
+#: most centroids of a half, so that the cells' sizes (their square) fit the driver
+CENTROIDS = 1_024
+#: vectors of a bucket, queries of a block, queries of a task that walks the cells
+BUCKET, BLOCK, WALK = 2_048, 2_048, 128
+#: error of a squared distance found by products, as a share of the squared norms
+ROUNDING = 64 * np.finfo(np.float64).eps
 
 
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -40,6 +46,14 @@ def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0)
 
 
+def nearly_least(rough: np.ndarray, error: np.ndarray, k: int) -> np.ndarray:
+    """Places whose value may be one of the ``k`` least, if each is off by ``error`` at most."""
+    if len(rough) <= k:
+        return np.arange(len(rough))
+    last = np.partition(rough + error, k - 1)[k - 1]
+    return np.flatnonzero(rough - error <= last)
+
+
 def codebook(points: np.ndarray, size: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     rng = np.random.default_rng(seed)
     points = np.unique(points, axis=0)
@@ -58,15 +72,24 @@ class MultiIndex:
 
     def __init__(self, sample: np.ndarray, count: int, k: int, recall: float):
         self.half = sample.shape[1] // 2
+        self.center = sample.mean(axis=0)
+        sample = sample - self.center
         size = int(np.clip(round(np.sqrt(count) / 2), 1, CENTROIDS))
         self.books = codebook(sample[:, : self.half], size), codebook(sample[:, self.half :], size)
         self.share = self._share(sample, k, recall)
 
     def distances(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances of both halves, of vectors as they are given, to all centroids."""
+        return self._distances(vectors - self.center)
+
+    def _distances(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return squared(vectors[:, : self.half], self.books[0]), squared(vectors[:, self.half :], self.books[1])
 
     def cells(self, vectors: np.ndarray) -> np.ndarray:
-        one, two = self.distances(vectors)
+        return self._cells(vectors - self.center)
+
+    def _cells(self, vectors: np.ndarray) -> np.ndarray:
+        one, two = self._distances(vectors)
         return one.argmin(axis=1) * len(self.books[1]) + two.argmin(axis=1)
 
     def _share(self, sample: np.ndarray, k: int, recall: float) -> float:
@@ -76,12 +99,12 @@ class MultiIndex:
         """
         if len(sample) <= k + 1:
             return 1.0
-        count = np.bincount(self.cells(sample), minlength=len(self.books[0]) * len(self.books[1]))
-        cell, met = self.cells(sample), []
+        cell, met = self._cells(sample), []
+        count = np.bincount(cell, minlength=len(self.books[0]) * len(self.books[1]))
         for i in range(min(TRIALS, len(sample))):
-            d = squared(sample[i : i + 1], sample)[0]
+            d = ((sample - sample[i]) ** 2).sum(axis=1)
             d[i] = np.inf
-            one, two = self.distances(sample[i : i + 1])
+            one, two = self._distances(sample[i : i + 1])
             order = np.argsort((one[0][:, None] + two[0]).ravel(), kind="stable")
             share = np.empty(len(order))
             share[order] = np.cumsum(count[order]) / len(sample)
@@ -101,6 +124,7 @@ class MultiIndex:
                 bucket, held = bucket + 1, 0
             self.first[cell], self.parts[cell] = bucket, parts
             bucket, held = (bucket + parts, 0) if parts > 1 else (bucket, held + n)
+        self.buckets = bucket + 1
 
     def visited(self, one: np.ndarray, two: np.ndarray, enough: float) -> list[int]:
         """Cells in the order of ``one[i] + two[j]`` until they hold ``enough`` vectors."""
@@ -139,7 +163,7 @@ def _with_cells(index_bytes, width: int):
 
 
 def _probes(index_bytes, width: int, enough: float):
-    """A row per query and bucket, with the query's cells in that bucket."""
+    """A row per query and bucket, with the query's cells in that bucket and its first bucket."""
 
     def run(batches):
         index = pickle.loads(index_bytes.value)
@@ -147,7 +171,7 @@ def _probes(index_bytes, width: int, enough: float):
             for k in range(0, batch.num_rows, 64):
                 part = batch.slice(k, 64)
                 one, two = index.distances(_matrix(part.column(1), width))
-                row, bucket, cells = [], [], []
+                row, bucket, cells, home = [], [], [], []
                 for i in range(part.num_rows):
                     by_bucket: dict[int, list[int]] = {}
                     for cell in index.visited(one[i], two[i], enough):
@@ -157,6 +181,7 @@ def _probes(index_bytes, width: int, enough: float):
                     row += [i] * len(by_bucket)
                     bucket += by_bucket.keys()
                     cells += by_bucket.values()
+                    home += [next(iter(by_bucket))] * len(by_bucket)
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -164,8 +189,9 @@ def _probes(index_bytes, width: int, enough: float):
                         part.column(1).take(at),
                         pa.array(bucket, pa.int64()),
                         pa.array(cells, pa.list_(pa.int64())),
+                        pa.array(home, pa.int64()),
                     ],
-                    ["query_id", "vector", "bucket", "cells"],
+                    ["query_id", "vector", "bucket", "cells", "home"],
                 )
 
     return run
@@ -175,7 +201,7 @@ def _plus(df: DataFrame, fields: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])
 
 
-def _rerank(width: int, k: int):
+def _rerank(width: int, k: int, center: np.ndarray):
     """The best ``k`` entries of a bucket for each query of a block, by exact distance."""
 
     def run(queries: pa.Table, entries: pa.Table) -> pa.Table:
@@ -187,14 +213,14 @@ def _rerank(width: int, k: int):
             ids = entries.column("ids").to_pylist()
             wanted, own = queries.column("cells").to_pylist(), queries.column("query_id").to_pylist()
             q = _matrix(queries.column("vector").chunk(0), width)
+            x0, q0 = x - center, q - center
+            norms, own_norm = (x0**2).sum(axis=1), (q0**2).sum(axis=1)
             for at in range(0, len(q), 256):
-                rough = squared(q[at : at + 256], x)
+                rough = squared(q0[at : at + 256], x0)
                 for i, d in enumerate(rough, at):
                     inside = np.flatnonzero(np.isin(cell, wanted[i]))
-                    near = d[inside]
-                    if len(inside) > k + 1:  # one entry may be the query itself
-                        last = np.partition(near, k)[k]
-                        inside = inside[near <= last + 1e-9 * (1 + last)]
+                    error = ROUNDING * width * (norms[inside] + own_norm[i])
+                    inside = inside[nearly_least(d[inside], error, k + 1)]  # one may be the query itself
                     exact = np.sqrt(((x[inside] - q[i]) ** 2).sum(axis=1))
                     found = [(s, v) for s, e in zip(exact.tolist(), inside) for v in ids[e] if v != own[i]]
                     for s, v in heapq.nsmallest(k, found):
@@ -208,6 +234,21 @@ def _rerank(width: int, k: int):
     return run
 
 
+def _in_blocks(probes: DataFrame, queries: int, buckets: int) -> DataFrame:
+    """``probes`` with ``block``: queries that start in neighbouring buckets, ``BLOCK`` at most.
+
+    Stretches of buckets are long enough for a block of queries each; a stretch in which many
+    more start is split by query.
+    """
+    blocks = min(buckets, partitions_for(queries, BLOCK))
+    stretch = F.floor(F.col("home") * blocks / buckets)
+    homes = probes.where(F.col("bucket") == F.col("home")).groupBy(stretch.alias("stretch")).count()
+    parts = homes.select("stretch", F.ceil(F.col("count") / BLOCK).alias("parts"))
+    joined = probes.withColumn("stretch", stretch).join(parts, "stretch")
+    part = F.pmod(F.xxhash64("query_id"), F.col("parts"))
+    return joined.withColumn("block", F.struct("stretch", part.alias("part"))).drop("stretch", "parts", "home")
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, vector: one row per id, only vectors that take part.
 
@@ -270,21 +311,23 @@ def nearest(
     index_bytes = shared(spark, index)
     wanted = queries.select(F.col("query_id").cast("long").alias("vec_id")).distinct()
     asked = stored(rows.join(wanted, "vec_id").select(F.col("vec_id").alias("query_id"), "vector"), "queries")
-    blocks = partitions_for(asked.count(), BLOCK)
+    many = asked.count()
     enough = max(index.share * distinct, 16.0 * (k + 1))
-    probes = asked.mapInArrow(
-        _probes(index_bytes, width, enough), _plus(asked, "bucket long, cells array<long>")
-    ).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    placed = (
-        celled.join(F.broadcast(buckets), "cell")
-        .withColumn("bucket", F.col("first") + F.pmod(F.xxhash64("vector"), F.col("parts")))
-        .withColumn("block", F.explode(F.sequence(*[F.lit(x).cast("long") for x in (0, blocks - 1)])))
-        .select("bucket", "block", "cell", "vector", "ids")
+    dealt = asked.repartition(partitions_for(many, WALK), "query_id")
+    walked = dealt.mapInArrow(
+        _probes(index_bytes, width, enough), _plus(asked, "bucket long, cells array<long>, home long")
+    )
+    probes = _in_blocks(stored(walked, "probes"), many, index.buckets)
+    placed = celled.join(F.broadcast(buckets), "cell").withColumn(
+        "bucket", F.col("first") + F.pmod(F.xxhash64("vector"), F.col("parts"))
     )
+    # entries go where a query asks for their bucket, and nowhere else
+    met = probes.select(F.col("bucket"), F.col("block").alias("to")).distinct()
+    sent = placed.join(met, "bucket").select(F.col("bucket").alias("of"), "to", "cell", "vector", "ids")
     found = (
         probes.groupBy("bucket", "block")
-        .cogroup(placed.groupBy("bucket", "block"))
-        .applyInArrow(_rerank(width, k), "query_id long, vec_id long, score double")
+        .cogroup(sent.groupBy("of", "to"))
+        .applyInArrow(_rerank(width, k, index.center), "query_id long, vec_id long, score double")
     )
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

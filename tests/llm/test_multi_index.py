@@ -83,3 +83,49 @@ def test_large_cells_take_several_buckets(monkeypatch):
     index.deal({0: 4, 1: 5, 2: 35, 3: 3, 4: 8})
     got = [(index.first[c], index.parts[c]) for c in range(5)]
     assert got == [(0, 1), (0, 1), (1, 4), (5, 1), (6, 1)]
+
+
+@pytest.mark.parametrize("offset, spread", [(0.0, 1.0), (1e4, 1e-3), (1e5, 1e-3), (1e6, 1e-2)])
+def test_vectors_far_from_the_origin(spark, offset, spread):
+    rng = np.random.default_rng(3)
+    rows = [(i, (offset + spread * rng.standard_normal(8)).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0").select(df.vec_id.alias("query_id"))
+    got = ranked(multi_index.nearest(df, asked, recall=1.0).collect())
+    assert got == plain_nearest(rows, range(0, 400, 20))
+
+
+def test_clusters_far_apart_and_halves_of_very_different_norm(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.choice([-1e6, 1e6], (300, 1)) * np.ones((1, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(middle + 1e-2 * rng.standard_normal((300, 8)))]
+    scale = np.array([1e7] * 4 + [1e-3] * 4)
+    rows += [(1000 + i, v.tolist()) for i, v in enumerate(rng.standard_normal((200, 8)).round(0) * scale)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 25 = 0").select(df.vec_id.alias("query_id"))
+    got = ranked(multi_index.nearest(df, asked, recall=1.0).collect())
+    want = plain_nearest([r for r in rows if any(r[1])], got)
+    assert got == want and len(got) >= 18
+
+
+def test_entries_go_only_to_blocks_that_ask(spark, monkeypatch):
+    monkeypatch.setattr(multi_index, "BUCKET", 50)
+    monkeypatch.setattr(multi_index, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    spots = rng.standard_normal((12, 6)) * 100
+    rows = [(i, (spots[i % 12] + rng.standard_normal(6)).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 24 < 2").select(df.vec_id.alias("query_id"))
+    got = ranked(multi_index.nearest(df, asked, recall=0.95).collect())
+    want = plain_nearest(rows, got)
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in got)
+    assert len(got) == 100 and hits >= 0.95 * 1000
+    schema = "query_id long, vector array<double>, bucket long, cells array<long>, home long"
+    few = [(q, [0.0], b, [1], q % 5) for q in range(40) for b in (q % 5, 9)]
+    blocks = multi_index._in_blocks(spark.createDataFrame(few, schema), 40, 10).collect()
+    of = {}
+    for r in blocks:
+        of.setdefault(r.query_id, set()).add(tuple(r.block))
+    assert len(blocks) == 80 and all(len(x) == 1 for x in of.values())
+    sizes = [sum(b in x for x in of.values()) for b in set().union(*of.values())]
+    assert max(sizes) <= 14  # a block of 7 on average
