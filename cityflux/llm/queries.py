@@ -39,6 +39,8 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        # what is left, for readers of text: a character cut in two shows as U+FFFD
+        F.make_valid_utf8(F.col("kept").cast("string")).alias("text"),
     )
 
 

@@ -1,8 +1,9 @@
 """Removing long passages that occur elsewhere, with logarithmic families of suffix indexes.
 
-A byte goes if some ``WINDOW``-byte string that covers it also starts anywhere else. Two
-occurrences of such a string have the same minimiser: the leftmost ``GRAM``-byte gram of
-least hash inside it. So suffixes meet where their minimisers agree, and the work splits:
+A byte goes if some string of ``window`` bytes that covers it also starts anywhere else. Two
+occurrences of such a string have the same minimiser: the leftmost gram (a shorter string of
+fixed length) of least hash inside it. So suffixes meet where their minimisers agree, and the
+work splits:
 
 1. Every text is cut into runs: consecutive window starts with one minimiser. A run is a
    thin row: hash of the gram, hash of all bytes its windows cover, place.
@@ -13,7 +14,7 @@ least hash inside it. So suffixes meet where their minimisers agree, and the wor
    gram. There the window starts of each arriving batch form a suffix array, are
    merge-scanned against the arrays of the existing levels, and join them as a new level;
    levels of equal size merge, so there are logarithmically many. Suffixes are ordered by
-   the fingerprint of their first ``WINDOW`` bytes: that is all a scan for long matches
+   the fingerprint of their first ``window`` bytes: that is all a scan for long matches
    needs, and comparing is one machine word.
 4. Spans return to their documents.
 
@@ -24,6 +25,7 @@ documents hold, take the same steps as counts of smaller and smaller pieces.
 from __future__ import annotations
 
 import sys
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +36,31 @@ from .tables import mix, partitions_for, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WINDOW, GRAM = 400, 64
+#: bytes of a match by default
+WINDOW = 400
 #: bytes hashed at once
 BUFFER = 1 << 20
 #: representatives per task, and per batch of a task
 REPRESENTATIVES, ARRIVING = 16_384, 2_048
 #: kinds of runs from which a gram counts as crowded; window starts per piece of its runs
-CROWDED, PIECE = 2_048, 16
+CROWDED, PIECE = 256, 16
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+class Sizes(NamedTuple):
+    """Bytes of a match and of the grams that are its minimisers."""
+
+    window: int
+    gram: int
+
+    @classmethod
+    def of(cls, window: int) -> Sizes:
+        if window < 4 * PIECE:
+            raise ValueError(f"matches of fewer than {4 * PIECE} bytes are not looked for")
+        return cls(window, min(64, window // 4))
+
+
 class Hasher:
     """Polynomial hashes of substrings of a buffer."""
 
@@ -88,17 +104,18 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs_of(hasher: Hasher, parts: list[bytes]):
-    """Runs of the parts (at least ``WINDOW`` bytes each): part, first start, starts, place
+def runs_of(hasher: Hasher, parts: list[bytes], sizes: Sizes):
+    """Runs of the parts (at least a window each): part, first start, starts, place
     of the minimiser behind the first start, hash of the gram, hash of the run."""
     data = np.frombuffer(b"".join(parts), np.uint8)
     size = np.array([len(p) for p in parts], np.int64)
     begin = np.cumsum(size) - size
     hasher.load(data)
     place = np.uint64((1 << 22) - 1)
-    grams = (hasher.sliding(GRAM) & ~place) | np.arange(len(data) - GRAM + 1, dtype=np.uint64)
-    least = sliding_least(grams, WINDOW - GRAM + 1) & place
-    count = size - WINDOW + 1
+    window, width = sizes
+    grams = (hasher.sliding(width) & ~place) | np.arange(len(data) - width + 1, dtype=np.uint64)
+    least = sliding_least(grams, window - width + 1) & place
+    count = size - window + 1
     owner = np.repeat(np.arange(len(parts)), count)
     starts = np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
     anchor = least[starts].astype(np.int64)
@@ -107,17 +124,17 @@ def runs_of(hasher: Hasher, parts: list[bytes]):
     first = np.flatnonzero(new)
     number = np.diff(np.append(first, len(starts)))
     low, anchor, owner = starts[first], anchor[first], owner[first]
-    gram = hasher.at(anchor, anchor + GRAM)
+    gram = hasher.at(anchor, anchor + width)
     shape = ((anchor - low).astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64)
-    whole = mix(hasher.at(low, low + number + WINDOW - 1) + mix(shape))
+    whole = mix(hasher.at(low, low + number + window - 1) + mix(shape))
     return owner, low - begin[owner], number, anchor - low, gram, whole
 
 
-def _segments(texts: list):
+def _segments(texts: list, window: int):
     """Buffers of (text number, offset, bytes): long texts in overlapping parts."""
     held, size = [], 0
     for i, text in enumerate(texts):
-        for at in range(0, max(0, len(text) - WINDOW + 1), BUFFER - WINDOW):
+        for at in range(0, max(0, len(text) - window + 1), BUFFER - window):
             part = text[at : at + BUFFER - 1]
             held.append((i, at, part))
             size += len(part)
@@ -128,28 +145,31 @@ def _segments(texts: list):
         yield held
 
 
-def _cut(batches):
-    hasher = Hasher()
-    for batch in batches:
-        for k in range(0, batch.num_rows, 1024):
-            piece = batch.slice(k, 1024)
-            texts = [t or b"" for t in piece.column(2).to_pylist()]
-            for held in _segments(texts):
-                owner, low, number, shift, gram, whole = runs_of(hasher, [p for _, _, p in held])
-                row = pa.array(np.array([i for i, _, _ in held])[owner])
-                offset = np.array([at for _, at, _ in held])[owner]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        piece.column(0).take(row),
-                        piece.column(1).take(row),
-                        pa.array(gram.view(np.int64)),
-                        pa.array(whole.view(np.int64)),
-                        pa.array(low + offset),
-                        pa.array(number.astype(np.int32)),
-                        pa.array(shift.astype(np.int32)),
-                    ],
-                    ["doc_id", "hash", "gram", "whole", "low", "number", "shift"],
-                )
+def _cut(sizes: Sizes):
+    def run(batches):
+        hasher = Hasher()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 1024):
+                piece = batch.slice(k, 1024)
+                texts = [t or b"" for t in piece.column(2).to_pylist()]
+                for held in _segments(texts, sizes.window):
+                    owner, low, number, shift, gram, whole = runs_of(hasher, [p for _, _, p in held], sizes)
+                    row = pa.array(np.array([i for i, _, _ in held])[owner])
+                    offset = np.array([at for _, at, _ in held])[owner]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            piece.column(0).take(row),
+                            piece.column(1).take(row),
+                            pa.array(gram.view(np.int64)),
+                            pa.array(whole.view(np.int64)),
+                            pa.array(low + offset),
+                            pa.array(number.astype(np.int32)),
+                            pa.array(shift.astype(np.int32)),
+                        ],
+                        ["doc_id", "hash", "gram", "whole", "low", "number", "shift"],
+                    )
+
+    return run
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -213,16 +233,16 @@ class IndexFamily:
         self.repeated[level.suffix[at[hit]]] = True
 
 
-def window_keys(hasher: Hasher, bodies: list[bytes], shift: np.ndarray, gram: np.ndarray):
+def window_keys(hasher: Hasher, bodies: list[bytes], shift: np.ndarray, gram: np.ndarray, window: int):
     """Fingerprints of all window starts of the bodies, and the body of each."""
     size = np.array([len(b) for b in bodies], np.int64)
     begin = np.cumsum(size) - size
-    count = size - WINDOW + 1
+    count = size - window + 1
     owner = np.repeat(np.arange(len(bodies)), count)
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     hasher.load(np.frombuffer(b"".join(bodies), np.uint8))
     start = begin[owner] + inner
-    keys = hasher.at(start, start + WINDOW)
+    keys = hasher.at(start, start + window)
     place = (shift[owner] - inner).astype(np.int64).view(np.uint64)
     return mix(keys + mix(place) + gram[owner]), owner, inner
 
@@ -238,102 +258,114 @@ def spans_of(flags: np.ndarray, owner: np.ndarray, inner: np.ndarray):
     return owner[first], inner[first], inner[last]
 
 
-def _span_batch(ids, hashes, low, body, first, last):
+def _span_batch(ids, hashes, low, body, first, last, window):
     row = pa.array(body)
     return pa.RecordBatch.from_arrays(
         [
             ids.take(row),
             hashes.take(row),
             pa.array(low[body] + first),
-            pa.array(low[body] + last + WINDOW),
+            pa.array(low[body] + last + window),
         ],
         ["doc_id", "hash", "begin", "stop"],
     )
 
 
-def _scan_bucket(batches):
+def _scan_bucket(window: int):
     """Spans of the representatives of one task's grams."""
-    hasher, family, kept = Hasher(), IndexFamily(), []
-    for batch in batches:
-        for k in range(0, batch.num_rows, ARRIVING):
-            part = batch.slice(k, ARRIVING)
-            gram = np.asarray(part.column(2)).view(np.uint64)
-            shift = np.asarray(part.column(4)).astype(np.int64)
-            keys, owner, inner = window_keys(hasher, part.column(5).to_pylist(), shift, gram)
-            family.arrive(keys)
-            low = np.asarray(part.column(3))
-            kept.append((part.select([0, 1]), low, owner.astype(np.int32), inner.astype(np.int16)))
-    at = 0
-    for part, low, owner, inner in kept:
-        flags = family.repeated[at : at + len(owner)]
-        at += len(owner)
-        body, first, last = spans_of(flags, owner, inner)
-        yield _span_batch(part.column(0), part.column(1), low, body, first, last)
-
-
-def _bodies(batches):
+
+    def run(batches):
+        hasher, family, kept = Hasher(), IndexFamily(), []
+        for batch in batches:
+            for k in range(0, batch.num_rows, ARRIVING):
+                part = batch.slice(k, ARRIVING)
+                gram = np.asarray(part.column(2)).view(np.uint64)
+                shift = np.asarray(part.column(4)).astype(np.int64)
+                keys, owner, inner = window_keys(hasher, part.column(5).to_pylist(), shift, gram, window)
+                family.arrive(keys)
+                low = np.asarray(part.column(3))
+                kept.append((part.select([0, 1]), low, owner.astype(np.int32), inner.astype(np.int32)))
+        at = 0
+        for part, low, owner, inner in kept:
+            flags = family.repeated[at : at + len(owner)]
+            at += len(owner)
+            body, first, last = spans_of(flags, owner, inner)
+            yield _span_batch(part.column(0), part.column(1), low, body, first, last, window)
+
+    return run
+
+
+def _bodies(window: int):
     """The bytes of each wanted run."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            text, wanted = batch.column(2)[i].as_py(), batch.column(3).slice(i, 1).flatten()
-            gram, low, number, shift = (np.asarray(wanted.field(j)) for j in range(4))
-            body = [text[a : a + n + WINDOW - 1] for a, n in zip(low.tolist(), number.tolist())]
-            row = pa.array(np.full(len(low), i))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(row),
-                    batch.column(1).take(row),
-                    pa.array(gram),
-                    pa.array(low),
-                    pa.array(shift),
-                    pa.array(body, pa.binary()),
-                ],
-                ["doc_id", "hash", "gram", "low", "shift", "body"],
-            )
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                text, wanted = batch.column(2)[i].as_py(), batch.column(3).slice(i, 1).flatten()
+                gram, low, number, shift = (np.asarray(wanted.field(j)) for j in range(4))
+                body = [text[a : a + n + window - 1] for a, n in zip(low.tolist(), number.tolist())]
+                row = pa.array(np.full(len(low), i))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(row),
+                        batch.column(1).take(row),
+                        pa.array(gram),
+                        pa.array(low),
+                        pa.array(shift),
+                        pa.array(body, pa.binary()),
+                    ],
+                    ["doc_id", "hash", "gram", "low", "shift", "body"],
+                )
+
+    return run
 
 
-def _pieces(batches):
+def _pieces(window: int):
     """Crowded runs in pieces of ``PIECE`` starts, aligned to the minimiser: hash of all
     bytes of the piece, hash of the bytes all its windows share, hash of each window."""
-    hasher = Hasher()
-    for batch in batches:
-        for k in range(0, batch.num_rows, ARRIVING):
-            part = batch.slice(k, ARRIVING)
-            gram = np.asarray(part.column(2)).view(np.uint64)
-            shift = np.asarray(part.column(4)).astype(np.int64)
-            bodies = part.column(5).to_pylist()
-            keys, owner, inner = window_keys(hasher, bodies, shift, gram)
-            size = np.array([len(b) for b in bodies], np.int64)
-            begin = np.cumsum(size) - size
-            block = (shift[owner] - inner) // PIECE
-            new = np.append(True, (block[1:] != block[:-1]) | (owner[1:] != owner[:-1]))
-            first = np.flatnonzero(new)
-            number = np.diff(np.append(first, len(keys)))
-            body, low = owner[first], inner[first]
-            where = begin[body] + low
-            place = (shift[body] - low).astype(np.uint64) << np.uint64(16) | number.astype(np.uint64)
-            whole = hasher.at(where, where + number + WINDOW - 1)
-            # what every window of the aligned piece covers, however the run cuts the piece
-            shared = (shift[body] - low) // PIECE * PIECE
-            a = begin[body] + shift[body] - shared
-            core = hasher.at(a, a - PIECE + 1 + WINDOW)
-            row = pa.array(body)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.append(first, len(keys)).astype(np.int32)), pa.array(keys.view(np.int64))
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0).take(row),
-                    part.column(1).take(row),
-                    part.column(2).take(row),
-                    pa.array((np.asarray(part.column(3))[body] + low)),
-                    pa.array(number),
-                    pa.array(mix(whole + mix(place)).view(np.int64)),
-                    pa.array((core + mix(shared.astype(np.uint64))).view(np.int64)),
-                    lists,
-                ],
-                ["doc_id", "hash", "gram", "low", "number", "whole", "core", "keys"],
-            )
+
+    def run(batches):
+        hasher = Hasher()
+        for batch in batches:
+            for k in range(0, batch.num_rows, ARRIVING):
+                part = batch.slice(k, ARRIVING)
+                gram = np.asarray(part.column(2)).view(np.uint64)
+                shift = np.asarray(part.column(4)).astype(np.int64)
+                bodies = part.column(5).to_pylist()
+                keys, owner, inner = window_keys(hasher, bodies, shift, gram, window)
+                size = np.array([len(b) for b in bodies], np.int64)
+                begin = np.cumsum(size) - size
+                block = (shift[owner] - inner) // PIECE
+                new = np.append(True, (block[1:] != block[:-1]) | (owner[1:] != owner[:-1]))
+                first = np.flatnonzero(new)
+                number = np.diff(np.append(first, len(keys)))
+                body, low = owner[first], inner[first]
+                where = begin[body] + low
+                place = (shift[body] - low).astype(np.uint64) << np.uint64(16) | number.astype(np.uint64)
+                whole = hasher.at(where, where + number + window - 1)
+                # what every window of the aligned piece covers, however the run cuts the piece
+                shared = (shift[body] - low) // PIECE * PIECE
+                a = begin[body] + shift[body] - shared
+                core = hasher.at(a, a - PIECE + 1 + window)
+                row = pa.array(body)
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.append(first, len(keys)).astype(np.int32)), pa.array(keys.view(np.int64))
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(row),
+                        part.column(1).take(row),
+                        part.column(2).take(row),
+                        pa.array((np.asarray(part.column(3))[body] + low)),
+                        pa.array(number),
+                        pa.array(mix(whole + mix(place)).view(np.int64)),
+                        pa.array((core + mix(shared.astype(np.uint64))).view(np.int64)),
+                        lists,
+                    ],
+                    ["doc_id", "hash", "gram", "low", "number", "whole", "core", "keys"],
+                )
+
+    return run
 
 
 def _repeated_counts(rows: DataFrame, label: str, *keys: str) -> DataFrame:
@@ -341,12 +373,12 @@ def _repeated_counts(rows: DataFrame, label: str, *keys: str) -> DataFrame:
     return stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), label)
 
 
-def _crowded_spans(bodies: DataFrame, id_type: T.DataType) -> DataFrame:
+def _crowded_spans(bodies: DataFrame, id_type: T.DataType, window: int) -> DataFrame:
     """The spans ``_scan_bucket`` would find, by counting pieces and then single windows."""
     schema = _schema(id_type, "hash long, gram long, low long, number long, whole long, core long, keys array<long>")
-    pieces = stored(bodies.mapInArrow(_pieces, schema), "pieces")
+    pieces = stored(bodies.mapInArrow(_pieces(window), schema), "pieces")
     whole = _repeated_counts(pieces, "whole", "gram", "whole")
-    stop = F.col("low") + F.col("number") - 1 + WINDOW
+    stop = F.col("low") + F.col("number") - 1 + window
     full = pieces.join(whole, ["gram", "whole"]).select("doc_id", "hash", F.col("low").alias("begin"), stop.alias("stop"))
     core = _repeated_counts(pieces, "core", "gram", "core")
     rims = pieces.join(whole, ["gram", "whole"], "left_anti").join(core, ["gram", "core"], "left_semi")
@@ -357,20 +389,23 @@ def _crowded_spans(bodies: DataFrame, id_type: T.DataType) -> DataFrame:
     single = rims.select("doc_id", "hash", "low", F.posexplode("keys").alias("at", "key"))
     begin = F.col("low") + F.col("at")
     found = single.join(repeated, "key").select(
-        "doc_id", "hash", begin.alias("begin"), (begin + WINDOW).alias("stop")
+        "doc_id", "hash", begin.alias("begin"), (begin + window).alias("stop")
     )
     return full.unionByName(found)
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
+) -> DataFrame:
     """doc_id, hash (of the text), spans: byte ranges that occur elsewhere, not yet merged.
 
     One row per distinct (id, text) that has any.
     """
+    sizes = Sizes.of(window)
     slim = _slim(docs, id_col, text_col)
     id_type = slim.schema["doc_id"].dataType
     fields = "hash long, gram long, whole long, low long, number int, shift int"
-    runs = stored(slim.mapInArrow(_cut, _schema(id_type, fields)), "runs")
+    runs = stored(slim.mapInArrow(_cut(sizes), _schema(id_type, fields)), "runs")
     shared = runs.join(_repeated_counts(runs, "grams", "gram"), "gram", "left_semi")
     shared = stored(shared, "shared-runs")
     kinds = stored(
@@ -381,7 +416,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "kinds",
     )
     equal = stored(kinds.where("n > 1").select("gram", "whole"), "equal-runs")
-    stop = F.col("low") + F.col("number") - 1 + WINDOW
+    stop = F.col("low") + F.col("number") - 1 + window
     full = shared.join(equal, ["gram", "whole"], "left_semi").select(
         "doc_id", "hash", F.col("low").alias("begin"), stop.alias("stop")
     )
@@ -396,19 +431,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         slim.alias("t")
         .join(wanted.hint("shuffle_hash").alias("w"), _same("t", "w"))
         .select("t.doc_id", "t.hash", "t.bytes", "w.wanted")
-        .mapInArrow(_bodies, _schema(id_type, "hash long, gram long, low long, shift int, body binary"))
+        .mapInArrow(_bodies(window), _schema(id_type, "hash long, gram long, low long, shift int, body binary"))
     )
     bodies = stored(found, "bodies")
     crowded = stored(variety.where(F.col("kinds") > CROWDED).select("gram"), "crowded-grams")
     ordinary = bodies.join(crowded, "gram", "left_anti").select(bodies.columns)
     tasks = partitions_for(bodies.count(), REPRESENTATIVES)
     scanned = ordinary.repartition(tasks, "gram").mapInArrow(
-        _scan_bucket, _schema(id_type, "hash long, begin long, stop long")
+        _scan_bucket(window), _schema(id_type, "hash long, begin long, stop long")
     )
     spans = full.unionByName(scanned)
     if not crowded.isEmpty():
         rims = bodies.join(crowded, "gram").select(bodies.columns)
-        spans = spans.unionByName(_crowded_spans(rims, id_type))
+        spans = spans.unionByName(_crowded_spans(rims, id_type, window))
     return spans.groupBy("doc_id", "hash").agg(
         F.collect_set(F.struct("begin", "stop")).alias("spans")
     )
@@ -455,14 +490,18 @@ def _apply(batches):
             )
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
+) -> DataFrame:
     """doc_id, n_bytes, removed (byte spans in order), kept (binary): one row per input row.
 
+    Bytes go that a string of ``window`` bytes covers which also starts anywhere else.
+
     Null texts are empty. Rows that repeat an id and a text are copies of each other, so
     all they share goes from each of them. Texts shorter than a window are left alone.
     """
     slim = _slim(docs, id_col, text_col)
-    spans = repeated_spans(docs, id_col, text_col)
+    spans = repeated_spans(docs, id_col, text_col, window)
     joined = (
         slim.alias("t")
         .join(spans.hint("shuffle_hash").alias("s"), _same("t", "s"), "left")
@@ -472,14 +511,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.mapInArrow(_apply, schema)
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated passages cut from the texts; columns unchanged.
+def drop_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW
+) -> DataFrame:
+    """``docs`` with repeated passages of ``window`` bytes or more cut from the texts; columns unchanged.
 
     A character that a cut leaves incomplete is dropped. Null texts stay null, and
     ``n_chars``, if there, follows the text.
     """
     names, at = docs.columns, docs.columns.index(text_col)
-    spans = repeated_spans(docs, id_col, text_col)
+    spans = repeated_spans(docs, id_col, text_col, window)
     keyed = docs.withColumn("__hash", F.xxhash64(F.col(text_col).cast("string")))
     same = F.col(f"t.{id_col}").eqNullSafe(F.col("s.doc_id")) & (F.col("t.__hash") == F.col("s.hash"))
     joined = keyed.alias("t").join(spans.hint("shuffle_hash").alias("s"), same, "left")
