@@ -2,9 +2,10 @@
 
 A word is read through words and characters: log-odds of the word and of its character
 n-grams between the labels, a learned vector of the word and learned vectors of its
-characters. A bidirectional GRU runs over windows of words, attention pools each window,
-and a document scores as its most toxic window. All overlapping windows of a text are
-scored. Labels hold for documents, so training learns from each document's highest window
+characters. Attention pools windows of words over the states of a bidirectional GRU, and a
+document scores as its most toxic window. Windows start at every word. They share the
+recurrent steps: the network runs over stripes, each as long as all windows that start in its
+first ``STARTS`` words, and pooling a window takes two differences of running sums. Labels hold for documents, so training learns from each document's highest window
 (multiple-instance learning), on a bounded sample of labelled rows.
 """
 
@@ -27,10 +28,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: labelled documents per class in training, and the longest such document in characters
 PER_CLASS, LONGEST = 1500, 20_000
-#: words per window; windows start every STRIDE words
-WINDOW, STRIDE = 32, 16
-#: documents of a scoring batch, windows of a pass through the network
-DOCS, PASS = 128, 4096
+#: words per window, windows per stripe (one starts at each word), words per stripe
+WINDOW, STARTS = 32, 32
+STRIPE = WINDOW + STARTS - 1
+#: documents of a scoring batch, stripes of a pass through the network
+DOCS, PASS = 128, 2048
 HIDDEN, ATTENTION = 8, 8
 CHARS, CHAR_SIZE = 256, 6
 WORDS, WORD_SIZE = 4096, 4
@@ -40,6 +42,10 @@ BUCKETS, LEAST, SURE, CLIP = 1 << 18, 5, 4.0, 6.0
 GRAMS = (3, 4, 5)
 #: rounds over the sample and least number of steps, windows per step, step size
 EPOCHS, STEPS, BATCH, RATE = 5, 160, 96, 0.01
+#: windows of each clean document besides its highest, drawn anew in every round
+ANY = 1
+#: neighbouring windows whose mean logit is a place's
+TOGETHER = 8
 _WORD = re.compile(r"\w+")
 
 
@@ -91,18 +97,20 @@ def log_odds(seen: Iterable[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return np.clip(odds, -CLIP, CLIP).astype(np.float32) / 2
 
 
-def windows_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of every window (-1 where there is none) and the window's document."""
-    count = [1 + max(0, -(-(len(d) - WINDOW) // STRIDE)) for d in docs]
-    out = np.full((sum(count), WINDOW), -1, np.int64)
+def stripes_of(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word numbers of every stripe (-1 where there is none), its document, its windows."""
+    windows = np.array([max(1, len(d) - WINDOW + 1) for d in docs], np.int64)
+    number = -(-windows // STARTS)
+    out = np.full((int(number.sum()), STRIPE), -1, np.int64)
     at = 0
-    for d, n in zip(docs, count):
-        need = (n - 1) * STRIDE + WINDOW
-        padded = np.full(need, -1, np.int64)
+    for d, n in zip(docs, number.tolist()):
+        padded = np.full((n - 1) * STARTS + STRIPE, -1, np.int64)
         padded[: len(d)] = d
-        out[at : at + n] = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::STRIDE]
+        out[at : at + n] = np.lib.stride_tricks.sliding_window_view(padded, STRIPE)[::STARTS]
         at += n
-    return out, np.repeat(np.arange(len(docs)), count)
+    owner = np.repeat(np.arange(len(docs)), number)
+    before = (np.arange(len(owner)) - np.repeat(np.cumsum(number) - number, number)) * STARTS
+    return out, owner, np.minimum(STARTS, windows[owner] - before)
 
 
 def _sigmoid(x):
@@ -155,11 +163,11 @@ class Network:
         out[:, 3 + CHAR_SIZE :] = self.p["words"][(lex.hash % np.uint64(WORDS)).astype(np.int64)]
         return out
 
-    def forward(self, inputs: np.ndarray, windows: np.ndarray, keep: bool = False):
-        """Logit of every window; ``keep`` also gives what ``gradients`` needs."""
-        p, (n, steps) = self.p, windows.shape
+    def _states(self, inputs: np.ndarray, stripes: np.ndarray, keep: bool):
+        """States of both directions at every word; ``keep`` also fills the tape of all steps."""
+        p, (n, steps) = self.p, stripes.shape
         table = np.vstack([inputs, np.zeros((1, inputs.shape[1]), np.float32)])  # the last: no word
-        mask = windows >= 0
+        mask = stripes >= 0
         full = mask.all(axis=0)
         states = np.zeros((steps, n, 2 * HIDDEN), np.float32)
         tape = []
@@ -167,7 +175,7 @@ class Network:
             gates = table @ p["W" + d] + p["b" + d]
             h = np.zeros((n, HIDDEN), np.float32)
             for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-                gx, hu = gates[windows[:, t]], h @ p["U" + d]
+                gx, hu = gates[stripes[:, t]], h @ p["U" + d]
                 zr = _sigmoid(gx[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
                 z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
                 hn = hu[:, 2 * HIDDEN :] + p["n" + d]
@@ -179,16 +187,37 @@ class Network:
                     tape.append((d, t, h, z, r, hn, cand))
                 h = new
                 states[t, :, side * HIDDEN : (side + 1) * HIDDEN] = h
+        return table, mask, states, tape
+
+    def forward(self, inputs: np.ndarray, stripes: np.ndarray, at: np.ndarray):
+        """Logit of one window of each stripe, from word ``at`` on, and what ``gradients`` needs."""
+        p = self.p
+        table, mask, states, tape = self._states(inputs, stripes, True)
         hidden = np.tanh(states @ p["A"] + p["a"])
-        score = np.where(mask.T, hidden @ p["v"], np.float32(-np.inf))
-        top = np.where(mask.any(axis=1), score.max(axis=0), 0)
+        word = np.arange(stripes.shape[1])[:, None]
+        inside = mask.T & (word >= at) & (word < at + WINDOW)
+        score = np.where(inside, hidden @ p["v"], np.float32(-np.inf))
+        top = np.where(inside.any(axis=0), score.max(axis=0), 0)
         weight = np.exp(score - top)
         weight /= np.maximum(weight.sum(axis=0), np.float32(1e-30))
         pooled = np.einsum("tn,tnh->nh", weight, states)
-        logit = pooled @ p["w"] + p["c"]
-        return (logit, (table, mask, states, tape, hidden, weight, pooled)) if keep else logit
+        return pooled @ p["w"] + p["c"], (table, mask, states, tape, hidden, weight, pooled)
 
-    def gradients(self, lex: Lexicon, windows: np.ndarray, kept, slope: np.ndarray) -> dict:
+    def _all_windows(self, inputs: np.ndarray, stripes: np.ndarray) -> np.ndarray:
+        """Logits of all windows of each stripe; a logit is linear in what attention pools."""
+        p = self.p
+        _, mask, states, _ = self._states(inputs, stripes, False)
+        score = np.where(mask.T, np.tanh(states @ p["A"] + p["a"]) @ p["v"], -np.inf).astype(float)
+        top = np.where(mask.any(axis=1), score.max(axis=0), 0)
+        weight = np.exp(score - top)
+        sums = []
+        for x in (weight, weight * (states @ p["w"])):
+            total = np.zeros((len(x) + 1, x.shape[1]))
+            np.cumsum(x, axis=0, out=total[1:])
+            sums.append(total[WINDOW:] - total[:-WINDOW])
+        return (sums[1] / np.maximum(sums[0], 1e-30) + p["c"]).T
+
+    def gradients(self, lex: Lexicon, stripes: np.ndarray, kept, slope: np.ndarray) -> dict:
         """Gradients of the sum of ``slope * logit``."""
         p, (table, mask, states, tape, hidden, weight, pooled) = self.p, kept
         g = {"c": slope.sum(keepdims=True), "w": pooled.T @ slope}
@@ -206,7 +235,7 @@ class Network:
             for name in ("U", "n"):
                 g[name + d] = np.zeros_like(p[name + d])
             d_gates = np.zeros((len(table), 3 * HIDDEN), np.float32)
-            dh = np.zeros((len(windows), HIDDEN), np.float32)
+            dh = np.zeros((len(stripes), HIDDEN), np.float32)
             for _, t, h, z, r, hn, cand in [x for x in reversed(tape) if x[0] == d]:
                 dh = dh + d_states[t, :, side * HIDDEN : (side + 1) * HIDDEN]
                 on = mask[:, t, None]
@@ -219,7 +248,7 @@ class Network:
                 g["U" + d] += h.T @ dhu
                 g["n" + d] += (dn * r).sum(axis=0)
                 dh = dh + dhu @ p["U" + d].T
-                np.add.at(d_gates, windows[:, t], np.hstack([dz, dr, dn]))
+                np.add.at(d_gates, stripes[:, t], np.hstack([dz, dr, dn]))
             g["W" + d] = table.T @ d_gates
             g["b" + d] = d_gates.sum(axis=0)
             d_table += d_gates @ p["W" + d].T
@@ -238,17 +267,28 @@ class Network:
         )
         return g
 
-    def window_logits(self, inputs: np.ndarray, windows: np.ndarray) -> np.ndarray:
-        parts = [self.forward(inputs, windows[k : k + PASS]) for k in range(0, len(windows), PASS)]
-        return np.concatenate(parts) if parts else np.zeros(0, np.float32)
+    def window_logits(self, inputs: np.ndarray, stripes: np.ndarray, windows: np.ndarray) -> np.ndarray:
+        """Logits of all windows by stripe and start; minus infinity where no window starts."""
+        parts = [self._all_windows(inputs, stripes[k : k + PASS]) for k in range(0, len(stripes), PASS)]
+        logits = np.concatenate([np.zeros((0, STARTS)), *parts])
+        return np.where(np.arange(STARTS) < windows[:, None], logits, -np.inf)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Toxicity of whole texts: that of the highest of all overlapping windows."""
+        """Toxicity of whole texts: that of the highest ``TOGETHER`` neighbours of all windows.
+
+        A toxic passage lies in many overlapping windows, a chance pattern in few.
+        """
         lex = Lexicon(texts)
-        windows, owner = windows_of(lex.docs)
-        logits = self.window_logits(self.word_inputs(lex), windows)
-        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        return _sigmoid(np.maximum.reduceat(logits, first).astype(float))
+        stripes, owner, windows = stripes_of(lex.docs)
+        logits = self.window_logits(self.word_inputs(lex), stripes, windows)
+        flat = logits[np.arange(STARTS) < windows[:, None]]
+        total = np.concatenate([[0.0], np.cumsum(flat)])
+        stop = np.cumsum(np.bincount(owner, windows, len(texts)).astype(np.int64))
+        out = np.empty(len(texts))
+        for i, (a, b) in enumerate(zip([0, *stop.tolist()], stop.tolist())):
+            k = min(TOGETHER, b - a)
+            out[i] = (total[a + k : b + 1] - total[a : b + 1 - k]).max() / k
+        return _sigmoid(out)
 
 
 def without_copies(texts: list[str], labels: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -289,7 +329,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
         log_odds((grams(d) for d in distinct), labels),
         seed,
     )
-    windows, owner = windows_of(lex.docs)
+    stripes, owner, windows = stripes_of(lex.docs)
     first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     rng = np.random.default_rng(seed)
     mean = {k: np.zeros_like(x) for k, x in net.p.items()}
@@ -297,19 +337,23 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Network:
     step = 0
     parts = max(4, 2 * len(labels) // BATCH)
     for _ in range(max(EPOCHS, STEPS // parts)):
-        logits = net.window_logits(net.word_inputs(lex), windows)
-        order = np.lexsort((-logits, owner))
-        chosen = order[first]  # each document's highest window
-        any_ = first + (rng.random(len(first)) * np.diff(np.append(first, len(owner)))).astype(int)
-        clean = np.flatnonzero(labels == 0)
-        rows = np.concatenate([chosen, any_[clean]])
+        logits = net.window_logits(net.word_inputs(lex), stripes, windows)
+        order = np.lexsort((-logits.max(axis=1), owner))
+        chosen = order[first]  # the stripe of each document's highest window
+        # of a clean document any window is clean
+        clean = np.repeat(np.flatnonzero(labels == 0), ANY)
+        stripes_per = np.diff(np.append(first, len(owner)))
+        any_ = first[clean] + (rng.random(len(clean)) * stripes_per[clean]).astype(int)
+        rows = np.concatenate([chosen, any_])
+        anywhere = (rng.random(len(clean)) * windows[any_]).astype(int)
+        begin = np.concatenate([logits[chosen].argmax(axis=1), anywhere])
         truth = np.concatenate([labels, labels[clean]]).astype(np.float32)
         for part in np.array_split(rng.permutation(len(rows)), parts):
-            small, back = np.unique(windows[rows[part]], return_inverse=True)
+            small, back = np.unique(stripes[rows[part]], return_inverse=True)
             shift = int(small[0] < 0)
-            local = back.reshape(-1, WINDOW) - shift
+            local = back.reshape(-1, STRIPE) - shift
             sub = _part(lex, small[shift:])
-            logit, kept = net.forward(net.word_inputs(sub), local, keep=True)
+            logit, kept = net.forward(net.word_inputs(sub), local, begin[part])
             slope = (_sigmoid(logit) - truth[part]) / np.float32(len(part))
             step += 1
             for k, grad in net.gradients(sub, local, kept, slope).items():

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -21,15 +22,17 @@ def small_network():
 def test_gradients_equal_differences():
     net = small_network()
     lex = toxicity.Lexicon(["one two three two", "", "vier fünf " * 30])
-    windows, _ = toxicity.windows_of(lex.docs)
-    slope = np.linspace(-1, 2, len(windows))
+    stripes, _, windows = toxicity.stripes_of(lex.docs)
+    stripes = np.concatenate([stripes, stripes[2:]])
+    begin = np.concatenate([windows - 1, np.zeros(len(windows) - 2, int)])
+    slope = np.linspace(-1, 2, len(stripes))
 
     def value():
-        return float(net.forward(net.word_inputs(lex), windows) @ slope)
+        return float(net.forward(net.word_inputs(lex), stripes, begin)[0] @ slope)
 
     # inputs are float32, so steps are coarse
-    _, kept = net.forward(net.word_inputs(lex), windows, keep=True)
-    found = net.gradients(lex, windows, kept, slope)
+    _, kept = net.forward(net.word_inputs(lex), stripes, begin)
+    found = net.gradients(lex, stripes, kept, slope)
     rng = np.random.default_rng(2)
     for name, grad in found.items():
         flat = np.abs(grad).ravel()
@@ -44,13 +47,60 @@ def test_gradients_equal_differences():
             assert grad[where] == pytest.approx((up - down) / (2 * step), rel=0.03, abs=2e-3), name
 
 
-def test_windows_cover_every_word_and_overlap():
-    for n in (0, 1, 31, 32, 33, 48, 49, 200):
-        windows, owner = toxicity.windows_of([np.arange(n), np.arange(5)])
-        own = windows[owner == 0]
-        assert set(own[own >= 0].tolist()) == set(range(n))
-        for a, b in zip(own, own[1:]):
-            assert set(a[toxicity.STRIDE :]) <= set(b) | {-1}
+def test_a_window_starts_at_every_word():
+    for n in (0, 1, 31, 32, 33, 63, 64, 65, 200):
+        stripes, owner, windows = toxicity.stripes_of([np.arange(n), np.arange(5)])
+        found = []
+        for row, count in zip(stripes[owner == 0], windows[owner == 0]):
+            found += [row[i : i + toxicity.WINDOW].tolist() for i in range(count)]
+        starts = range(max(1, n - toxicity.WINDOW + 1))
+        assert found == [[i + k if i + k < n else -1 for k in range(toxicity.WINDOW)] for i in starts]
+
+
+def plain_logit(net, inputs, stripe, at):
+    """A window's logit, word by word and unit by unit."""
+    p, size = net.p, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    words = [w for w in stripe.tolist() if w >= 0]
+    states = [[0.0] * (2 * size) for _ in words]
+    for side, d in enumerate("fb"):
+        h = [0.0] * size
+        for t in range(len(words)) if d == "f" else reversed(range(len(words))):
+            x = inputs[words[t]]
+            gate = [sum(x[i] * p["W" + d][i, j] for i in range(len(x))) + p["b" + d][j] for j in range(3 * size)]
+            back = [sum(h[i] * p["U" + d][i, j] for i in range(size)) for j in range(3 * size)]
+            new = []
+            for j in range(size):
+                z, r = sig(gate[j] + back[j]), sig(gate[size + j] + back[size + j])
+                c = math.tanh(gate[2 * size + j] + r * (back[2 * size + j] + p["n" + d][j]))
+                new.append((1 - z) * c + z * h[j])
+            h = new
+            states[t][side * size : (side + 1) * size] = h
+    states = states[at : at + toxicity.WINDOW]
+    scores = []
+    for s in states:
+        hidden = [math.tanh(sum(s[i] * p["A"][i, k] for i in range(len(s))) + p["a"][k]) for k in range(len(p["a"]))]
+        scores.append(math.exp(sum(x * y for x, y in zip(hidden, p["v"]))))
+    pooled = [sum(e * s[i] for e, s in zip(scores, states)) / sum(scores) for i in range(2 * size)] if states else []
+    return sum(x * y for x, y in zip(pooled, p["w"])) + float(p["c"][0])
+
+
+def test_logits_equal_a_plain_forward_pass():
+    net = small_network()
+    lex = toxicity.Lexicon(["one two three two", "", " ".join(f"w{i % 23}" for i in range(90))])
+    inputs = net.word_inputs(lex)
+    stripes, owner, windows = toxicity.stripes_of(lex.docs)
+    logits = net.window_logits(inputs, stripes, windows)
+    for k, at in ((0, 0), (1, 0), (2, 0), (2, 7), (2, 31), (3, 26)):
+        want = plain_logit(net, inputs.astype(float), stripes[k], at)
+        assert logits[k, at] == pytest.approx(want, rel=1e-4, abs=1e-5)
+        one = net.forward(inputs, stripes[k : k + 1], np.array([at]))[0][0]
+        assert one == pytest.approx(want, rel=1e-4, abs=1e-5)
+    assert np.isneginf(logits[0, 1:]).all() and np.isneginf(logits[3, 27:]).all() and len(stripes) == 4
+    last = np.concatenate([logits[2], logits[3, :27]])
+    best = [logits[0, 0], logits[1, 0], max(last[i : i + 8].mean() for i in range(len(last) - 7))]
+    texts = ["one two three two", "", " ".join(f"w{i % 23}" for i in range(90))]
+    assert net.scores(texts) == pytest.approx(1 / (1 + np.exp(-np.array(best))), rel=1e-6)
 
 
 def test_query_on_held_out_documents(spark):
