@@ -266,8 +266,8 @@ def double_booking(events: DataFrame, unit: str = "hour") -> DataFrame:
     )
 
 
-def _moves(events: DataFrame, judge: Column) -> DataFrame:
-    """A row per event and entity that it moves: riders and drivers in one table."""
+def state_moves(events: DataFrame) -> DataFrame:
+    """ts, seq, kind, entity, entity_id, to_state: a row per event and entity that it moves."""
     kind = F.col("kind")
     moves = [
         F.when(
@@ -283,9 +283,7 @@ def _moves(events: DataFrame, judge: Column) -> DataFrame:
         )
     ]
     moved = F.explode(F.array_compact(F.array(*moves))).alias("m")
-    return events.select(judge.alias("_judge"), "ts", "seq", "kind", moved).select(
-        "_judge", "ts", "seq", "kind", "m.*"
-    )
+    return events.select("ts", "seq", "kind", moved).select("ts", "seq", "kind", "m.*")
 
 
 def _legal(moves) -> Column:
@@ -293,18 +291,11 @@ def _legal(moves) -> Column:
     return step.isin(*[f"{a}>{b}" for a, b in moves])
 
 
-def illegal_transitions(
-    events: DataFrame, unit: str = "hour", judge: Column | None = None
-) -> DataFrame:
-    """Events that move a rider or driver against the lifecycle.
+def illegal_moves(moves: DataFrame) -> DataFrame:
+    """Of moves with the state before them (``from_state``, null for none) those against the lifecycle.
 
-    A rider starts by waiting; a driver starts idle. Rows where ``judge`` is false
-    only supply the state before the others.
+    A rider starts by waiting; a driver starts idle.
     """
-    rows = _moves(events, F.lit(True) if judge is None else judge)
-    states = previous_value(
-        rows, ["entity", "entity_id"], list(ORDER), F.col("to_state"), "from_state", unit
-    )
     before, after = F.col("from_state"), F.col("to_state")
     rider = F.col("entity") == "rider"
     start = F.when(rider, before).otherwise(F.coalesce(before, F.lit("idle")))
@@ -313,12 +304,15 @@ def illegal_transitions(
         .when(rider, ~_legal(RIDER_MOVES))
         .otherwise(~_legal(DRIVER_MOVES))
     )
-    return (
-        states.where("_judge")
-        .withColumn("from_state", start)
-        .where(illegal)
-        .select(*ILLEGAL_COLUMNS)
+    return moves.withColumn("from_state", start).where(illegal).select(*ILLEGAL_COLUMNS)
+
+
+def illegal_transitions(events: DataFrame, unit: str = "hour") -> DataFrame:
+    """Events that move a rider or driver against the lifecycle."""
+    moves = previous_value(
+        state_moves(events), ["entity", "entity_id"], list(ORDER), F.col("to_state"), "from_state", unit
     )
+    return illegal_moves(moves)
 
 
 # ---- run metrics ---------------------------------------------------------------

@@ -519,7 +519,7 @@ def draw_destinations(t):
 
 def _log_stream(t):
     path = t.in_order("live-log", t.log, "ts")
-    return runs.read_stream(t.spark, path, t.log().schema, files_per_batch=1)
+    return runs.stream_in_order(t.spark, path, t.log().schema)
 
 
 @query
@@ -531,7 +531,7 @@ def live_ride_metrics(t):
 @query
 def live_hourly_counts(t):
     path = t.in_order("live-events", lambda: t.events, "ts")
-    events = runs.read_stream(t.spark, path, t.events.schema, files_per_batch=1)
+    events = runs.stream_in_order(t.spark, path, t.events.schema)
     stream = events.select("ts", (F.col("user_id") % 263 + 1).alias("zone"))
     return live.latest_counts(
         runs.run_update(live.live_hourly_counts(stream, "zone", "ts"), "hourly")
@@ -552,7 +552,7 @@ def live_illegal_transitions(t):
 @query
 def live_unique_trips(t):
     path = t.in_order("live-trips", t.raw, "tpep_pickup_datetime")
-    raw = runs.read_stream(t.spark, path, t.raw().schema, files_per_batch=1)
+    raw = runs.stream_in_order(t.spark, path, t.raw().schema)
     return runs.run_append(live.live_unique_trips(raw, td.START, td.END), "unique")
 
 

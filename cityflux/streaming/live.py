@@ -6,27 +6,26 @@ timestamps.
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from ..constants import (
-    CANCELLED,
-    COMPLETED,
-    DRIVER_STATE,
-    MATCHED,
-    PATIENCE_MIN,
-    REQUESTED,
-    RIDER_STATE,
-)
+import sys
+from collections.abc import Iterator
+
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..constants import CANCELLED, COMPLETED, MATCHED, PATIENCE_MIN, REQUESTED
 from ..functions import clock
 from ..functions.numbers import ratio
 from ..operators.cleaning import CleaningRules, filter_trips
-from ..operators.events import ILLEGAL_DDL, illegal_transitions, patience_cancels, ride_metrics
+from ..operators.events import illegal_moves, patience_cancels, ride_metrics, state_moves
 from ..session import scratch_path
 from ..sources import files
 
 
+# Tasks get the processor by value: executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _event_time(stream: DataFrame, ts: str, delay: str) -> DataFrame:
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
@@ -164,146 +163,146 @@ def finish_patience(found: DataFrame, log: DataFrame, patience_min: float = PATI
 
 # ---- lifecycle check -----------------------------------------------------------
 
-#: batches after which the state is written as a whole; between them, only changes
-SNAPSHOT = 10
-_STATE = "entity STRING, entity_id BIGINT, seq BIGINT, kind STRING, ts TIMESTAMP_NTZ"
+_EVENTS = "seq BIGINT, kind STRING, ts TIMESTAMP_NTZ, rider_id BIGINT, driver_id BIGINT"
+_MOVES = (
+    "entity STRING, entity_id BIGINT, us BIGINT, seq BIGINT, kind STRING, from_state STRING, "
+    "to_state STRING, is_late BOOLEAN"
+)
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: a time that moves the watermark past every event
+_END = "9000-01-01 00:00:00"
 
 
-def _last_events(log: DataFrame) -> DataFrame:
-    """The last event of every rider and of every driver, one row each."""
-    tags = [
-        F.when(
-            F.col(own).isNotNull() & F.col("kind").isin(*states),
-            F.struct(F.lit(entity).alias("entity"), F.col(own).alias("entity_id")),
-        )
-        for entity, own, states in (
-            ("rider", "rider_id", RIDER_STATE), ("driver", "driver_id", DRIVER_STATE)
-        )
-    ]
-    seen = log.select("seq", "kind", "ts", F.explode(F.array_compact(F.array(*tags))).alias("e"))
-    return _newest(seen.select("e.*", "seq", "kind", "ts"))
+class InOrder(StatefulProcessor):
+    """Gives every move of an entity the state before it, in the order of event times.
 
+    Moves wait in the state until a timer says that the watermark has passed them; the
+    state after the last one given out never expires. A move that comes when the
+    watermark has passed its time cannot be put in order any more and is given out as late.
+    """
 
-def _newest(states: DataFrame) -> DataFrame:
-    last = states.groupBy("entity", "entity_id").agg(
-        F.max_by(F.struct("seq", "kind", "ts"), F.struct("ts", "seq")).alias("s")
-    )
-    return last.select("entity", "entity_id", "s.*")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us BIGINT, seq BIGINT, kind STRING, to_state STRING")
+        self.last = handle.getValueState("last", "state STRING")
 
+    def _row(self, key, move: tuple, before: str | None, is_late: bool) -> Row:
+        us, seq, kind, to_state = move
+        return Row(
+            entity=key[0], entity_id=key[1], us=us, seq=seq, kind=kind, from_state=before,
+            to_state=to_state, is_late=is_late,
+        )
 
-def _as_log(states: DataFrame) -> DataFrame:
-    """States as the events they came from, one entity each."""
-    own = {"rider_id": "rider", "driver_id": "driver"}
-    return states.select(
-        "seq",
-        "kind",
-        "ts",
-        *[F.when(F.col("entity") == e, F.col("entity_id")).alias(c) for c, e in own.items()],
+    def _wake(self, us: int) -> None:
+        self.handle.registerTimer(us // 1000 + 1)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs()
+        new = []
+        for r in rows:
+            if r.us // 1000 < mark:
+                yield self._row(key, (r.us, r.seq, r.kind, r.to_state), None, True)
+            else:
+                new.append((r.us, r.seq, r.kind, r.to_state))
+        if new:
+            self.waiting.appendList(new)
+            self._wake(min(new)[0])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs()
+        moves = sorted(tuple(x) for x in self.waiting.get())
+        due = [x for x in moves if x[0] // 1000 < mark]
+        if not due:
+            return
+        state = self.last.get() if self.last.exists() else (None,)
+        for move in due:
+            yield self._row(key, move, state[0], False)
+            state = move[-1:]
+        self.last.update(state)
+        if len(due) == len(moves):
+            self.waiting.clear()
+        else:
+            self.waiting.put(moves[len(due) :])
+            self._wake(moves[len(due)][0])
+
+    def close(self) -> None:
+        pass
+
+
+def moves_in_order(stream: DataFrame, delay: str) -> DataFrame:
+    """The moves of riders and drivers with the state before each, once the watermark (the newest
+    time less ``delay``) has passed them. Which rows name whom, and what state a kind of event
+    means, are columns; only the waiting and the order are in the processor."""
+    timed = _event_time(stream.select("seq", "kind", "ts", "rider_id", "driver_id"), "ts", delay)
+    # without the time column itself late rows reach the processor, which tells them apart
+    moves = state_moves(timed).select(
+        "entity", "entity_id", F.unix_micros("ts").alias("us"), "seq", "kind", "to_state"
+    )
+    return moves.groupBy("entity", "entity_id").transformWithState(
+        statefulProcessor=InOrder(), outputStructType=_MOVES, outputMode="append", timeMode="eventTime"
     )
 
 
 class LifecycleCheck:
-    """Judges events in the order of their times, whatever batch brings them.
+    """Illegal moves over a stream, as the batch operator finds them, whatever batch brings an event.
 
-    Events wait until the watermark (the newest time seen, less ``delay``) has passed
-    them; then they are judged by the batch operator after the last event of each entity
-    they name. That state never expires. An event that comes after the watermark has
-    passed its time cannot be put in order any more; it is kept in the table ``late``.
-
-    Batch N reads only what batch N - 1 and the last state snapshot wrote and overwrites
-    its own folders, so a repeated batch gives the same result. ``finish`` judges what
-    still waits when the input has ended.
+    All state is in the query's state store under ``out``: a run that was stopped goes on from
+    its checkpoint, also in another session. ``finish`` ends the input: one last batch moves
+    the watermark past everything that still waits.
     """
 
-    def __init__(self, spark: SparkSession, out: str, delay: str) -> None:
-        self.spark, self.out, self.delay = spark, out, F.expr(f"INTERVAL {delay}")
-
-    def _read(self, part: str, epoch: int, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.out}/{part}/epoch={epoch}")
-
-    def _state(self, epoch: int) -> DataFrame | None:
-        """State after ``epoch``: the last snapshot and the changes since."""
-        if epoch < 0:
-            return None
-        first = epoch - epoch % SNAPSHOT
-        parts = [self._read("state", e, _STATE) for e in range(first, epoch + 1)]
-        return parts[0] if len(parts) == 1 else _newest(reduce(DataFrame.unionByName, parts))
-
-    def judge(self, batch: DataFrame, epoch: int, ended: bool = False) -> None:
-        new = batch.select("seq", "kind", "ts", "rider_id", "driver_id")
-        mark = F.lit(None).cast("timestamp_ntz")
-        pool = new.withColumn("is_late", F.lit(False))
-        if epoch:
-            old = self._read("events", epoch - 1, _EVENTS).where("part = 'waits'").drop("part")
-            before = self._read("mark", epoch - 1, "mark TIMESTAMP_NTZ").head()[0]
-            mark = F.lit(before).cast("timestamp_ntz")
-            late = F.coalesce(F.col("ts") < mark, F.lit(False))
-            pool = new.withColumn("is_late", late).unionByName(old.withColumn("is_late", F.lit(False)))
-        newest = pool.agg(F.greatest(F.max("ts") - self.delay, mark).alias("mark"))
-        newest.write.mode("overwrite").parquet(f"{self.out}/mark/epoch={epoch}")
-        passed = F.lit(self._read("mark", epoch, "mark TIMESTAMP_NTZ").head()[0]).cast("timestamp_ntz")
-        ready = F.lit(True) if ended else F.coalesce(F.col("ts") < passed, F.lit(False))
-        part = F.when(F.col("is_late"), "late").when(ready, "ready").otherwise("waits")
-        split = pool.withColumn("part", part).drop("is_late")
-        split.write.mode("overwrite").partitionBy("part").parquet(f"{self.out}/events/epoch={epoch}")
-
-        due = self._read("events", epoch, _EVENTS).where("part = 'ready'").drop("part")
-        changed, state, log = _last_events(due), self._state(epoch - 1), due.withColumn("is_new", F.lit(True))
-        if state is not None:
-            known = state.join(changed, ["entity", "entity_id"], "left_semi")
-            log = _as_log(known).withColumn("is_new", F.lit(False)).unionByName(log)
-            if epoch % SNAPSHOT == 0:
-                changed = _newest(state.unionByName(changed))
-        found = illegal_transitions(log, judge=F.col("is_new"))
-        found.write.mode("overwrite").parquet(f"{self.out}/rows/epoch={epoch}")
-        changed.write.mode("overwrite").parquet(f"{self.out}/state/epoch={epoch}")
-        self._forget(epoch)
-
-    def _forget(self, epoch: int) -> None:
-        """Remove what no later batch can read: waiting events, and state before a snapshot."""
-        files.delete(self.spark, f"{self.out}/mark/epoch={epoch - 2}")
-        for part in ("ready", "waits"):
-            files.delete(self.spark, f"{self.out}/events/epoch={epoch - 2}/part={part}")
-        if epoch % SNAPSHOT == 1:
-            for e in range(max(0, epoch - 1 - SNAPSHOT), epoch - 1):
-                files.delete(self.spark, f"{self.out}/state/epoch={e}")
-
-    def finish(self, epoch: int, schema) -> None:
-        self.judge(self.spark.createDataFrame([], schema), epoch, ended=True)
-
-    def late(self) -> DataFrame:
-        """Events that came too late to be judged."""
-        return self.spark.read.schema(f"{_EVENTS}, epoch BIGINT").parquet(f"{self.out}/events").where(
-            "part = 'late'"
+    def __init__(self, spark: SparkSession, out: str, delay: str = "1 hour") -> None:
+        self.spark, self.out, self.delay = spark, out, delay
+        self.ends = f"{out}/ends"
+        if not files.exists(spark, self.ends):
+            spark.createDataFrame([], _EVENTS).write.parquet(self.ends)
+
+    def advance(self, stream: DataFrame) -> None:
+        """Take in what the stream has that was not there before."""
+        names = [x.split()[0] for x in _EVENTS.split(", ")]
+        ends = self.spark.readStream.schema(_EVENTS).parquet(self.ends)
+        moves = moves_in_order(stream.select(*names).unionByName(ends), self.delay)
+        before = self.spark.conf.get(_PROVIDER)
+        self.spark.conf.set(_PROVIDER, _ROCKSDB)
+        try:
+            query = (
+                moves.writeStream.format("parquet")
+                .outputMode("append")
+                .option("path", f"{self.out}/moves")
+                .option("checkpointLocation", f"{self.out}/checkpoint")
+                .trigger(availableNow=True)
+                .start()
+            )
+            query.awaitTermination()
+        finally:
+            self.spark.conf.set(_PROVIDER, before)
+
+    def finish(self, stream: DataFrame) -> None:
+        end = self.spark.range(1).select(
+            *[F.lit(None).cast("bigint").alias(c) for c in ("seq", "rider_id", "driver_id")],
+            F.lit(None).cast("string").alias("kind"),
+            F.lit(_END).cast("timestamp_ntz").alias("ts"),
         )
+        end.write.mode("append").parquet(self.ends)
+        self.advance(stream)
+
+    def _moves(self) -> DataFrame:
+        moves = self.spark.read.schema(_MOVES).parquet(f"{self.out}/moves")
+        return moves.withColumn("ts", F.timestamp_micros("us").cast("timestamp_ntz")).drop("us")
 
+    def found(self) -> DataFrame:
+        return illegal_moves(self._moves().where("NOT is_late"))
 
-_EVENTS = "seq BIGINT, kind STRING, ts TIMESTAMP_NTZ, rider_id BIGINT, driver_id BIGINT, part STRING"
+    def late(self) -> DataFrame:
+        """Moves that came too late to be judged."""
+        return self._moves().where("is_late").select("entity", "entity_id", "ts", "seq", "kind", "to_state")
 
 
 def run_lifecycle_check(stream: DataFrame, label: str, delay: str = "1 hour") -> DataFrame:
     """Illegal moves of riders and drivers over a bounded stream, as the batch operator
     finds them, if no event is later than ``delay``."""
-    spark = stream.sparkSession
-    out = scratch_path(spark, label)
-    check = LifecycleCheck(spark, out, delay)
-    done: list[int] = []
-
-    def judge(batch: DataFrame, epoch: int) -> None:
-        check.judge(batch, epoch)
-        done.append(epoch)
-
-    query = (
-        stream.writeStream.option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .foreachBatch(judge)
-        .start()
-    )
-    query.awaitTermination()
-    check.finish(max(done, default=-1) + 1, stream.schema)
-    return (
-        spark.read.schema(f"{ILLEGAL_DDL}, epoch BIGINT")
-        .option("basePath", f"{out}/rows")
-        .parquet(f"{out}/rows")
-        .drop("epoch")
-    )
+    check = LifecycleCheck(stream.sparkSession, scratch_path(stream.sparkSession, label), delay)
+    check.advance(stream)
+    check.finish(stream)
+    return check.found()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import scratch_path
+from ..sources import files
 
 
 def read_stream(
@@ -58,21 +59,33 @@ def run_update(stream: DataFrame, label: str) -> DataFrame:
 
 
 def save_in_order(df: DataFrame, label: str, ts: str, parts: int = 4) -> str:
-    """A derived table as files in time order, written one after the other, so that a
-    stream of one file per batch reads what a live source would have brought."""
-    path = scratch_path(df.sparkSession, label)
-    whole = save_table(df, f"{label}-whole")
-    rows = df.sparkSession.read.parquet(whole)
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    cuts = rows.select(us.cast("double").alias("us")).approxQuantile(
-        "us", [k / parts for k in range(1, parts)], 0.01
-    )
-    place = sum(((us >= c).cast("int") for c in sorted(set(cuts))), F.lit(0))
-    for k in range(parts):
-        rows.where(place == k).coalesce(1).write.mode("append").parquet(path)
+    """A derived table in slices of time, written one after the other, each by many tasks.
+
+    The table is written once with every file holding a stretch of time, so a slice reads
+    only its own files. ``stream_in_order`` reads about a slice per batch, as a live source
+    would have brought it. Rows without a time are left out.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    rows = spark.read.parquet(save_table(df.repartitionByRange(ts), f"{label}-whole"))
+    us = F.unix_micros(F.col(ts).cast("timestamp")).cast("double")
+    cuts = rows.select(us.alias("us")).approxQuantile("us", [k / parts for k in range(1, parts)], 0.01)
+    kind = rows.schema[ts].dataType
+    borders = [F.timestamp_micros(F.lit(int(c))).cast(kind) for c in sorted(set(cuts))]
+    for low, high in zip([None, *borders], [*borders, None]):
+        inside = F.col(ts).isNotNull()
+        inside = inside if low is None else inside & (F.col(ts) >= low)
+        inside = inside if high is None else inside & (F.col(ts) < high)
+        rows.where(inside).write.mode("append").parquet(path)
     return path
 
 
+def stream_in_order(spark: SparkSession, directory: str, schema, batches: int = 4) -> DataFrame:
+    """The files of a folder as a stream of about ``batches`` batches, oldest files first."""
+    number = sum(name.endswith(".parquet") for name in files.children(spark, directory))
+    return read_stream(spark, directory, schema, files_per_batch=max(1, -(-number // batches)))
+
+
 def save_table(df: DataFrame, label: str) -> str:
     """A derived table written to shared storage, to be streamed from there."""
     path = scratch_path(df.sparkSession, label)

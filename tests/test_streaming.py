@@ -79,24 +79,45 @@ def test_late_events_within_the_delay_are_put_in_order(spark, tmp_path):
     assert ev.illegal_transitions(log).count() == 0 and got.count() == 0
 
 
-def test_events_beyond_the_delay_are_kept_aside(spark, tmp_path):
-    out = str(tmp_path / "out")
-    check = live.LifecycleCheck(spark, out, "1 hour")
-    kind = "seq bigint, kind string, ts timestamp_ntz, rider_id bigint, driver_id bigint"
+def test_events_beyond_the_delay_are_kept_aside_and_a_stopped_run_goes_on(spark, tmp_path):
+    """Three runs over a folder that grows, each from the checkpoint of the one before."""
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
     parts = [
-        [(1, REQUESTED, "2024-01-01T07:00", 1, None)],
-        [(2, REQUESTED, "2024-01-01T10:00", 2, None)],
-        [(3, MATCHED, "2024-01-01T08:00", 1, 5)],
-        *[[(10 + k, REQUESTED, f"2024-01-02T{k:02d}:00", 10 + k, None)] for k in range(20)],
+        [(1, REQUESTED, "2024-01-01T07:00", 1, None), (2, MATCHED, "2024-01-01T07:05", 1, 5)],
+        [(3, REQUESTED, "2024-01-01T10:00", 2, None)],
+        [(4, PICKED_UP, "2024-01-01T08:00", 1, 5)],  # two hours late
+        [(5, REQUESTED, "2024-01-02T00:00", 3, None), (6, COMPLETED, "2024-01-01T23:59", 3, 7)],
+        [(7, COMPLETED, "2024-01-02T01:00", 1, 5)],
     ]
-    for epoch, rows in enumerate(parts):
-        made = [(i, k, datetime.fromisoformat(t), r, d) for i, k, t, r, d in rows]
-        check.judge(spark.createDataFrame(made, kind), epoch)
-    check.finish(len(parts), kind)
-    assert [r.seq for r in check.late().collect()] == [3]
-    state = check._state(len(parts)).collect()
-    assert sorted(r.entity_id for r in state) == [1, 2, *range(10, 30)]
-    assert spark.read.parquet(f"{out}/rows").count() == 0
+    for some in (parts[:2], parts[2:4], parts[4:]):
+        log = batches_of(spark, path, *some)
+        check = live.LifecycleCheck(spark, out, "1 hour")
+        check.advance(stream_of(spark, path))
+    waiting = check.found().count()
+    check.finish(stream_of(spark, path))
+    assert sorted((r.entity, r.entity_id, r.seq) for r in check.late().collect()) == [("driver", 5, 4), ("rider", 1, 4)]
+    want = ev.illegal_transitions(log.where("seq <> 4"))
+    assert want.count() > waiting
+    same(check.found(), want)
+
+
+def test_slices_are_written_by_many_tasks_in_time_order(spark, sf_dir):
+    events = td.table(spark, sf_dir, "events").select("ts", "event_id")
+    small = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "8k",
+             "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    path = runs.save_in_order(events.repartition(6), "slices", "ts")
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    stream = runs.stream_in_order(spark, path, events.schema)
+    got = runs.run_update(stream.groupBy(F.lit(1).alias("k")).agg(F.max("ts").alias("t"), F.count("*").alias("n")), "s")
+    steps = [(r.t, r.n) for r in got.orderBy("epoch").collect()]
+    assert len(steps) >= 3 and steps == sorted(steps) and steps[-1][1] == events.count()
+    whole = spark.read.parquet(path).select("*", F.input_file_name().alias("f"))
+    spans = whole.groupBy("f").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).orderBy("a").collect()
+    assert len(spans) > 4 and all(x.b <= y.a for x, y in zip(spans, spans[1:]))
 
 
 def test_tallies_in_batches(spark, log_path):
