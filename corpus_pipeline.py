@@ -18,6 +18,12 @@ from cityflux.llm.toxicity import drop_toxic
 from cityflux.sources.testdata import table
 
 
+#: bytes of a repeated passage that goes. Passages of over 50 words count as repeats; 51 words of
+#: the given documents have 314 bytes in the median, 238 at the 1 % quantile and 152 at the
+#: 0.1 % quantile (junk of very short words). The operator's own default is 400.
+PASSAGE = 200
+
+
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7; the labels of the same folder train the network."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
@@ -34,8 +40,11 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 400 bytes or more that occur elsewhere."""
-    return drop_repeats(docs)
+    """Texts without the passages of ``PASSAGE`` bytes or more that occur elsewhere.
+
+    Texts that become equal or empty by the cuts stay: the row keeps its id.
+    """
+    return drop_repeats(docs, window=PASSAGE)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
