@@ -4,12 +4,14 @@ import numpy as np
 import pytest
 from test_packing import reference_ids
 from test_simhash import plain_classes, plain_fingerprint
-from test_suffix_dedup import W
 
 import corpus_pipeline
 from cityflux.llm import toxicity
 
 
+W = corpus_pipeline.PASSAGE
+
+
 def cut_repeats(texts):
     """Texts without bytes of windows that occur twice, incomplete characters dropped."""
     data = [t.encode() for t in texts]

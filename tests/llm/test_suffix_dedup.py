@@ -11,7 +11,7 @@ from cityflux.llm.queries import QUERIES
 W = suffix_dedup.WINDOW
 
 
-def plain(texts):
+def plain(texts, W=W):
     """(bytes, removed, spans, digest of the rest) of each text, by counting all windows."""
     data = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + W] for b in data for i in range(len(b) - W + 1))
@@ -35,8 +35,9 @@ def rows_of(df):
     return sorted(out, key=str)
 
 
-def check(docs, ids, texts):
-    assert rows_of(suffix_dedup.remove_repeats(docs)) == sorted(zip(ids, plain(texts)), key=str)
+def check(docs, ids, texts, window=W):
+    got = rows_of(suffix_dedup.remove_repeats(docs, window=window))
+    assert got == sorted(zip(ids, plain(texts, window)), key=str)
 
 
 def test_query_equals_brute_force(spark):
@@ -79,6 +80,26 @@ def test_random_corpora_equal_brute_force(spark, monkeypatch, setting):
     check(docs.repartition(5), ids, texts)
 
 
+@pytest.mark.parametrize("window, crowded", [(64, 256), (150, 1), (200, 256), (201, 256)])
+def test_other_lengths_equal_brute_force(spark, monkeypatch, window, crowded):
+    monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
+    texts = corpus(12)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    check(docs.repartition(3), range(len(texts)), texts, window)
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_repeats(docs, window=63)
+
+
+def test_query_shows_what_is_left(spark):
+    path = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    for r in QUERIES["op3_suffix_dedup"](spark, path).collect():
+        if r.n_removed == 0:
+            assert r.text == texts[r.doc_id]
+        else:
+            assert len(r.text.replace("\ufffd", "").encode()) <= r.n_bytes - r.n_removed
+
+
 def test_repeated_rows_and_documents_columns(spark):
     long = "".join(chr(97 + (i * i) % 26) for i in range(3000))
     rows = [(1, "kept é", 5), (2, long, 9), (2, long, 9), (3, None, None), (4, "é" * 50 + long[:600], 1)]
