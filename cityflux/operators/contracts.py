@@ -288,6 +288,7 @@ DEMAND_FEATURES = Contract(
         Field("roll_mean_168h", "double", nullable=True),
     ),
 )
+DEMAND_CARRY = Contract("demand_carry", DEMAND_FEATURES.fields[:3])
 ETA_FEATURES = Contract(
     "eta_features",
     (
@@ -338,5 +339,5 @@ MANIFEST = Contract(
 )
 CONTRACTS = {
     c.name: c
-    for c in (CLEANED_TRIPS, DEMAND_FEATURES, ETA_FEATURES, DEMAND_PROFILE, EVENT_LOG)
+    for c in (CLEANED_TRIPS, DEMAND_FEATURES, DEMAND_CARRY, ETA_FEATURES, DEMAND_PROFILE, EVENT_LOG)
 }

@@ -132,3 +132,58 @@ def demand_features(
     """Counts, dense panel, calendar and strictly-past history; one window sort."""
     panel = dense_grid(hourly_counts(trips), zone_min, zone_max)
     return add_calendar(add_rolling_means(add_lags(panel))).select(*FEATURE_COLUMNS)
+
+
+# ---- month by month ------------------------------------------------------------
+
+#: hours of its past that a row of features depends on
+HISTORY = max(*LAG_HOURS.values(), *ROLL_HOURS.values())
+
+
+def carry_over(panel: DataFrame, hours: int = HISTORY) -> DataFrame:
+    """The panel's last hours per zone: all that the features of later hours depend on.
+
+    A panel that is shorter is kept whole, so rows count from its first hour as in a full build.
+    """
+    newest = panel.agg(F.max("ts").alias("t")).scalar()
+    recent = F.col("ts") > newest - F.expr(f"INTERVAL {int(hours)} HOURS")
+    return panel.where(recent).select(*PANEL_KEYS, "pickups")
+
+
+def later_panel(
+    trips: DataFrame, carry: DataFrame, zone_min: int = ZONE_MIN, zone_max: int = ZONE_MAX
+) -> DataFrame:
+    """(zone_id, ts, pickups) of the hours after ``carry`` up to the last trip, gaps filled.
+
+    Trips at or before the carried hours are refused: months are added in order.
+    """
+    counts = hourly_counts(trips)
+    last = carry.agg(F.max("ts")).first()[0]
+    if last is None:
+        return dense_grid(counts, zone_min, zone_max)
+    newest = F.lit(last).cast("timestamp_ntz")
+    hour = F.expr("INTERVAL 1 HOUR")
+    early = F.raise_error(F.lit(f"trips at or before {last}, which the panel already holds"))
+    first = F.when(F.col("_b.lo") <= newest, early.cast("timestamp_ntz")).otherwise(newest + hour)
+    grid = (
+        zones_table(trips.sparkSession, zone_min, zone_max)
+        .withColumn("_b", time_bounds(counts))
+        .where(F.col("_b.hi").isNotNull())
+        .select("zone_id", F.explode(F.sequence(first, F.col("_b.hi"), hour)).alias("ts"))
+    )
+    return grid.join(shared_counts(counts), list(PANEL_KEYS), "left").select(
+        *PANEL_KEYS, F.coalesce("pickups", F.lit(0).cast("long")).alias("pickups")
+    )
+
+
+def later_features(
+    trips: DataFrame, carry: DataFrame, zone_min: int = ZONE_MIN, zone_max: int = ZONE_MAX
+) -> DataFrame:
+    """Features of the hours after ``carry``, equal to those of a full build.
+
+    Only the new trips and the carried hours are read.
+    """
+    new = later_panel(trips, carry, zone_min, zone_max).withColumn("_new", F.lit(True))
+    both = carry.select(*PANEL_KEYS, "pickups").withColumn("_new", F.lit(False)).unionByName(new)
+    past = add_rolling_means(add_lags(both)).where("_new")
+    return add_calendar(past).select(*FEATURE_COLUMNS)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.cleaning import RAW_COLUMNS, CleaningRules, clean_months
 from ..operators.contracts import RAW_TRIPS, judged_types
-from ..operators.panel import demand_features
+from ..functions.clock import month_key
+from ..operators.panel import carry_over, demand_features, later_features
 from ..operators.profile import demand_profile
 from ..operators.split import eta_features
 from ..sources.catalog import Catalog, parse_months, read_raw_months
@@ -32,10 +33,35 @@ def build_features(catalog: Catalog) -> tuple[str, str]:
     if not catalog.exists("cleaned_trips"):
         raise FileNotFoundError(f"cleaned_trips not built: {catalog.path('cleaned_trips')}")
     trips = catalog.checked("cleaned_trips")
-    return (
-        catalog.publish("demand_features", demand_features(trips)),
-        catalog.publish("eta_features", eta_features(trips)),
-    )
+    demand = catalog.publish("demand_features", _by_month(demand_features(trips)))
+    catalog.publish("demand_carry", carry_over(catalog.read("demand_features")), allow_empty=True)
+    return demand, catalog.publish("eta_features", eta_features(trips))
+
+
+def _by_month(features: DataFrame) -> DataFrame:
+    return features.withColumn("month", month_key(F.col("ts")))
+
+
+def add_month(
+    catalog: Catalog, raw_dir: str, month: str, rules: CleaningRules = CleaningRules()
+) -> str:
+    """Clean one more month and extend the demand features by its hours.
+
+    Of the features only the carried hours are read, of the trips only the new month; the
+    table then equals a full build over all months. Months come in order; hours without trips
+    before the new month's first are stored with it. Duration features split all trips by
+    time, so they are not extended: ``build_features`` makes them.
+    """
+    if not catalog.exists("demand_carry"):
+        raise FileNotFoundError("demand features are extended after build_features has made them")
+    publish_cleaned(catalog, raw_dir, [month], rules, keep_months=True)
+    trips = catalog.read("cleaned_trips", [month])
+    carry = catalog.read("demand_carry")
+    new = later_features(trips, carry).withColumn("month", F.lit(month))
+    target = catalog.publish("demand_features", new, keep_months=True)
+    seen = catalog.read("demand_features", [month]).select("zone_id", "ts", "pickups")
+    catalog.publish("demand_carry", carry_over(carry.unionByName(seen)))
+    return target
 
 
 def calibrate(catalog: Catalog) -> str:

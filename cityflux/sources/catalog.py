@@ -17,6 +17,7 @@ TABLES = {
     "cleaned_trips": "processed/cleaned_trips",
     "demand_features": "processed/demand_features",
     "eta_features": "processed/eta_features",
+    "demand_carry": "processed/demand_carry",
     "demand_profile": "processed/demand_profile",
     "event_log": "processed/event_log",
 }
@@ -25,11 +26,12 @@ TABLES = {
 SORT_KEYS = {
     "cleaned_trips": ["pickup_ts", "dropoff_ts", "pu_location_id", "do_location_id"],
     "demand_features": ["zone_id", "ts"],
+    "demand_carry": ["zone_id", "ts"],
     "eta_features": ["pickup_ts"],
     "demand_profile": ["zone_id", "how"],
     "event_log": ["ts", "seq"],
 }
-MONTHLY = {"cleaned_trips": "month"}
+MONTHLY = {"cleaned_trips": "month", "demand_features": "month"}
 POINTER = "_current.json"
 
 
