@@ -318,6 +318,15 @@ def illegal_transitions(events: DataFrame, unit: str = "hour") -> DataFrame:
 # ---- run metrics ---------------------------------------------------------------
 
 
+def driver_idle(events: DataFrame, n_drivers, horizon_min) -> Column:
+    """Share of the fleet's time without a ride, as one number; 0 without drivers or time."""
+    busy = ride_spans(events).agg((F.sum("busy_us") / 60_000_000.0).alias("busy")).scalar()
+    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
+    capacity = as_col(n_drivers).cast("double") * as_col(horizon_min).cast("double")
+    idle = clamp(1.0 - F.coalesce(busy, F.lit(0.0)) / capacity, 0.0, 1.0)
+    return F.when(capacity > 0, idle).otherwise(0.0)
+
+
 def ride_metrics(events: DataFrame, n_drivers, horizon_min) -> DataFrame:
     """Eight service metrics of a run as one row.
 
@@ -326,37 +335,31 @@ def ride_metrics(events: DataFrame, n_drivers, horizon_min) -> DataFrame:
     first, by a few counting jobs over the log, which should be a stored table.
     """
     waits = events.where(_is(MATCHED)).select("wait_min")
-    found = global_quantiles(waits, "wait_min", {"p50": ("linear", 0.5), "p90": ("linear", 0.9)})
-    median, p90 = (F.lit(float(found[name] or 0.0)) for name in ("p50", "p90"))
-    busy = ride_spans(events).agg(
-        (F.sum("busy_us") / 60_000_000.0).alias("busy")
-    ).scalar()
-    as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-    capacity = as_col(n_drivers).cast("double") * as_col(horizon_min).cast("double")
+    found = global_quantiles(waits, "wait_min", WAIT_QUANTILES)
     wait = F.when(_is(MATCHED) & ~F.isnan("wait_min"), F.col("wait_min"))
-    return (
-        events.agg(
-            F.count_if(_is(REQUESTED)).alias("requests"),
-            F.count_if(_is(COMPLETED)).alias("rides_completed"),
-            F.count_if(_is(CANCELLED)).alias("cancellations"),
-            F.avg(wait).alias("_mean"),
-        )
-        .withColumn("_busy", F.coalesce(busy, F.lit(0.0)))
-        .withColumn("_capacity", capacity)
-        .select(
-            "requests",
-            "rides_completed",
-            "cancellations",
-            ratio(F.col("cancellations"), F.col("requests")).alias("cancel_rate"),
-            F.coalesce("_mean", F.lit(0.0)).alias("mean_wait_min"),
-            median.alias("median_wait_min"),
-            p90.alias("p90_wait_min"),
-            F.when(
-                F.col("_capacity") > 0, clamp(1.0 - F.col("_busy") / F.col("_capacity"), 0.0, 1.0)
-            )
-            .otherwise(0.0)
-            .alias("driver_idle_pct"),
-        )
+    counts = events.agg(
+        F.count_if(_is(REQUESTED)).alias("requests"),
+        F.count_if(_is(COMPLETED)).alias("rides_completed"),
+        F.count_if(_is(CANCELLED)).alias("cancellations"),
+        F.avg(wait).alias("mean_wait_min"),
+    )
+    return metrics_row(counts, found, driver_idle(events, n_drivers, horizon_min))
+
+
+#: wait percentiles of a run: name -> (method, share)
+WAIT_QUANTILES = {"median_wait_min": ("linear", 0.5), "p90_wait_min": ("linear", 0.9)}
+
+
+def metrics_row(counts: DataFrame, quantiles: dict[str, float | None], idle: Column) -> DataFrame:
+    """The metrics from one row of counts with the mean wait, the percentiles and the idle share."""
+    return counts.select(
+        "requests",
+        "rides_completed",
+        "cancellations",
+        ratio(F.col("cancellations"), F.col("requests")).alias("cancel_rate"),
+        F.coalesce("mean_wait_min", F.lit(0.0)).alias("mean_wait_min"),
+        *[F.lit(float(quantiles[name] or 0.0)).alias(name) for name in WAIT_QUANTILES],
+        idle.alias("driver_idle_pct"),
     )
 
 

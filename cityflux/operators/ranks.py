@@ -245,3 +245,56 @@ def _quantiles_per_key(
         between = F.when((way == 0) | (a == b), a).otherwise(a * (1 - way) + b * way)
         out.append((between if method == "linear" else a).alias(name))
     return ranked.groupBy(*keys).agg(*picks).select(*keys, *out)
+
+
+# ---- a summary that streams can keep -------------------------------------------
+
+#: cells per power of two of a summary
+FINE = 4096
+
+
+def rank_cell(v: Column) -> Column:
+    """Cells in the order of the doubles: sign, power of two and the first 12 bits after it.
+
+    However many values there are, their number is bounded by that of these bits. Null and
+    NaN have no cell; infinities and zero have one each.
+    """
+    size = F.abs(v)
+    power = F.greatest(F.least(F.floor(F.log2(size)).cast("double"), F.lit(1023.0)), F.lit(-1074.0))
+    inner = F.floor((size / F.pow(F.lit(2.0), power) - 1) * FINE).cast("double")
+    cell = F.when(size == math.inf, F.lit(3000.0 * FINE)).otherwise((power + 1075) * FINE + inner + 1)
+    cell = F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * cell)
+    return F.when(v.isNotNull() & ~F.isnan(v), cell).cast("long")
+
+
+def octave(cell: Column) -> Column:
+    """The power of two of a cell: few, so that tables can be laid out by it."""
+    return F.floor(cell / FINE).cast("int")
+
+
+def summary_quantiles(
+    cells: DataFrame, rows: DataFrame, value: str, wanted: dict[str, tuple[str, float]]
+) -> dict[str, float | None]:
+    """Exact quantiles from a summary (cell, n) and the rows of the cells that hold them.
+
+    ``rows`` (cell, octave, ``value``) is asked for at most two cells per quantile; laid out by
+    ``octave`` and sorted by cell, the rest of it is not read.
+    """
+    n = cells.agg(F.sum("n")).first()[0]
+    if not n:
+        return dict.fromkeys(wanted)
+    ranks = {name: _ranks(method, p, n) for name, (method, p) in wanted.items()}
+    open_ranks = sorted({r for found in ranks.values() if found for r in found[:2]})
+    counted = _with_offset(cells.select("cell", F.col("n").alias("_n")), "cell")
+    holds = [(F.col("_before") <= r) & (r < F.col("_before") + F.col("_n")) for r in open_ranks]
+    found = {}
+    for held in counted.where(reduce(or_, holds)).collect():
+        inside = [r for r in open_ranks if held["_before"] <= r < held["_before"] + held["_n"]]
+        part = rows.where((F.col("octave") == held["cell"] // FINE) & (F.col("cell") == held["cell"]))
+        low, high = part.agg(F.min(value), F.max(value)).first()
+        own = [r - held["_before"] for r in inside]
+        values = values_at_ranks(part, value, low, high, held["_n"], own)
+        found |= {r: values[k] for r, k in zip(inside, own)}
+    return {
+        name: _between(found[at[0]], found[at[1]], at[2]) if at else None for name, at in ranks.items()
+    }

@@ -881,3 +881,4 @@ ORACLES["union_months"] = ORACLES["clean_trips"]
 ORACLES["live_unique_trips"] = ORACLES["clean_trips"]
 ORACLES["live_ride_metrics"] = ORACLES["ride_metrics"]
 ORACLES["live_illegal_transitions"] = ORACLES["illegal_transitions"]
+ORACLES["extended_features"] = ORACLES["demand_features"]

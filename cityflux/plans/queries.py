@@ -302,6 +302,15 @@ def demand_features(t):
     return panel.demand_features(t.trips())
 
 
+@query
+def extended_features(t):
+    """The first half of the month, and the second half added from the carried hours."""
+    late = F.col("pickup_ts") >= F.lit("2024-01-16").cast("timestamp_ntz")
+    first = t.stored("first-half", lambda: panel.demand_features(t.trips().where(~late)))
+    carry = t.stored("carried-hours", lambda: panel.carry_over(first))
+    return first.unionByName(panel.later_features(t.trips().where(late), carry))
+
+
 @query
 def time_split(t):
     return split.time_split(t.events.select("event_id", "ts"), "ts")
@@ -524,8 +533,7 @@ def _log_stream(t):
 
 @query
 def live_ride_metrics(t):
-    tallies = runs.run_update(live.live_tallies(_log_stream(t)), "tallies")
-    return live.metrics_from_tallies(tallies, t.log(), t.fleet_size(), HORIZON_MIN)
+    return live.run_live_metrics(_log_stream(t), "metrics", t.log(), t.fleet_size(), HORIZON_MIN)
 
 
 @query

@@ -15,9 +15,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..constants import CANCELLED, COMPLETED, MATCHED, PATIENCE_MIN, REQUESTED
 from ..functions import clock
-from ..functions.numbers import ratio
 from ..operators.cleaning import CleaningRules, filter_trips
-from ..operators.events import illegal_moves, patience_cancels, ride_metrics, state_moves
+from ..operators.events import (
+    WAIT_QUANTILES,
+    driver_idle,
+    illegal_moves,
+    metrics_row,
+    patience_cancels,
+    state_moves,
+)
+from ..operators.ranks import octave, rank_cell, summary_quantiles
 from ..session import scratch_path
 from ..sources import files
 
@@ -47,39 +54,89 @@ def latest_counts(updates: DataFrame) -> DataFrame:
 
 
 def live_tallies(stream: DataFrame) -> DataFrame:
-    """Running event counts per kind (at most six rows of state)."""
-    return stream.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """Running counts per kind and, for matches, per cell of their wait, with the waits' sum.
 
+    The state holds a row per kind and per cell that occurs, so it is bounded by the cells of
+    a double (see ``rank_cell``), not by the events.
+    """
+    cell = F.when(F.col("kind") == MATCHED, rank_cell(F.col("wait_min"))).alias("cell")
+    return stream.select("kind", cell, "wait_min").groupBy("kind", "cell").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("cell").isNotNull(), F.col("wait_min"))).alias("waits")
+    )
 
-def metrics_from_tallies(
-    tallies: DataFrame, log: DataFrame, n_drivers, horizon_min
-) -> DataFrame:
-    """Run metrics with the counts of the stream.
 
-    Waits need exact percentiles and rides their spans; those are finished in batch
-    over the log the stream has read.
+class LiveMetrics:
+    """Run metrics over a stream, exact after every batch.
+
+    Two queries read the stream: one keeps ``live_tallies`` in its state, the other lays the waits
+    out by power of two, sorted by cell. The percentiles' ranks name a cell each in the
+    summary; only the waits of these cells are read again.
     """
-    last = tallies.groupBy("kind").agg(F.max("n").alias("n"))
 
-    def seen(kind: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0).cast("long"))
+    def __init__(self, spark: SparkSession, out: str) -> None:
+        self.spark, self.out = spark, out
 
-    counts = last.agg(
-        seen(REQUESTED).alias("requests"),
-        seen(COMPLETED).alias("rides_completed"),
-        seen(CANCELLED).alias("cancellations"),
-    )
-    batch = ride_metrics(log, n_drivers, horizon_min).drop(
-        "requests", "rides_completed", "cancellations", "cancel_rate"
-    )
-    rest = batch.select(F.struct("*").alias("r")).scalar()
-    return counts.withColumn("_r", rest).select(
-        "requests",
-        "rides_completed",
-        "cancellations",
-        ratio(F.col("cancellations"), F.col("requests")).alias("cancel_rate"),
-        "_r.*",
-    )
+    def advance(self, stream: DataFrame) -> None:
+        """Take in what the stream has that was not there before."""
+        waits = stream.where(F.col("kind") == MATCHED).select(
+            rank_cell(F.col("wait_min")).alias("cell"), F.col("wait_min").cast("double").alias("wait_min")
+        )
+        waits = waits.where(F.col("cell").isNotNull()).withColumn("octave", octave(F.col("cell")))
+
+        def lay_out(batch: DataFrame, epoch: int) -> None:
+            rows = batch.sortWithinPartitions("octave", "cell", "wait_min")
+            rows.write.mode("overwrite").partitionBy("octave").parquet(f"{self.out}/waits/epoch={epoch}")
+
+        def keep(batch: DataFrame, epoch: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{self.out}/tallies/epoch={epoch}")
+
+        for name, rows, mode, save in (
+            ("waits", waits, "append", lay_out), ("tallies", live_tallies(stream), "update", keep)
+        ):
+            query = (
+                rows.writeStream.outputMode(mode)
+                .option("checkpointLocation", f"{self.out}/checkpoint-{name}")
+                .trigger(availableNow=True)
+                .foreachBatch(save)
+                .start()
+            )
+            query.awaitTermination()
+
+    def _read(self, part: str, schema: str, epoch: int | None) -> DataFrame:
+        rows = self.spark.read.schema(f"{schema}, epoch BIGINT").parquet(f"{self.out}/{part}")
+        return rows if epoch is None else rows.where(F.col("epoch") <= epoch)
+
+    def tallies(self, epoch: int | None = None) -> DataFrame:
+        """The summary after a batch (the last, if none is named): counts only grow."""
+        rows = self._read("tallies", "kind STRING, cell BIGINT, n BIGINT, waits DOUBLE", epoch)
+        return rows.groupBy("kind", "cell").agg(F.max_by(F.struct("n", "waits"), "n").alias("s")).select(
+            "kind", "cell", "s.*"
+        )
+
+    def metrics(self, log: DataFrame, n_drivers, horizon_min, epoch: int | None = None) -> DataFrame:
+        """One row of run metrics after a batch; ``log`` gives the rides' spans."""
+        last = self.tallies(epoch)
+        rows = self._read("waits", "cell BIGINT, wait_min DOUBLE, octave INT", epoch)
+        cells = last.where(F.col("cell").isNotNull()).select("cell", "n")
+        found = summary_quantiles(cells, rows, "wait_min", WAIT_QUANTILES)
+
+        def seen(kind: str) -> Column:
+            return F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0).cast("long"))
+
+        counts = last.agg(
+            seen(REQUESTED).alias("requests"),
+            seen(COMPLETED).alias("rides_completed"),
+            seen(CANCELLED).alias("cancellations"),
+            (F.sum("waits") / F.sum(F.when(F.col("cell").isNotNull(), F.col("n")))).alias("mean_wait_min"),
+        )
+        return metrics_row(counts, found, driver_idle(log, n_drivers, horizon_min))
+
+
+def run_live_metrics(stream: DataFrame, label: str, log: DataFrame, n_drivers, horizon_min) -> DataFrame:
+    """Run metrics over a bounded stream."""
+    live = LiveMetrics(stream.sparkSession, scratch_path(stream.sparkSession, label))
+    live.advance(stream)
+    return live.metrics(log, n_drivers, horizon_min)
 
 
 def live_patience_cancels(

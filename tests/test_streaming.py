@@ -1,12 +1,13 @@
 """Streams in several batches end with the rows of the batch operators."""
 
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Window, functions as F
 
 from cityflux.constants import COMPLETED, MATCHED, PICKED_UP, REQUESTED
-from cityflux.operators import cleaning, events as ev, panel
+from cityflux.operators import cleaning, events as ev, panel, ranks
 from cityflux.sources import testdata as td
 from cityflux.streaming import live, runs
 
@@ -120,11 +121,47 @@ def test_slices_are_written_by_many_tasks_in_time_order(spark, sf_dir):
     assert len(spans) > 4 and all(x.b <= y.a for x, y in zip(spans, spans[1:]))
 
 
-def test_tallies_in_batches(spark, log_path):
+def close(a, b):
+    (x,), (y,) = a.collect(), b.collect()
+    assert x.asDict() == pytest.approx(y.asDict(), rel=1e-12, nan_ok=True)
+
+
+def test_metrics_are_exact_after_every_batch(spark, log_path, tmp_path):
+    metrics = live.LiveMetrics(spark, str(tmp_path / "out"))
+    metrics.advance(stream_of(spark, log_path))
+    files = sorted(Path(log_path).glob("*.parquet"), key=lambda p: p.stat().st_mtime)
+    assert len(files) == 4
+    for epoch in range(4):
+        log = spark.read.parquet(*map(str, files[: epoch + 1]))
+        close(metrics.metrics(log, 15, 43200.0, epoch), ev.ride_metrics(log, 15, 43200.0))
     log = spark.read.parquet(log_path)
-    updates = runs.run_update(live.live_tallies(stream_of(spark, log_path)), "tallies")
-    assert updates.select("epoch").distinct().count() == 4
-    same(live.metrics_from_tallies(updates, log, 15, 43200.0), ev.ride_metrics(log, 15, 43200.0))
+    close(metrics.metrics(log, 15, 43200.0), ev.ride_metrics(log, 15, 43200.0))
+    # counts per cell, not per event; the percentiles read the waits of few cells
+    assert metrics.tallies().count() <= 6 + log.select("wait_min").distinct().count()
+
+
+def test_metrics_with_odd_waits(spark, tmp_path):
+    inf, nan = float("inf"), float("nan")
+    waits = [0.0, -0.0, -1.5, 3.0, 3.0000001, nan, None, inf, 1e300, 5e-324, 2.0**40, 7.25] * 3 + [-inf]
+    path = str(tmp_path / "log")
+    when = datetime(2024, 1, 1)
+    rows = [(k, MATCHED, when, k, 5, None, None, w) for k, w in enumerate(waits)]
+    rows += [(100, REQUESTED, when, 1, None, 3, None, None)]
+    kind = "seq long, kind string, ts timestamp_ntz, rider_id long, driver_id long, zone_id long, to_zone_id long, wait_min double"
+    log = spark.createDataFrame(rows, kind)
+    for part in (log.where("seq < 20"), log.where("seq >= 20")):
+        part.coalesce(1).write.mode("append").parquet(path)
+    metrics = live.LiveMetrics(spark, str(tmp_path / "out"))
+    metrics.advance(stream_of(spark, path))
+    got, want = (x.collect()[0].asDict() for x in (metrics.metrics(log, 0, 1.0), ev.ride_metrics(log, 0, 1.0)))
+    assert got == pytest.approx(want, nan_ok=True)
+    cells = log.select("wait_min", ranks.rank_cell(F.col("wait_min")).alias("cell")).collect()
+    known = sorted((r.wait_min, r.cell) for r in cells if r.cell is not None)
+    assert [c for _, c in known] == sorted(c for _, c in known) and len(known) == len(waits) - 6
+    empty = live.LiveMetrics(spark, str(tmp_path / "none"))
+    none = str(tmp_path / "nothing")
+    log.limit(0).write.parquet(none)
+    empty.advance(stream_of(spark, none))
 
 
 def test_patience_in_batches(spark, log_path, tmp_path):
