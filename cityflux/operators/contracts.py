@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from ..constants import (
     CANCELLED,
@@ -31,8 +31,11 @@ class ContractViolation(RuntimeError):
 
 @dataclass(frozen=True)
 class Rule:
+    """``span``: it holds for all values between two for which it holds."""
+
     name: str
     holds: Callable[[Column], Column]
+    span: bool = False
 
 
 @dataclass(frozen=True)
@@ -59,11 +62,12 @@ def in_range(low, high, include_low: bool = True) -> Rule:
     return Rule(
         f"in_range{left}{low},{high}]",
         lambda c: ((c >= low) if include_low else (c > low)) & (c <= high),
+        span=True,
     )
 
 
 def at_least(low) -> Rule:
-    return Rule(f"ge[{low}]", lambda c: c >= low)
+    return Rule(f"ge[{low}]", lambda c: c >= low, span=True)
 
 
 def one_of(*values: str) -> Rule:
@@ -202,9 +206,14 @@ def observed(df: DataFrame, contract: Contract, extra: tuple[str, ...] = ()):
     if _schema_failures(visible, contract):
         _refuse(visible, contract)
     watch = Observation()
+    marked = df.withColumn("_broken", _broken(visible, contract))
     table = (
-        df.withColumn("_broken", _broken(visible, contract))
-        .observe(watch, F.count(F.lit(1)).alias("rows"), F.count_if("_broken").alias("broken"))
+        marked.observe(
+            watch,
+            F.count(F.lit(1)).alias("rows"),
+            F.count_if("_broken").alias("broken"),
+            *_statistics(visible, contract),
+        )
         .select(*[_coerced(f).alias(f.name) for f in contract.fields], *[F.col(c) for c in extra])
     )
 
@@ -215,11 +224,50 @@ def observed(df: DataFrame, contract: Contract, extra: tuple[str, ...] = ()):
             return visible.count()
         if seen["broken"]:
             _refuse(visible, contract)
+        verdict.statistics = {k: None if v is None else str(v) for k, v in seen.items() if k != "broken"}
         return seen["rows"]
 
+    verdict.statistics = None
     return table, verdict
 
 
+def _statistics(df: DataFrame, contract: Contract) -> list[Column]:
+    """Per column of the contract: nulls, least and greatest value, as they are stored."""
+    out = []
+    for field in contract.fields:
+        value = _coerced(field)
+        known = F.when(~(F.isnan(value) if field.type in ("double", "float") else F.lit(False)), value)
+        out.append(F.count_if(known.isNull()).alias(f"nulls {field.name}"))
+        out += [F.min(known).alias(f"min {field.name}"), F.max(known).alias(f"max {field.name}")]
+    return out
+
+
+def undecided(spark: SparkSession, contract: Contract, statistics: list[dict]) -> list[str] | None:
+    """Columns whose rules the statistics of a table's versions leave open; None if they break one.
+
+    Nulls are counted; a rule that holds for a span of values holds if it does for the least and
+    the greatest. Others, such as lists of values, need the rows.
+    """
+    checks, left = [], []
+    for field in contract.fields:
+        for found in statistics:
+            if not field.nullable and found[f"nulls {field.name}"] != "0":
+                return None
+            ends = [found[f"{end} {field.name}"] for end in ("min", "max")]
+            if field.rule is not None and field.rule.span:
+                checks += [field.rule.holds(F.lit(x).cast(field.type)) for x in ends if x is not None]
+        if field.rule is not None and not field.rule.span:
+            left.append(field.name)
+    if checks and not spark.range(1).select(reduce(and_, checks).alias("ok")).first()[0]:
+        return None
+    return left
+
+
+def part_of(contract: Contract, columns: Sequence[str]) -> Contract:
+    """The contract of some of its columns."""
+    return Contract(contract.name, tuple(f for f in contract.fields if f.name in columns), contract.strict)
+
+
 def judged_types(df: DataFrame, contract: Contract):
     """``df`` and a verdict on its schema and on values of the wrong type.
 

@@ -24,6 +24,13 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def content(spark: SparkSession, path: str) -> list[int]:
+    """Number of files below a folder and their bytes, from the listing."""
+    fs, p = _fs(spark, path)
+    found = fs.getContentSummary(p)
+    return [found.getFileCount(), found.getLength()]
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)

@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import sys
+from urllib.parse import quote
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.contracts import MANIFEST, enforce
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: bytes up to which a file is one value of Spark's reader, and bytes read at once beyond that
+WHOLE, PIECE = 256 << 20, 8 << 20
+
 
 class ChecksumMismatch(RuntimeError):
     """A file on storage does not have the hash its manifest promises."""
@@ -29,17 +41,44 @@ def manifest_entry(manifest: DataFrame, name: str) -> dict:
     return found[0].asDict()
 
 
-def file_hashes(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
-    """(name, path, length, sha256) of every file; files are hashed in parallel."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
-    )
+def _opened(path: str):
+    """A file on storage as a stream."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
+    store, inside = fs.FileSystem.from_uri(f"{scheme}:{quote(rest)}")
+    return store.open_input_stream(inside)
+
+
+def _hash_in_pieces(batches):
+    """The digest's state goes on from piece to piece, so memory does not depend on the file."""
+    for batch in batches:
+        found = []
+        for path in batch.column(0).to_pylist():
+            digest = hashlib.sha256()
+            with _opened(path) as stream:
+                while piece := stream.read(PIECE):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], ["path", "length", "sha256"])
+
+
+def file_hashes(
+    spark: SparkSession, directory: str, pattern: str = "*", whole: int = WHOLE
+) -> DataFrame:
+    """(name, path, length, sha256) of every file; files are hashed in parallel.
+
+    Files of up to ``whole`` bytes are hashed by Spark, whatever store they are in. Larger ones
+    are read in pieces by the tasks, from stores that pyarrow opens (local, HDFS, S3, GCS, ABFS).
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(directory)
+    # the length is known from the listing: contents of larger files are not read here
+    small = files.where(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = files.select("path", "length").where(F.col("length") > whole)
+    large = large.mapInArrow(_hash_in_pieces, "path string, length long, sha256 string")
     base = F.element_at(F.split("path", "/"), -1)
-    return files.select(
-        F.regexp_replace(base, r"\.[^.]*$", "").alias("name"),
-        "path",
-        "length",
-        F.sha2("content", 256).alias("sha256"),
+    return small.unionByName(large).select(
+        F.regexp_replace(base, r"\.[^.]*$", "").alias("name"), "path", "length", "sha256"
     )
 
 

@@ -6,10 +6,12 @@ import pytest
 from frames import RAW_DDL, at, trip, trips
 from pyspark.sql import functions as F
 
+from cityflux.operators import contracts
 from cityflux.operators.contracts import ContractViolation
 from cityflux.operators.events import as_event_log
 from cityflux.operators.panel import carry_over, demand_features, later_features
 from cityflux.plans.pipeline import add_month, build_all, build_features, calibrate, publish_cleaned
+from cityflux.sources import catalog, files
 from cityflux.sources.catalog import (
     Catalog,
     parse_months,
@@ -261,3 +263,54 @@ def test_later_features_of_a_short_past(spark):
     assert carry.count() == 27 * 4 and want.exceptAll(got).isEmpty() and got.where("ts >= '2023-01-02 03:00'").count() == want.count()
     assert later_features(late.limit(0), carry, 1, 4).count() == 0
     assert later_features(some, carry.limit(0), 1, 4).exceptAll(demand_features(some, 1, 4)).isEmpty()
+
+
+def test_tables_are_judged_from_statistics(spark, tmp_path, monkeypatch):
+    raw = str(tmp_path / "raw")
+    write_month(spark, raw, "2023-01")
+    root = build_all(spark, "2023-01", str(tmp_path / "data"), raw_dir=raw)
+    read = []
+    monkeypatch.setattr(catalog, "enforce", lambda df, contract: read.append((contract.name, df.columns)))
+    root.validate()
+    # nothing of the other tables is read
+    assert read == [("eta_features", ["split"])]
+    monkeypatch.undo()
+    # a file that the statistics do not speak of: the rows are read, and the report is whole
+    folder = root._current("cleaned_trips")["2023-01"]
+    bad = trips(spark, [trip(at("2023-01-09 12:00"), 500, 999)])
+    bad.write.mode("append").parquet(f"{root.path('cleaned_trips')}/{folder}")
+    with pytest.raises(ContractViolation, match="duration_min.*pu_location_id"):
+        root.validate("cleaned_trips")
+    with pytest.raises(ContractViolation):
+        root.checked("cleaned_trips")
+    # without statistics a table is read as before
+    files.delete(spark, f"{root.path('demand_features')}/_statistics")
+    monkeypatch.setattr(catalog, "enforce", lambda df, contract: read.append((contract.name, len(df.columns))))
+    root.validate("demand_features")
+    assert read[-1] == ("demand_features", 11)
+
+
+def test_statistics_that_break_a_rule_are_not_trusted(spark):
+    contract = contracts.DEMAND_CARRY
+    good = {"nulls zone_id": "0", "min zone_id": "1", "max zone_id": "263", "nulls ts": "0",
+            "min ts": "2023-01-01 00:00:00", "max ts": "2023-01-31 23:00:00",
+            "nulls pickups": "0", "min pickups": "0", "max pickups": "9"}
+    assert contracts.undecided(spark, contract, [good]) == []
+    assert contracts.undecided(spark, contract, [good, good | {"max zone_id": "264"}]) is None
+    assert contracts.undecided(spark, contract, [good | {"min pickups": "-1"}]) is None
+    assert contracts.undecided(spark, contract, [good | {"nulls ts": "2"}]) is None
+    none = {k: "0" if k.startswith("nulls") else None for k in good}
+    assert contracts.undecided(spark, contract, [none]) == []
+
+
+def test_large_files_are_hashed_in_pieces(spark, tmp_path):
+    import hashlib
+
+    for name, size in (("small one", 10), ("edge", 1000), ("large", 1001), ("larger", 20_000_000)):
+        (tmp_path / f"{name}.bin").write_bytes(os.urandom(size))
+    want = {p.stem: hashlib.sha256(p.read_bytes()).hexdigest() for p in tmp_path.iterdir()}
+    for limit in (1000, 5, 1 << 30):
+        got = file_hashes(spark, str(tmp_path), whole=limit)
+        assert {r.name: r.sha256 for r in got.collect()} == want
+    plan = file_hashes(spark, str(tmp_path), whole=1000)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("content#") >= 1 and "MapInArrow" in plan
