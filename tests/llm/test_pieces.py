@@ -96,3 +96,13 @@ def test_query_round_trips(spark, library):
         ids = np.array(library.encode(docs[r.doc_id]), "<i4")
         assert (r.n_ids, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_other_columns_with_clashing_names(spark, library):
+    rows = [(i, t, "x", 1, 2.0, "n") for i, t in enumerate(odd_texts()[:20])] + [(None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "key long, body string, doc_id string, row int, ids double, text string")
+    got = pieces.encode(df, "key", "body", chunk=70)
+    assert got.columns == ["doc_id", "ids"]
+    want = {r[0]: library.encode(r[1] or "") for r in rows}
+    assert {r.doc_id: np.frombuffer(r.ids, "<i4").tolist() for r in got.collect()} == want
+    assert pieces.encode(df.limit(0), "key", "body", chunk=70).count() == 0
