@@ -232,13 +232,15 @@ def observed(df: DataFrame, contract: Contract, extra: tuple[str, ...] = ()):
 
 
 def _statistics(df: DataFrame, contract: Contract) -> list[Column]:
-    """Per column of the contract: nulls, least and greatest value, as they are stored."""
+    """What the rules can be judged by later: nulls, least and greatest value per column."""
     out = []
     for field in contract.fields:
         value = _coerced(field)
-        known = F.when(~(F.isnan(value) if field.type in ("double", "float") else F.lit(False)), value)
-        out.append(F.count_if(known.isNull()).alias(f"nulls {field.name}"))
-        out += [F.min(known).alias(f"min {field.name}"), F.max(known).alias(f"max {field.name}")]
+        known = F.when(~F.isnan(value), value) if field.type in ("double", "float") else value
+        if not field.nullable:
+            out.append(F.count_if(known.isNull()).alias(f"nulls {field.name}"))
+        if field.rule is not None and field.rule.span:
+            out += [F.min(known).alias(f"min {field.name}"), F.max(known).alias(f"max {field.name}")]
     return out
 
 
@@ -251,10 +253,12 @@ def undecided(spark: SparkSession, contract: Contract, statistics: list[dict]) -
     checks, left = [], []
     for field in contract.fields:
         for found in statistics:
-            if not field.nullable and found[f"nulls {field.name}"] != "0":
+            if not field.nullable and found.get(f"nulls {field.name}") != "0":
                 return None
-            ends = [found[f"{end} {field.name}"] for end in ("min", "max")]
             if field.rule is not None and field.rule.span:
+                if f"min {field.name}" not in found:
+                    return None
+                ends = [found[f"{end} {field.name}"] for end in ("min", "max")]
                 checks += [field.rule.holds(F.lit(x).cast(field.type)) for x in ends if x is not None]
         if field.rule is not None and not field.rule.span:
             left.append(field.name)
