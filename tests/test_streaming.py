@@ -102,6 +102,40 @@ def test_events_beyond_the_delay_are_kept_aside_and_a_stopped_run_goes_on(spark,
     same(check.found(), want)
 
 
+def test_a_batch_never_ends_inside_a_slice(spark):
+    """Slices of many files, with times that repeat; files of a slice are of one age."""
+    ts = F.when(F.col("id") % 3 == 0, F.lit(9_000)).otherwise(F.col("id")) * 1_000_000
+    rows = spark.range(20_000).select("id", F.timestamp_micros(ts).alias("ts"))
+    small = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "8k",
+             "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    path = runs.save_in_order(rows.repartition(6), "uneven", "ts")
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    got = runs.run_update(
+        runs.stream_in_order(spark, path, rows.schema).groupBy(F.col("ts").alias("t")).agg(F.count("*").alias("n")), "u"
+    )
+    spans = got.groupBy("epoch").agg(F.min("t").alias("a"), F.max("t").alias("b")).orderBy("epoch").collect()
+    assert len(spans) >= 3 and all(x.b < y.a for x, y in zip(spans, spans[1:]))
+    assert got.agg(F.sum("n")).first()[0] == 20_000
+
+
+def test_lifecycle_state_is_kept_by_groups_of_entities(spark, tmp_path):
+    """Tasks call the state once per group, not per entity, however many entities there are."""
+    path, out = str(tmp_path / "log"), str(tmp_path / "out")
+    first = [(2 * r, REQUESTED, f"2024-01-01T07:{r % 60:02d}", r, None) for r in range(600)]
+    then = [(2 * r + 1, MATCHED if r % 3 else PICKED_UP, "2024-01-01T12:00", r, r % 7) for r in range(600)]
+    log = batches_of(spark, path, first, then, [(None, PICKED_UP, "2024-01-02T00:00", 1 << 60, (1 << 60) + 1)])
+    check = live.LifecycleCheck(spark, out, groups=4)
+    check.advance(stream_of(spark, path))
+    check.finish(stream_of(spark, path))
+    same(check.found(), ev.illegal_transitions(log))
+    state = spark.read.format("statestore").option("stateVarName", "last").load(f"{out}/checkpoint")
+    assert 0 < state.count() <= 2 * 4
+
+
 def test_slices_are_written_by_many_tasks_in_time_order(spark, sf_dir):
     events = td.table(spark, sf_dir, "events").select("ts", "event_id")
     small = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "8k",
