@@ -11,7 +11,8 @@ matching, which proposals reach from any ranks that are not too high: in a round
 rider asks for the driver at its rank, every driver keeps the earliest of those who ask, the
 others go one rank on. Riders of a zone share their list, so a rider can never get a better
 driver than the ``n``-th if ``n`` riders of its zone come before it: ranks start there, and
-whenever one grows, the later riders of the zone move up with it.
+whenever one grows, the later riders of the zone move up with it. Who is refused passes over the
+drivers that earlier riders ask.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .skew import join_spread
 
 #: rounds planned into one job; riders of a zone above which moving up goes by stretches
 ROUNDS, STRETCH = 4, 4096
+#: drivers that a refused rider looks at in one round, at most
+AHEAD = 256
 
 
 def _stored(df: DataFrame, label: str) -> DataFrame:
@@ -135,16 +138,50 @@ def _moved_up(state: DataFrame, crowded: bool) -> DataFrame:
     return rows.withColumn("rank", F.col("place") + F.greatest("_own", "_carry")).drop("_part", "_own", "_carry")
 
 
-def _round(state: DataFrame, tied: DataFrame | None, crowded: bool) -> DataFrame:
-    """One round: everybody asks, every driver keeps the earliest, the others go on."""
-    asked = _asked(state.select(*_STATE).where("rank < total"), tied)
+def _beyond_held(lost: DataFrame, asked: DataFrame, index: DataFrame, tied, ahead: int) -> DataFrame:
+    """tick, zone, place, to: the next rank of those refused, past drivers that refuse them too.
+
+    Ranks are never too high, so a driver that an earlier rider asks goes to that rider or to one
+    before it. Of the next ``ahead`` drivers those are passed over at once.
+    """
+    end = F.least(F.col("rank") + ahead, F.col("total") - 1)
+    open_ = lost.where("rank + 1 < total").select(
+        "tick", "zone", "place", "request_ts", "rider_pos", F.explode(F.sequence(F.col("rank") + 1, end)).alias("rank")
+    )
+    wanted = _asked(open_.join(index, ["tick", "zone"]), tied).drop("rings", "km")
+    held = asked.where("NOT lost").select(
+        "tick", "zone_a", "idx", F.struct("request_ts", "rider_pos").alias("_held")
+    )
+    me = F.struct("request_ts", "rider_pos")
+    free = F.when(F.col("_held").isNull() | (me < F.col("_held")), F.col("rank"))
+    met = wanted.join(held, ["tick", "zone_a", "idx"], "left").withColumn("_free", free)
+    return met.groupBy("tick", "zone", "place").agg(F.coalesce(F.min("_free"), F.max("rank") + 1).alias("to"))
+
+
+def _round(
+    state: DataFrame, tied: DataFrame | None, crowded: bool, index: DataFrame | None = None, ahead: int = 0
+) -> DataFrame:
+    """One round: everybody asks, every driver keeps the earliest, the others go on.
+
+    Lists are long, so riders take their zone's out of ``index`` only to ask and travel without it;
+    without ``index`` the rows hold them.
+    """
+    asking = state.where("rank < total")
+    listed = asking.select(*_STATE).join(index, ["tick", "zone"]) if index is not None else asking.select(*_STATE, "rings")
+    asked = _asked(listed, tied).drop("rings")
     # a zone's riders ask for different drivers, so a driver is asked once per zone at most
     order = Window.partitionBy("tick", "zone_a", "idx").orderBy("request_ts", "rider_pos")
-    lost = asked.withColumn("lost", F.row_number().over(order) > 1)
-    return _moved_up(lost.withColumn("rank", F.col("rank") + F.col("lost").cast("long")), crowded)
+    asked = asked.withColumn("lost", F.row_number().over(order) > 1)
+    if not ahead:
+        return _moved_up(asked.withColumn("rank", F.col("rank") + F.col("lost").cast("long")), crowded)
+    asked = _stored(asked, "asked")
+    passed = _beyond_held(asked.where("lost"), asked, index, tied, ahead)
+    moved = asked.join(passed, ["tick", "zone", "place"], "left")
+    moved = moved.withColumn("rank", F.coalesce("to", F.col("rank") + F.col("lost").cast("long")))
+    return _moved_up(moved.drop("to"), crowded)
 
 
-_STATE = ["tick", "zone", "rider_id", "request_ts", "rider_pos", "place", "rank", "rings", "total"]
+_STATE = ["tick", "zone", "rider_id", "request_ts", "rider_pos", "place", "rank", "total"]
 
 
 def match_in_rounds(
@@ -162,21 +199,26 @@ def match_in_rounds(
         waiting, [F.col("request_ts"), F.col("rider_pos")], floor_micros("minute", F.col("request_ts"))
     )
     # later riders of a zone than it has drivers in reach go empty-handed
-    index = rings(idle, distances, radius_km)
-    state = waiting.join(index, ["tick", "zone"]).where("place < total").withColumn("rank", F.col("place"))
+    index = _stored(rings(idle, distances, radius_km), "rings")
+    reach = index.select("tick", "zone", "total", "tied")
+    state = waiting.join(reach, ["tick", "zone"]).where("place < total").withColumn("rank", F.col("place"))
     state = _stored(state, "waiting")
     most, is_tied = state.agg(F.max("place"), F.bool_or("tied")).first()
+    index = index.select("tick", "zone", "rings")
     crowded = (most or 0) >= STRETCH
     tied = _stored(tied_rings(placed, distances, radius_km), "tied-rings") if is_tied else None
-    settled = []
+    settled, ahead = [], 0
     while True:
-        for _ in range(1 if crowded else ROUNDS):
-            state = _round(state, tied, crowded)
+        for _ in range(1 if crowded or ahead else ROUNDS):
+            state = _round(state, tied, crowded, index, ahead)
         state = _stored(state, "round")
+        size = state.agg(F.count(F.lit(1)).alias("rows"), F.count_if("lost").alias("lost")).first()
         going = state.where("lost").select("tick").distinct()
         settled.append(state.join(going, "tick", "left_anti"))
-        if state.where("lost").isEmpty():
+        if not size.lost:
             break
+        # those refused look as far ahead as makes about a row per rider, if they are few
+        ahead = min(AHEAD, max(8, size.rows // size.lost))
         state = state.join(going, "tick", "left_semi")
     kept = settled[0]
     for more in settled[1:]:
