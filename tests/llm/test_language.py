@@ -119,3 +119,28 @@ def test_rare_language_keeps_its_grams_beyond_max_grams(spark):
         assert (r.cross_entropy is None) == (want.cross_entropy is None)
         assert r.cross_entropy is None or r.cross_entropy == pytest.approx(want.cross_entropy, rel=1e-4)
     assert {r.lang_pred for r in got if r.doc_id in (1000, 1001, 1002, 2000)} == {"xx"}
+
+
+def test_every_training_text_calibrates(spark):
+    """Thresholds hold for over a thousand texts, however long: plain numpy over all of them."""
+    rng = np.random.default_rng(3)
+    words = {"en": ["the", "cat", "sees", "dogs", "house"], "fr": ["le", "chat", "voit", "maison", "dort"]}
+    texts = [(lang, " ".join(rng.choice(words[lang], rng.integers(1, 9)))) for lang in ("en", "fr") for _ in range(1500)]
+    texts += [("fr", "dort voit " * 2_500), ("fr", "the cat sees the dogs"), ("en", "12"), ("en", "")]
+    model, calibration = language.train(spark.createDataFrame(texts, "lang string, text string"))
+    least = {}
+    for lang, text in texts:
+        if language._LETTER.search(text):
+            least[text] = min(lang, least.get(text, lang))
+    assert len(least) > 1_000
+    entropies = model.cross_entropies(list(least))
+    own = np.array([model.langs.index(x) for x in least.values()])
+    for j in range(2):
+        want = np.quantile(entropies[own == j, j], 1 - language.REJECTED) * 1.25
+        assert calibration.limit[j] == pytest.approx(want, rel=1e-9)
+    loss = []
+    for s in language.SHARPNESS:
+        e = np.exp(-s * (entropies - entropies.min(axis=1, keepdims=True)))
+        p = (e / e.sum(axis=1, keepdims=True))[np.arange(len(own)), own]
+        loss.append(-np.log(np.maximum(p, 1e-12)).sum())
+    assert calibration.sharpness == language.SHARPNESS[int(np.argmin(loss))]
