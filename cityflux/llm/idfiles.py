@@ -251,17 +251,18 @@ class WordIds:
         ]:
             raise ValueError(f"{path} keeps white space")
 
-    def _unit(self, unit: str) -> bytes:
-        shown = unit.encode().decode("latin-1").translate(self.letters)
-        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+    def _shown(self, unit: str) -> str:
+        return unit.encode().decode("latin-1").translate(self.letters)
 
     def _of_units(self, units: list[str]) -> list[bytes]:
-        known = self.units
+        known, tokenize, code = self.units, self.model.tokenize, self.code
         if len(known) + len(units) > REMEMBERED:
             known.clear()
         for u in units:
             if u not in known:
-                known[u] = self._unit(u)
+                # printable ASCII is shown as it is
+                found = tokenize(u if u.isascii() else self._shown(u))
+                known[u] = array(code, [t.id for t in found]).tobytes()
         return [known[u] for u in units]
 
     def _of_odd(self, words: list[str]) -> list[bytes]:
